@@ -32,6 +32,7 @@ from sleuthframe.functions.columns import (
     text,
 )
 from sleuthframe.operators.components import connected_components
+from sleuthframe.session import cut_lineage
 from sleuthframe.vocabulary import CATEGORIES, INTEGRITY_LABELS
 
 LINKED_CATEGORIES = [c for c in CATEGORIES if c != "other"]
@@ -585,7 +586,8 @@ def correlate(
             F.max(mine).alias(f"hi_{c}"),
         ]
     cells = _sessions(held.groupBy(*by, "device", "cell").agg(*_profile_aggs(), *per_cat), by, w_us)
-    cells = cells.withColumn("node", _node("session", *by, F.col("device"), F.col("session")))
+    # Written once: one row per (device, cell) feeds every table below, so the events are not read again for it.
+    cells = cut_lineage(cells.withColumn("node", _node("session", *by, F.col("device"), F.col("session"))))
     said = _device_reasons(held, cells, by, w_us).join(
         cells.select(*by, "device", "cell", "node"), [*by, "device", "cell"]
     )
@@ -602,6 +604,7 @@ def correlate(
 
     if bridge:
         edges, loose_reasons, groups = _bridge(rows, by, w_us)
+        groups, loose_reasons = cut_lineage(groups), cut_lineage(loose_reasons)
         resolved = edges.join(
             cells.select(*by, "device", "cell", "node"), [*by, "device", "cell"], "left"
         ).select(F.coalesce("src", "node").alias("src"), "dst")

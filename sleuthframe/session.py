@@ -30,7 +30,12 @@ def build_session(
     app: str = "sleuthframe", master: str | None = None, shuffle_partitions: int | None = None
 ) -> SparkSession:
     """Create a session; leave ``master`` unset under spark-submit."""
-    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Recording the call site of every column expression costs more than planning does.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
