@@ -43,8 +43,16 @@ DEVICE = r"""(?i)\b(?:device|host|hostname|machine|computer|endpoint)\s+['"]?([A
 CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(a\.?m\.?|p\.?m\.?)?\b"
 
 
+# Word borders, digits and spaces follow Unicode, so an accented letter is part of a word.
+UNICODE = "(?U)"
+
+
+def _has(low: Column, pattern: str) -> Column:
+    return low.rlike(UNICODE + pattern)
+
+
 def _all_labels(low: Column, rules) -> Column:
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(x)) for p, x in rules]))
+    return F.array_compact(F.array(*[F.when(_has(low, p), F.lit(x)) for p, x in rules]))
 
 
 def source_labels(t: Column) -> Column:
@@ -57,35 +65,35 @@ def event_type_labels(t: Column) -> Column:
 
 def severity_label(t: Column) -> Column:
     """First rule that matches, else null."""
-    return F.coalesce(*[F.when(F.lower(t).rlike(p), F.lit(x)) for p, x in SEVERITY_RULES])
+    return F.coalesce(*[F.when(_has(F.lower(t), p), F.lit(x)) for p, x in SEVERITY_RULES])
 
 
 def intent(t: Column) -> Column:
     """Later kinds win over earlier ones; plain search when nothing matches."""
     low = F.lower(t)
     return (
-        F.when(low.rlike(EXPLAIN_WORDS), "explain")
-        .when(low.rlike(BEHAVIOR_WORDS), "behavior")
-        .when(low.rlike(CORRELATION_WORDS), "correlation")
-        .when(low.rlike(TIMELINE_WORDS), "timeline")
+        F.when(_has(low, EXPLAIN_WORDS), "explain")
+        .when(_has(low, BEHAVIOR_WORDS), "behavior")
+        .when(_has(low, CORRELATION_WORDS), "correlation")
+        .when(_has(low, TIMELINE_WORDS), "timeline")
         .otherwise("search")
     )
 
 
 def wants_correlation(t: Column) -> Column:
-    return F.lower(t).rlike(CORRELATION_WORDS) | F.lower(t).rlike(EXPLAIN_WORDS)
+    return _has(F.lower(t), CORRELATION_WORDS) | _has(F.lower(t), EXPLAIN_WORDS)
 
 
 def wants_behavior(t: Column) -> Column:
-    return F.lower(t).rlike(BEHAVIOR_WORDS) | F.lower(t).rlike(EXPLAIN_WORDS)
+    return _has(F.lower(t), BEHAVIOR_WORDS) | _has(F.lower(t), EXPLAIN_WORDS)
 
 
 def wants_integrity(t: Column) -> Column:
-    return F.lower(t).rlike(INTEGRITY_WORDS)
+    return _has(F.lower(t), INTEGRITY_WORDS)
 
 
 def _found(t: Column, pattern: str, group: int) -> Column:
-    hit = F.regexp_extract(t, pattern, group)
+    hit = F.regexp_extract(t, UNICODE + pattern, group)
     return F.when(hit != "", hit)
 
 
@@ -95,8 +103,8 @@ def path_token(t: Column) -> Column:
 
 def keyword_tokens(t: Column) -> Column:
     """File names, then quoted texts, in order and without repeats."""
-    names = F.regexp_extract_all(t, F.lit(FILENAME), F.lit(0))
-    quoted = F.transform(F.regexp_extract_all(t, F.lit(QUOTED), F.lit(1)), lambda q: F.trim(q))
+    names = F.regexp_extract_all(t, F.lit(UNICODE + FILENAME), F.lit(0))
+    quoted = F.transform(F.regexp_extract_all(t, F.lit(UNICODE + QUOTED), F.lit(1)), lambda q: F.trim(q))
     return F.array_distinct(F.filter(F.concat(names, quoted), lambda x: x != ""))
 
 
@@ -110,8 +118,8 @@ def device_token(t: Column) -> Column:
 
 def clock_hour(t: Column) -> Column:
     """Hour 0-23 of the first clock time in a lower-cased text, else null."""
-    hour = F.regexp_extract(t, CLOCK, 1).try_cast("int")
-    half = F.regexp_replace(F.regexp_extract(t, CLOCK, 3), r"\.", "")
+    hour = F.regexp_extract(t, UNICODE + CLOCK, 1).try_cast("int")
+    half = F.regexp_replace(F.regexp_extract(t, UNICODE + CLOCK, 3), r"\.", "")
     value = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
     return F.when(value <= 23, value)
 
@@ -120,11 +128,11 @@ def hour_window(t: Column) -> Column:
     """struct(start, end): between, after, before, around; null bounds without a clock time."""
     low = F.lower(t)
     between = r"\bbetween\b\s+(.+?)\s+\band\b\s+(.+)"
-    a = clock_hour(F.regexp_extract(low, between, 1))
-    b = clock_hour(F.regexp_extract(low, between, 2))
-    after = clock_hour(F.regexp_extract(low, r"\bafter\b\s+(.+)", 1))
-    before = clock_hour(F.regexp_extract(low, r"\bbefore\b\s+(.+)", 1))
-    around = clock_hour(F.regexp_extract(low, r"\b(?:around|about|near|at)\b\s+(.+)", 1))
+    a = clock_hour(F.regexp_extract(low, UNICODE + between, 1))
+    b = clock_hour(F.regexp_extract(low, UNICODE + between, 2))
+    after = clock_hour(F.regexp_extract(low, UNICODE + r"\bafter\b\s+(.+)", 1))
+    before = clock_hour(F.regexp_extract(low, UNICODE + r"\bbefore\b\s+(.+)", 1))
+    around = clock_hour(F.regexp_extract(low, UNICODE + r"\b(?:around|about|near|at)\b\s+(.+)", 1))
     both = a.isNotNull() & b.isNotNull()
 
     def pick(x, y, z, w):

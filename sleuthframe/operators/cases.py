@@ -158,7 +158,7 @@ def investigate(events: DataFrame, requests: DataFrame, chain_key: str | None =
     )
     # At most 1000 rows per request: written once, read by every table of the package.
     found = cut_lineage(found.join(bad, "id", "left").withColumn("integrity", label).drop("_bad"))
-    evidence = evidence_projection(found.drop("integrity").withColumn("_l", found["integrity"]), F.col("_l"))
+    evidence = evidence_projection(found, F.col("integrity"))
     related = correlate(
         found.where("with_correlation"), window_seconds, by=["case_id"], label=F.col("integrity")
     )

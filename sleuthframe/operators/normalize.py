@@ -22,12 +22,13 @@ def _as_text(v: Column) -> Column:
 
 def _filled(v: Column) -> Column:
     """Present: neither missing, null nor the empty text."""
-    return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(False)) & (F.coalesce(_as_text(v), F.lit("x")) != "")
+    return F.coalesce(_as_text(v) != "", F.lit(False))
 
 
 def _first_filled(field: str) -> Column:
     """First alias with a value, as a variant."""
-    return F.coalesce(*[F.when(_filled(F.col("m")[k]), F.col("m")[k]) for k in FIELD_ALIASES[field]])
+    names = F.array(*[F.lit(k) for k in FIELD_ALIASES[field]])
+    return F.try_element_at(F.filter(F.transform(names, lambda k: F.col("m")[k]), _filled), F.lit(1))
 
 
 def _metadata() -> Column:
@@ -48,19 +49,21 @@ def _metadata() -> Column:
 
 def _staged(raw: DataFrame, source: str | None, event_type: str | None) -> DataFrame:
     """Every record with its event fields and the stage and reason that reject it, if any."""
-    parsed = raw.withColumn("m", F.from_json("raw", "map<string,variant>"))
-    typed = parsed.select(
-        "batch_pos",
-        "m",
+    # One generated row per record: the parsed map and then the resolved fields are computed once, where a plain
+    # projection would be merged into every expression that reads them.
+    parsed = raw.select("batch_pos", F.explode(F.array(F.from_json("raw", "map<string,variant>"))).alias("m"))
+    fields = F.struct(
         (F.lit(source) if source else _as_text(_first_filled("source"))).alias("source"),
         (F.lit(event_type) if event_type else _as_text(_first_filled("event_type"))).alias("event_type"),
         _first_filled("timestamp").alias("_t"),
         *[F.coalesce(_as_text(_first_filled(f)), F.lit(d)).alias(f) for f, d in
           (("description", ""), ("severity", "INFO"), ("user", ""), ("device", ""), ("file_path", ""))],
+        _metadata().alias("metadata"),
     )
-    typed = typed.withColumn("ts", from_variant(F.col("_t"))).withColumn("metadata", _metadata())
+    typed = parsed.select("batch_pos", F.col("m").isNull().alias("_unread"), F.inline(F.array(fields)))
+    typed = typed.withColumn("ts", from_variant(F.col("_t")))
     failure = (
-        F.when(F.col("m").isNull(), "record is not a JSON object")
+        F.when(F.col("_unread"), "record is not a JSON object")
         .when(F.col("source").isNull(), "source is required")
         .when(F.col("event_type").isNull(), "event_type is required")
         .when(F.col("_t").isNull(), "timestamp is missing")
