@@ -15,9 +15,16 @@ def text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def non_blank(col: Column) -> Column:
-    """Null unless the text has a visible character."""
-    return F.when(F.trim(col) != "", col)
+# Fixed value: characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(col: str | Column) -> Column:
+    """Text without white space at both ends, tabs and line ends included."""
+    return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(WHITE_SPACE))
 
 
 def lookup(col: Column, table: Mapping, default) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sleuthframe.functions.columns import strip
+
 # Ordered patterns and the label each one gives. Texts are lower-cased first.
 SOURCE_RULES = [
     (r"\busb\b|\bremovable\b|\bthumb ?drive\b|\bflash ?drive\b", "USB"),
@@ -104,7 +106,7 @@ def path_token(t: Column) -> Column:
 def keyword_tokens(t: Column) -> Column:
     """File names, then quoted texts, in order and without repeats."""
     names = F.regexp_extract_all(t, F.lit(UNICODE + FILENAME), F.lit(0))
-    quoted = F.transform(F.regexp_extract_all(t, F.lit(UNICODE + QUOTED), F.lit(1)), lambda q: F.trim(q))
+    quoted = F.transform(F.regexp_extract_all(t, F.lit(UNICODE + QUOTED), F.lit(1)), lambda q: strip(q))
     return F.array_distinct(F.filter(F.concat(names, quoted), lambda x: x != ""))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sleuthframe.functions.columns import strip
+
 ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?( ?(Z|[+-]\d{2}:\d{2}))?$"
 SLASH_TEXT = r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 US_TEXT = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
@@ -12,7 +14,7 @@ US_TEXT = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
 
 def parse_text(value: Column, us_dates: bool) -> Column:
     """ISO and slash forms; ``us_dates`` also takes month/day/year. Zoned text becomes UTC."""
-    v = F.trim(value)
+    v = strip(value)
     parsed = F.when(v.rlike(ISO_TEXT), v.try_cast("timestamp")).when(
         v.rlike(SLASH_TEXT), F.try_to_timestamp(v, F.lit("y/M/d H:m:s"))
     )
@@ -63,5 +65,5 @@ def unix_epoch_micros(value: Column) -> Column:
 
 def hundred_ns_text(value: Column) -> Column:
     """Log time text with up to seven fraction digits and an optional trailing Z."""
-    bare = F.regexp_replace(F.trim(value), r"Z$", "")
+    bare = F.regexp_replace(strip(value), r"Z$", "")
     return F.when(bare.rlike(ISO_TEXT), bare.try_cast("timestamp")).cast("timestamp_ntz")

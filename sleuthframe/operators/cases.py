@@ -5,7 +5,7 @@ A case holds at most 1000 retrieved events, so everything collected per case her
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import iso, reference_text, text
 from sleuthframe.operators import chain, scoring
-from sleuthframe.operators.baseline import learn
+from sleuthframe.operators.baseline import Baseline, learn
 from sleuthframe.operators.correlate import Correlation, correlate
 from sleuthframe.operators.requests import batch_retrieve, validate_requests
 from sleuthframe.session import cut_lineage
@@ -38,14 +38,54 @@ CONSISTENT_CHAIN = "The checked hash chain is internally consistent (this confir
 TRUNCATED = "The result set was truncated at the configured limit; the evidence and timeline may be incomplete."
 
 
-@dataclass
 class CasePackage:
-    requests: DataFrame
-    evidence: DataFrame
-    correlation: Correlation
-    behavior: DataFrame
-    integrity: DataFrame
-    facts: DataFrame
+    """The tables of an investigation; each is planned when it is first asked for.
+
+    The baseline and the chain check use the whole history, not the retrieved rows. A case gets correlation, behavior
+    or integrity rows only when its request asks for them.
+    """
+
+    def __init__(self, events: DataFrame, requests: DataFrame, chain_key: str | None = None, window_seconds: float = 300):
+        self.events, self.chain_key, self.window_seconds = events, chain_key, window_seconds
+        self._asked = requests
+        self.requests = validate_requests(requests).where("error IS NULL")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """Retrieved rows with their integrity label: at most 1000 per request, written once, read by every table."""
+        flags = self.requests.select("case_id", "with_correlation", "with_behavior", "with_integrity")
+        rows = batch_retrieve(self.events, self._asked).join(flags, "case_id")
+        bad = chain.invalid_rows(chain.verdicts(self.events, self.chain_key)).select("id", F.lit(True).alias("_bad"))
+        checked = chain.label_column(True, F.coalesce("_bad", F.lit(False)))
+        label = F.when(F.col("with_integrity"), checked).otherwise(chain.label_column(False))
+        return cut_lineage(rows.join(bad, "id", "left").withColumn("integrity", label).drop("_bad"))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return evidence_projection(self.found, F.col("integrity"))
+
+    @cached_property
+    def correlation(self) -> Correlation:
+        rows = self.found.where("with_correlation")
+        return correlate(rows, self.window_seconds, by=["case_id"], label=F.col("integrity"))
+
+    @cached_property
+    def baseline(self) -> Baseline:
+        return learn(self.events).settled()
+
+    @cached_property
+    def behavior(self) -> DataFrame:
+        rows = self.found.where("with_behavior")
+        return scoring.anomalies(scoring.score(rows, self.baseline, explain=True, keep=["case_id"]))
+
+    @cached_property
+    def integrity(self) -> DataFrame:
+        return chain.verify(self.events, self.chain_key)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        plain = case_facts(self.requests, self.evidence)
+        return cut_lineage(_with_totals(plain, self.correlation, self.behavior, self.baseline, self.integrity))
 
 
 def evidence_projection(rows: DataFrame, label: Column) -> DataFrame:
@@ -141,39 +181,6 @@ def report_ids(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def investigate(events: DataFrame, requests: DataFrame, chain_key: str | None = None, window_seconds: float = 300) -> CasePackage:
-    """Retrieve, label, correlate and score per case.
-
-    The baseline and the chain check use the whole history, not the retrieved rows. A case gets correlation, behavior
-    or integrity rows only when its request asks for them.
-    """
-    valid = validate_requests(requests).where("error IS NULL")
-    found = batch_retrieve(events, requests)
-    flags = valid.select("case_id", "with_correlation", "with_behavior", "with_integrity")
-    found = found.join(flags, "case_id")
-    checked = chain.verdicts(events, chain_key)
-    bad = chain.invalid_rows(checked).select("id", F.lit(True).alias("_bad"))
-    label = F.when(F.col("with_integrity"), chain.label_column(True, F.coalesce("_bad", F.lit(False)))).otherwise(
-        chain.label_column(False)
-    )
-    # At most 1000 rows per request: written once, read by every table of the package.
-    found = cut_lineage(found.join(bad, "id", "left").withColumn("integrity", label).drop("_bad"))
-    evidence = evidence_projection(found, F.col("integrity"))
-    related = correlate(
-        found.where("with_correlation"), window_seconds, by=["case_id"], label=F.col("integrity")
-    )
-    baseline = learn(events).settled()
-    scored = scoring.score(found.where("with_behavior"), baseline, explain=True, keep=["case_id"])
-    return CasePackage(
-        requests=valid,
-        evidence=evidence,
-        correlation=related,
-        behavior=scoring.anomalies(scored),
-        integrity=chain.verify(events, chain_key),
-        facts=_with_totals(case_facts(valid, evidence), related, scoring.anomalies(scored), baseline, chain.verify(events, chain_key)),
-    )
-
-
 def _with_totals(facts: DataFrame, related: Correlation, odd: DataFrame, baseline, integrity: DataFrame) -> DataFrame:
     """Facts plus the number of findings per case, the baseline status and the chain verdict."""
     inc = related.incidents.groupBy("case_id").agg(F.count("*").alias("incident_count"))

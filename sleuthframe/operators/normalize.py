@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sleuthframe.functions.columns import strip
 from sleuthframe.functions.timestamps import from_variant
 from sleuthframe.vocabulary import EVENT_COLUMNS, FIELD_ALIASES
 
@@ -71,7 +72,7 @@ def _staged(raw: DataFrame, source: str | None, event_type: str | None) -> DataF
     )
     blank = None
     for name in ("source", "event_type", "description"):
-        test = F.trim(name) == ""
+        test = strip(name) == ""
         said = f"{name} is required but empty"
         blank = F.when(test, said) if blank is None else blank.when(test, said)
     return typed.select(
@@ -103,7 +104,7 @@ def validate(events: DataFrame) -> DataFrame:
     """Add ``reason``: the first required field that is missing, null when the event can be stored."""
     check = F.when(F.col("ts").isNull(), "timestamp is missing or not a datetime")
     for name in ("source", "event_type", "description"):
-        check = check.when(F.col(name).isNull() | (F.trim(name) == ""), f"{name} is required but empty")
+        check = check.when(F.col(name).isNull() | (strip(name) == ""), f"{name} is required but empty")
     return events.withColumn("reason", check)
 
 

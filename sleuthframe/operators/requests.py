@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sleuthframe.functions import tagging as tag
-from sleuthframe.functions.columns import text
+from sleuthframe.functions.columns import strip, text
 from sleuthframe.operators.retrieve import DEFAULT_LIMIT, MAX_LIMIT, contains
 from sleuthframe.vocabulary import KNOWN_SEVERITIES
 
@@ -47,7 +47,7 @@ def parse_questions(questions: DataFrame, default_limit: int = DEFAULT_LIMIT) ->
 
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Clean the filters; add ``error`` (null when usable) and ``warning`` (null when nothing was changed)."""
-    severity = F.upper(F.trim("severity"))
+    severity = F.upper(strip("severity"))
     one_bound = F.col("hour_start").isNull() != F.col("hour_end").isNull()
     outside = ~F.coalesce(F.col("hour_start").between(0, 23), F.lit(True)) | ~F.coalesce(
         F.col("hour_end").between(0, 23), F.lit(True)
@@ -62,7 +62,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     )
     capped = F.concat(F.lit("requested limit "), F.col("max_rows").cast("string"), F.lit(f" capped at {MAX_LIMIT}"))
     known_intent = F.col("intent").isin("search", "timeline", "correlation", "behavior", "explain")
-    blank_to_null = {c: F.nullif(F.trim(c), F.lit("")) for c in ("user", "device", "file_path")}
+    blank_to_null = {c: F.nullif(strip(c), F.lit("")) for c in ("user", "device", "file_path")}
     lists = {c: F.array_distinct(F.coalesce(c, F.array().cast(LIST))) for c in ("sources", "event_types", "keywords")}
     checked = requests.withColumns({"error": error, "warning": F.when(F.col("max_rows") > MAX_LIMIT, capped)})
     return checked.withColumns(

@@ -297,7 +297,7 @@ def question_requests(spark, d):
 
 
 def _package(spark, d):
-    return cases.investigate(derived.stored_chain(spark, d, tampered=True), derived.requests(spark, d), "chain")
+    return cases.CasePackage(derived.stored_chain(spark, d, tampered=True), derived.requests(spark, d), "chain")
 
 
 @query

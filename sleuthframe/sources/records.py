@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sleuthframe.functions.columns import lookup, text
+from sleuthframe.functions.columns import lookup, strip, text
 from sleuthframe.functions.timestamps import hundred_ns_text, unix_epoch_micros, webkit_micros
 
 # Log record type codes and levels.
@@ -94,11 +94,11 @@ def defender_events(xml: DataFrame) -> DataFrame:
         F.coalesce("e.EventData.Data", F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
         lambda d, i: F.struct(
             F.coalesce(_filled(d["_Name"]), F.concat(F.lit("data_"), i.cast("string"))).alias("k"),
-            F.trim(text(d["_VALUE"])).alias("v"),
+            strip(text(d["_VALUE"])).alias("v"),
         ),
     )
-    number = F.trim("e.System.EventID")
-    level_text = F.trim("e.System.Level")
+    number = strip("e.System.EventID")
+    level_text = strip("e.System.Level")
     e = e.select(
         "*",
         F.map_from_entries(data).alias("data"),
@@ -120,7 +120,7 @@ def defender_events(xml: DataFrame) -> DataFrame:
     return e.select(
         *key,
         (F.col("e").isNull() | (F.col("e.System").isNull() & F.col("e.EventData").isNull())).alias("malformed"),
-        _filled(F.trim("e.System.EventRecordID")).alias("record_number"),
+        _filled(strip("e.System.EventRecordID")).alias("record_number"),
         F.lit("Defender").alias("source"),
         F.when(numeric, F.col("event_id").cast("bigint").cast("string")).otherwise(F.col("event_id")).alias("event_type"),
         hundred_ns_text(F.col("e.System.TimeCreated._SystemTime")).alias("ts"),
@@ -129,14 +129,16 @@ def defender_events(xml: DataFrame) -> DataFrame:
         ),
         F.coalesce(got("Severity Name"), lookup(F.col("level"), LEVEL_LABELS, "INFO")).alias("severity"),
         text("e.System.Security._UserID").alias("user"),
-        F.trim(text("e.System.Computer")).alias("device"),
+        strip(text("e.System.Computer")).alias("device"),
         F.coalesce(path, F.lit("")).alias("file_path"),
         _json(
             provider=_filled(F.col("e.System.Provider._Name")),
-            event_id=F.col("event_id"),
+            event_id=F.when(numeric, F.col("event_id").cast("bigint").cast("variant")).otherwise(
+                F.col("event_id").cast("variant")
+            ),
             channel=F.lit(DEFENDER_CHANNEL),
             level=F.col("level"),
-            record_number=_filled(F.trim("e.System.EventRecordID")),
+            record_number=_filled(strip("e.System.EventRecordID")),
             event_data=sorted_data,
             **lifted,
         ).alias("metadata"),
@@ -146,7 +148,7 @@ def defender_events(xml: DataFrame) -> DataFrame:
 def browser_events(history: DataFrame) -> DataFrame:
     """``browser, profile, family, url, title, visit_count, last_visit, device, user``; ``family`` is the history
     format, ``chromium`` (µs since 1601) or ``firefox`` (µs since 1970)."""
-    url, title = F.trim(text("url")), F.trim(text("title"))
+    url, title = strip(text("url")), strip(text("title"))
     ts = F.when(F.col("family") == "firefox", unix_epoch_micros(F.col("last_visit"))).otherwise(
         webkit_micros(F.col("last_visit"))
     )
@@ -214,8 +216,8 @@ def file_events(records: DataFrame) -> DataFrame:
 def usb_events(records: DataFrame) -> DataFrame:
     """``event_type, name, device_id, pnp_device_id, manufacturer, description, status, serial_number, seen_at,
     device, observed``; only ids that start with USB pass a live feed."""
-    clean = lambda c: F.trim(text(c))
-    device_id = F.trim(F.coalesce(_filled(F.col("device_id")), F.col("pnp_device_id"), F.lit("")))
+    clean = lambda c: strip(text(c))
+    device_id = strip(F.coalesce(_filled(F.col("device_id")), F.col("pnp_device_id"), F.lit("")))
     part = F.split(device_id, r"\\")
     instance = F.when(F.size(part) >= 3, F.element_at(part, -1)).otherwise("")
     serial = F.coalesce(_filled(clean("serial_number")), instance)
@@ -249,7 +251,7 @@ def usb_events(records: DataFrame) -> DataFrame:
 
 
 def usb_only(records: DataFrame) -> DataFrame:
-    return records.where(F.upper(F.trim(F.coalesce("pnp_device_id", F.lit("")))).startswith("USB"))
+    return records.where(F.upper(strip(F.coalesce("pnp_device_id", F.lit("")))).startswith("USB"))
 
 
 def newest_since(events: DataFrame, n: int, since=None, channel: str = "channel", order: str = "record_number") -> DataFrame:
