@@ -112,7 +112,7 @@ def ingest_roundtrip(spark, d):
     path = f"{checkpoint_root(spark)}/events-{uuid.uuid4().hex}"
     store.append(activity_events(spark, d), path)
     back = store.load(spark, path)
-    return back.groupBy("event_date", "source").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return back.groupBy(F.col("event_date").cast("string").alias("event_date"), "source").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
 @query
@@ -270,7 +270,9 @@ def extract_tokens(spark, d):
 @query
 def extract_hours(spark, d):
     w = tag.hour_window(F.col("text"))
-    return derived.notes(spark, d).select("note_id", w["start"].alias("hour_start"), w["end"].alias("hour_end"))
+    return derived.notes(spark, d).select(
+        "note_id", F.coalesce(w["start"], F.lit(-1)).alias("hour_start"), F.coalesce(w["end"], F.lit(-1)).alias("hour_end")
+    )
 
 
 # -- requests and cases --------------------------------------------------------------------------------------
@@ -293,7 +295,8 @@ def batch_retrieve_rows(spark, d):
 def question_requests(spark, d):
     q = derived.notes(spark, d).select(F.col("note_id").alias("case_id"), F.col("text").alias("question"))
     v = validate_requests(parse_questions(q))
-    return v.groupBy("intent", "severity", "hour_start", "hour_end").agg(F.count("*").alias("n"))
+    bound = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return v.groupBy("intent", "severity", bound("hour_start"), bound("hour_end")).agg(F.count("*").alias("n"))
 
 
 def _package(spark, d):
@@ -321,7 +324,7 @@ def case_timeline(spark, d):
 @query
 def case_package(spark, d):
     f = _package(spark, d).facts
-    return f.select("case_id", "evidence_count", "incident_count", "anomaly_count", "baseline_status", "chain_valid", "truncated")
+    return f.select("case_id", "evidence_count", "incident_count", "anomaly_count", "baseline_status", F.col("chain_valid").cast("string").alias("chain_valid"), "truncated")
 
 
 @query
@@ -349,7 +352,7 @@ def case_integrity(spark, d):
     return cases.integrity_status(p.facts).join(
         cases.integrity_counts(p.evidence).groupBy("case_id").pivot("integrity", ["LEGACY", "HASHED_UNVERIFIED", "VERIFIED", "TAMPERED"]).agg(F.sum("n")),
         "case_id", "left",
-    ).na.fill(0)
+    ).na.fill(0).withColumn("valid", F.col("valid").cast("string"))
 
 
 @query

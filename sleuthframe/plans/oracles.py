@@ -107,7 +107,7 @@ ORACLES["retrieve_hours"] = limited("hour(ts) BETWEEN 22 AND 23 AND \"user\" = '
 ORACLES["related_events"] = EV + """, top AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY ts DESC, id DESC) AS n FROM ev)
   SELECT e.id, e.source, coalesce(string_agg(CAST(t.id AS VARCHAR), '|' ORDER BY t.n) FILTER (WHERE t.id <> e.id), '') AS related_ids
   FROM ev e JOIN top t ON t.source = e.source AND t.n <= 15 GROUP BY e.id, e.source"""
-ORACLES["ingest_roundtrip"] = EV + """ SELECT CAST(ts AS DATE) AS event_date, source, count(*) AS n, min(id) AS lo, max(id) AS hi
+ORACLES["ingest_roundtrip"] = EV + """ SELECT strftime(ts, '%Y-%m-%d') AS event_date, source, count(*) AS n, min(id) AS lo, max(id) AS hi
   FROM ev GROUP BY 1, 2"""
 ORACLES["legacy_union"] = EV + """, u AS (SELECT source, 1 AS h FROM ev UNION ALL SELECT source, NULL FROM ev WHERE source = 'USB')
   SELECT source, count(*) AS n, count(h) AS hashed FROM u GROUP BY 1"""
@@ -321,9 +321,9 @@ _HOURS = NOTES + f""", low AS (SELECT note_id, lower(text) AS l FROM notes),
   hrs AS (SELECT note_id, {_clock('b1')} AS h1, {_clock('b2')} AS h2, {_clock('af')} AS ha, {_clock('bf')} AS hb, {_clock('ar')} AS hr FROM part),
   win AS (SELECT note_id, CASE WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN least(h1, h2) WHEN ha IS NOT NULL THEN ha WHEN hb IS NOT NULL THEN 0 ELSE hr END AS hour_start,
     CASE WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN greatest(h1, h2) WHEN ha IS NOT NULL THEN 23 WHEN hb IS NOT NULL THEN hb ELSE hr END AS hour_end FROM hrs)"""
-ORACLES["extract_hours"] = EV + _HOURS + " SELECT * FROM win"
+ORACLES["extract_hours"] = EV + _HOURS + " SELECT note_id, coalesce(hour_start, -1) AS hour_start, coalesce(hour_end, -1) AS hour_end FROM win"
 ORACLES["question_requests"] = EV + _HOURS + f""", tg AS (SELECT note_id, {_sev} AS severity, {_intent} AS intent FROM notes)
-  SELECT intent, severity, hour_start, hour_end, count(*) AS n FROM tg JOIN win USING (note_id) GROUP BY 1, 2, 3, 4"""
+  SELECT intent, severity, coalesce(hour_start, -1) AS hour_start, coalesce(hour_end, -1) AS hour_end, count(*) AS n FROM tg JOIN win USING (note_id) GROUP BY 1, 2, 3, 4"""
 
 # -- requests ------------------------------------------------------------------------------------------------
 
@@ -540,7 +540,7 @@ ORACLES["evidence_lines"] = CASE + f""" SELECT case_id, row_no AS line_no, '- [e
     CASE WHEN file_path <> '' THEN 'path=' || file_path END, 'integrity=' || label) || ']' AS line FROM evid WHERE row_no <= 200"""
 ORACLES["case_timeline"] = CASE + """, t AS (SELECT case_id, id, row_no, CASE WHEN NOT contains(description, 'file5') THEN ts END AS tt FROM evid)
   SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY tt NULLS LAST, row_no) - 1 AS position, id AS event_id, tt IS NOT NULL AS has_timestamp FROM t"""
-ORACLES["case_package"] = FACT + """ SELECT case_id, n AS evidence_count, inc AS incident_count, ano AS anomaly_count, bstat AS baseline_status, valid AS chain_valid, truncated FROM fact"""
+ORACLES["case_package"] = FACT + """ SELECT case_id, n AS evidence_count, inc AS incident_count, ano AS anomaly_count, bstat AS baseline_status, CAST(valid AS VARCHAR) AS chain_valid, truncated FROM fact"""
 ORACLES["case_facts"] = FACT + " SELECT case_id, n AS evidence_count, t0 AS first_time, t1 AS last_time, CAST(0 AS BIGINT) AS untimed, srcs AS found_sources, types AS found_types FROM fact"
 ORACLES["case_report_id"] = CASE + f""", i AS (SELECT case_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS ids, min(ts) AS t0, max(ts) AS t1, count(*) AS n FROM evid GROUP BY 1)
   SELECT case_id, 'RPT-' || substr(sha256(question || '|' || coalesce(ids, '') || '|' || coalesce({iso('t0')}, '') || '|' || coalesce({iso('t1')}, '') || '|' || coalesce(n, 0)), 1, 12) AS report_id
@@ -557,7 +557,7 @@ ORACLES["case_summary"] = FACT + f""", per AS (SELECT case_id, source || '=' ||
   FROM fact LEFT JOIN bd USING (case_id)"""
 ORACLES["case_integrity"] = FACT + f""", lc AS (SELECT case_id, count(*) FILTER (WHERE label = 'LEGACY') AS a, count(*) FILTER (WHERE label = 'HASHED_UNVERIFIED') AS b1,
     count(*) FILTER (WHERE label = 'VERIFIED') AS c1, count(*) FILTER (WHERE label = 'TAMPERED') AS d1 FROM evid GROUP BY 1)
-  SELECT case_id, with_integrity AS available, valid, CASE WHEN with_integrity THEN ck ELSE 0 END AS checked_events, CASE WHEN with_integrity THEN ha ELSE 0 END AS hashed_events,
+  SELECT case_id, with_integrity AS available, CAST(valid AS VARCHAR) AS valid, CASE WHEN with_integrity THEN ck ELSE 0 END AS checked_events, CASE WHEN with_integrity THEN ha ELSE 0 END AS hashed_events,
     CASE WHEN with_integrity THEN le ELSE 0 END AS legacy_events, CASE WHEN with_integrity THEN iv ELSE 0 END AS invalid_events,
     CASE WHEN NOT with_integrity THEN {_lit(K.NOT_VERIFIED)} ELSE CASE WHEN valid THEN {_lit(K.CONSISTENT_CHAIN)} ELSE 'Hash-chain verification found ' || iv || ' record(s) that failed integrity checks.' END
       || CASE WHEN le > 0 THEN ' ' || le || ' legacy event(s) predate hash-chaining and could not be cryptographically verified.' ELSE '' END END AS summary,
@@ -607,3 +607,14 @@ ORACLES["browser_incremental"] = EV + _history + """, v AS (SELECT DISTINCT brow
   UNION ALL SELECT 'cursor', pk, last, '' FROM mv
   UNION ALL SELECT DISTINCT 'boundary', pk, NULL, key FROM (SELECT r.pk, r.key FROM r JOIN mv ON mv.pk = r.pk AND r.ts = mv.last
     UNION SELECT bo.pk, bo.key FROM bo JOIN mv ON mv.pk = bo.pk AND mv.last = mv.old)"""
+
+# -- streams -------------------------------------------------------------------------------------------------
+
+ORACLES["stream_ingest"] = ORACLES["normalize"]
+ORACLES["stream_scores"] = ORACLES["anomaly_holdout"]
+ORACLES["stream_counters"] = ORACLES["source_stats"]
+ORACLES["stream_incidents"] = "SELECT * FROM (" + ORACLES["device_session_rows"] + ") WHERE n_events >= 2"
+ORACLES["stream_hwm"] = EV + " SELECT 'Channel' || (id % 3) AS channel, id AS record_number, ts FROM ev WHERE source = 'Windows'"
+ORACLES["stream_dedup"] = ORACLES["stream_hwm"]
+ORACLES["stream_browser"] = EV + _history + """ SELECT DISTINCT browser || '::' || profile AS profile_key, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, url
+  FROM hist WHERE ts IS NOT NULL"""
