@@ -84,21 +84,50 @@ def _node(kind: str, *cols) -> Column:
     return F.md5(F.to_json(F.struct(F.lit(kind).alias("_k"), *cols)))
 
 
-def _profile_aggs() -> list[Column]:
-    """What an incident needs from its members, as partial aggregates."""
-    rank, cat = F.col("rank"), F.col("cat")
-    return [
+LABEL_COUNTS = [f"n_{x.lower()}" for x in INTEGRITY_LABELS]
+PROFILE = ["n", "t0", "t1", "sources", "event_types", "cats", "top_rank", "defender_rank", "windows_rank", *LABEL_COUNTS]
+
+
+def _profiles(rows: DataFrame, keys: list[str], per_category: bool = False) -> DataFrame:
+    """What an incident needs from its members, per key.
+
+    The first step counts per (key, source, event type) with fixed-width buffers, which is a plain hash aggregate on
+    the map side; the sets of names are collected from those few rows only.
+    """
+    grain = rows.groupBy(*keys, "source", "event_type", "kind").agg(
         F.count("*").alias("n"),
         F.min("us").alias("t0"),
         F.max("us").alias("t1"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
-        F.array_sort(F.collect_set("event_type")).alias("event_types"),
-        F.array_sort(F.collect_set("cat")).alias("cats"),
         F.max("rank").alias("top_rank"),
-        F.max(F.when(cat == "defender", rank)).alias("defender_rank"),
-        F.max(F.when(cat == "windows", rank)).alias("windows_rank"),
         *[F.count_if(F.col("label") == x).alias(f"n_{x.lower()}") for x in INTEGRITY_LABELS],
-    ]
+    )
+    is_a = lambda c: F.col("kind") == c
+    extra = []
+    if per_category:
+        for c in LINKED_CATEGORIES:
+            extra += [
+                F.sum(F.when(is_a(c), F.col("n")).otherwise(0)).alias(f"k_{c}"),
+                F.min(F.when(is_a(c), F.col("t0"))).alias(f"lo_{c}"),
+                F.max(F.when(is_a(c), F.col("t1"))).alias(f"hi_{c}"),
+            ]
+    return grain.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.min("t0").alias("t0"),
+        F.max("t1").alias("t1"),
+        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.array_sort(F.collect_set("event_type")).alias("event_types"),
+        F.array_sort(F.collect_set("kind")).alias("cats"),
+        F.max("top_rank").alias("top_rank"),
+        F.max(F.when(is_a("defender"), F.col("top_rank"))).alias("defender_rank"),
+        F.max(F.when(is_a("windows"), F.col("top_rank"))).alias("windows_rank"),
+        *[F.sum(c).alias(c) for c in LABEL_COUNTS],
+        *extra,
+    )
+
+
+def _moment() -> Column:
+    """(us, id) as one number, so that its minimum and maximum fit a fixed-width buffer; ids are not negative."""
+    return F.expr("cast(us as decimal(18,0)) * 10000000000000000000BD + cast(id as decimal(19,0))")
 
 
 def _merge_profile() -> list[Column]:
@@ -111,7 +140,7 @@ def _merge_profile() -> list[Column]:
         F.max("t1").alias("t1"),
         *[union_of(c) for c in ("sources", "event_types", "cats")],
         *[F.max(c).alias(c) for c in ("top_rank", "defender_rank", "windows_rank")],
-        *[F.sum(f"n_{x.lower()}").alias(f"n_{x.lower()}") for x in INTEGRITY_LABELS],
+        *[F.sum(c).alias(c) for c in LABEL_COUNTS],
     ]
 
 
@@ -132,7 +161,10 @@ def device_sessions(events: DataFrame, window_seconds: float = 300, by: list[str
     """Runs of one device whose inner gaps are at most the window."""
     w_us = _window_us(window_seconds)
     rows = _with_cell(features(events, by), w_us).where("device <> ''")
-    cells = _sessions(rows.groupBy(*(by or []), "device", "cell").agg(*_profile_aggs()), by or [], w_us)
+    cells = rows.groupBy(*(by or []), "device", "cell").agg(
+        F.count("*").alias("n"), F.min("us").alias("t0"), F.max("us").alias("t1")
+    )
+    cells = _sessions(cells, by or [], w_us)
     return (
         cells.groupBy(*(by or []), "device", "session")
         .agg(F.sum("n").alias("n_events"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
@@ -194,7 +226,7 @@ def _device_reasons(rows: DataFrame, cells: DataFrame, by: list[str], w_us: int)
         F.count("*").alias("n"),
         F.min("us").alias("lo"),
         F.max("us").alias("hi"),
-        F.max(F.struct("us", "id")).alias("last"),
+        F.max(_moment()).alias("last"),
     )
     paths = spelled.groupBy(*at, "dir", "npath").agg(
         F.min("lo").alias("lo"),
@@ -307,8 +339,9 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
         F.to_json(F.struct(F.lit("hub").alias("_k"), *by, F.col("kind"), F.col("key"), F.col("cell").alias("hub_cell")))
     )
     touching = near.where((F.col("device") != "") | (F.col("cell") != F.col("hub_cell")) | (F.col("n") >= 2))
+    touching = cut_lineage(touching.select(*by, "device", "cell", "kind", "key", "hub", own.alias("own")))
     edges = touching.select(
-        *by, "device", "cell", F.when(F.col("device") == "", own).alias("src"), F.col("hub").alias("dst")
+        *by, "device", "cell", F.when(F.col("device") == "", F.col("own")).alias("src"), F.col("hub").alias("dst")
     )
     reasons = [
         touching.where("kind = 'user'").select(
@@ -334,7 +367,7 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
     )
 
     # Device-less rows grouped so that all rows of a group touch the same hubs.
-    groups = _grouped(loose).groupBy(*by, *GROUP_KEY).agg(*_profile_aggs())
+    groups = _profiles(_grouped(loose).withColumn("kind", F.col("cat")), [*by, *GROUP_KEY])
     hub_of = lambda kind, key: _node(
         "hub", *by, F.lit(kind).alias("kind"), key.alias("key"), F.col("cell").alias("hub_cell")
     )
@@ -388,7 +421,7 @@ def _file_hub(by: list[str], cell: Column) -> Column:
 def _loose_path_reasons(rows: DataFrame, by: list[str], w_us: int) -> list[DataFrame]:
     """Same path, at least one row without a device; the earlier row gives the spelling."""
     loose = F.col("device") == ""
-    at = F.struct("us", "id")
+    at = _moment()
     forms = (
         rows.where("npath IS NOT NULL")
         .groupBy(*by, "fkey", "npath", "cell", "path")
@@ -517,7 +550,7 @@ def _category_rules(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFram
         .otherwise(F.col("loose_lo") - F.col("hi") <= w_us)
     )
     hubs = a.join(stats.drop("loose_n", "loose_lo", "loose_hi"), [*by, "cell", "cat"]).where(valid)
-    hubs = hubs.withColumn("hub", _node("type", *by, F.col("a"), F.col("cat"), F.col("a_cell"), F.col("cell")))
+    hubs = cut_lineage(hubs.withColumn("hub", _node("type", *by, F.col("a"), F.col("cat"), F.col("a_cell"), F.col("cell"))))
     reason = None
     for x, y in DIRECTED:
         test = (F.col("a") == x) & (F.col("cat") == y)
@@ -577,30 +610,21 @@ def correlate(
         bridge = not rows.where("device = ''").limit(1).isEmpty()
 
     held = rows.where("device <> ''")
-    per_cat = []
-    for c in LINKED_CATEGORIES:
-        mine = F.when(F.col("cat") == c, F.col("us"))
-        per_cat += [
-            F.count(mine).alias(f"k_{c}"),
-            F.min(mine).alias(f"lo_{c}"),
-            F.max(mine).alias(f"hi_{c}"),
-        ]
-    cells = _sessions(held.groupBy(*by, "device", "cell").agg(*_profile_aggs(), *per_cat), by, w_us)
+    cells = _profiles(held.withColumn("kind", F.col("cat")), [*by, "device", "cell"], per_category=True)
+    cells = _sessions(cells, by, w_us)
     # Written once: one row per (device, cell) feeds every table below, so the events are not read again for it.
     cells = cut_lineage(cells.withColumn("node", _node("session", *by, F.col("device"), F.col("session"))))
     said = _device_reasons(held, cells, by, w_us).join(
         cells.select(*by, "device", "cell", "node"), [*by, "device", "cell"]
     )
     said = said.select(*by, "node", "signal", "reason")
-    profile = ["n", "t0", "t1", "sources", "event_types", "cats", "top_rank", "defender_rank", "windows_rank"]
-    profile += [f"n_{x.lower()}" for x in INTEGRITY_LABELS]
     shared = (
         cells.groupBy(*by, "node", "device").agg(F.sum("n").alias("n")).where("n >= 2").select(
             *by, "node", F.lit("device").alias("signal"), F.concat(F.lit("same device: "), "device").alias("reason")
         )
     )
     said = said.unionByName(shared)
-    parts = cells.select(*by, "node", *profile)
+    parts = cells.select(*by, "node", *PROFILE)
 
     if bridge:
         edges, loose_reasons, groups = _bridge(rows, by, w_us)
@@ -610,7 +634,7 @@ def correlate(
         ).select(F.coalesce("src", "node").alias("src"), "dst")
         comps = connected_components(resolved).withColumnRenamed("component", "comp")
         said = said.unionByName(loose_reasons)
-        parts = parts.unionByName(groups.select(*by, "node", *profile))
+        parts = parts.unionByName(groups.select(*by, "node", *PROFILE))
 
         def settle(df: DataFrame) -> DataFrame:
             return df.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")
@@ -677,7 +701,7 @@ def correlate(
             priority(F.col("cats"), F.col("defender_rank"), F.col("windows_rank"), F.col("top_rank")).alias("priority"),
             F.coalesce(F.size("confidence_signals"), F.lit(0)).alias("confidence_score"),
             F.coalesce("confidence_signals", F.array().cast("array<string>")).alias("confidence_signals"),
-            *[F.col(f"n_{x.lower()}") for x in INTEGRITY_LABELS],
+            *LABEL_COUNTS,
         )
     )
     parts = listed.join(named, [*by, "comp"]).select(*by, "incident_id", "part", "listed")

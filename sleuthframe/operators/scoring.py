@@ -128,7 +128,8 @@ def score(
     ``keep`` names extra columns to carry along.
     """
     own = baseline is None
-    base = baseline or learn(events, min_events)
+    # The history is read once; every table of the model comes from the settled profile.
+    base = baseline or learn(events, min_events).settled()
     rare = limits.rare_threshold
     rows = behavior_features(events).withColumn(
         "_row", F.struct("id", *(keep or []))

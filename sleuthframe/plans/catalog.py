@@ -19,7 +19,7 @@ from sleuthframe.operators.baseline import learn
 from sleuthframe.operators.correlate import correlate, device_sessions
 from sleuthframe.operators.requests import batch_retrieve, parse_questions, validate_requests
 from sleuthframe.plans import derived
-from sleuthframe.session import checkpoint_root, configure
+from sleuthframe.session import checkpoint_root, configure, cut_lineage
 from sleuthframe.sources import records, store
 from sleuthframe.sources.activity import activity_events
 
@@ -300,7 +300,8 @@ def question_requests(spark, d):
 
 
 def _package(spark, d):
-    return cases.CasePackage(derived.stored_chain(spark, d, tampered=True), derived.requests(spark, d), "chain")
+    stored = cut_lineage(derived.stored_chain(spark, d, tampered=True))
+    return cases.CasePackage(stored, derived.requests(spark, d), "chain")
 
 
 @query
@@ -442,7 +443,7 @@ def collector_attribution(spark, d):
 
 @query
 def dashboard_summary(spark, d):
-    e = derived.stored_chain(spark, d)
+    e = cut_lineage(derived.stored_chain(spark, d))
     return summaries.dashboard(e, correlate(e, bridge=False).incidents, scoring.score(e), "chain")
 
 
@@ -496,7 +497,7 @@ def incident_priority(spark, d):
 
 @query
 def incident_integrity(spark, d):
-    rows = derived.stored_chain(spark, d, tampered=True)
+    rows = cut_lineage(derived.stored_chain(spark, d, tampered=True))
     labelled = chain.integrity_labels(rows, chain.verdicts(rows, "chain"))
     c = correlate(labelled, label=F.col("integrity"), bridge=False)
     return c.incidents.select("incident_id", "n_legacy", "n_hashed_unverified", "n_verified", "n_tampered")

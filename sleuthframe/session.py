@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # Split a hot join key even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Newest-N rows per group are cut on the map side up to this N.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
