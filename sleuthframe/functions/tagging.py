@@ -1,13 +1,16 @@
-"""Rules that read filters out of a text column (analyst questions or notes)."""
+"""Rules that read filters out of a text column (analyst questions or notes).
+
+Functions with a ``low`` argument take the lower-cased text; ``with_lower`` adds it as a column that is computed once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import strip
 
-# Ordered patterns and the label each one gives. Texts are lower-cased first.
+# Ordered patterns and the label each one gives.
 SOURCE_RULES = [
     (r"\busb\b|\bremovable\b|\bthumb ?drive\b|\bflash ?drive\b", "USB"),
     (r"\bfile ?system\b|\bfiles?\b|\bfolder\b|\bdirector(?:y|ies)\b", "FileSystem"),
@@ -49,6 +52,11 @@ CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(a\.?m\.?|p\.?m\.?)?\b"
 UNICODE = "(?U)"
 
 
+def with_lower(rows: DataFrame, column: str) -> DataFrame:
+    """Add ``low``. A generated row keeps it from being merged into each of the many rules that read it."""
+    return rows.select("*", F.explode(F.array(F.lower(F.coalesce(column, F.lit(""))))).alias("low"))
+
+
 def _has(low: Column, pattern: str) -> Column:
     return low.rlike(UNICODE + pattern)
 
@@ -57,22 +65,21 @@ def _all_labels(low: Column, rules) -> Column:
     return F.array_compact(F.array(*[F.when(_has(low, p), F.lit(x)) for p, x in rules]))
 
 
-def source_labels(t: Column) -> Column:
-    return _all_labels(F.lower(t), SOURCE_RULES)
+def source_labels(low: Column) -> Column:
+    return _all_labels(low, SOURCE_RULES)
 
 
-def event_type_labels(t: Column) -> Column:
-    return _all_labels(F.lower(t), EVENT_TYPE_RULES)
+def event_type_labels(low: Column) -> Column:
+    return _all_labels(low, EVENT_TYPE_RULES)
 
 
-def severity_label(t: Column) -> Column:
+def severity_label(low: Column) -> Column:
     """First rule that matches, else null."""
-    return F.coalesce(*[F.when(_has(F.lower(t), p), F.lit(x)) for p, x in SEVERITY_RULES])
+    return F.coalesce(*[F.when(_has(low, p), F.lit(x)) for p, x in SEVERITY_RULES])
 
 
-def intent(t: Column) -> Column:
+def intent(low: Column) -> Column:
     """Later kinds win over earlier ones; plain search when nothing matches."""
-    low = F.lower(t)
     return (
         F.when(_has(low, EXPLAIN_WORDS), "explain")
         .when(_has(low, BEHAVIOR_WORDS), "behavior")
@@ -82,16 +89,16 @@ def intent(t: Column) -> Column:
     )
 
 
-def wants_correlation(t: Column) -> Column:
-    return _has(F.lower(t), CORRELATION_WORDS) | _has(F.lower(t), EXPLAIN_WORDS)
+def wants_correlation(low: Column) -> Column:
+    return _has(low, CORRELATION_WORDS) | _has(low, EXPLAIN_WORDS)
 
 
-def wants_behavior(t: Column) -> Column:
-    return _has(F.lower(t), BEHAVIOR_WORDS) | _has(F.lower(t), EXPLAIN_WORDS)
+def wants_behavior(low: Column) -> Column:
+    return _has(low, BEHAVIOR_WORDS) | _has(low, EXPLAIN_WORDS)
 
 
-def wants_integrity(t: Column) -> Column:
-    return _has(F.lower(t), INTEGRITY_WORDS)
+def wants_integrity(low: Column) -> Column:
+    return _has(low, INTEGRITY_WORDS)
 
 
 def _found(t: Column, pattern: str, group: int) -> Column:
@@ -126,9 +133,8 @@ def clock_hour(t: Column) -> Column:
     return F.when(value <= 23, value)
 
 
-def hour_window(t: Column) -> Column:
+def hour_window(low: Column) -> Column:
     """struct(start, end): between, after, before, around; null bounds without a clock time."""
-    low = F.lower(t)
     between = r"\bbetween\b\s+(.+?)\s+\band\b\s+(.+)"
     a = clock_hour(F.regexp_extract(low, UNICODE + between, 1))
     b = clock_hour(F.regexp_extract(low, UNICODE + between, 2))

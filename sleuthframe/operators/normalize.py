@@ -27,9 +27,8 @@ def _filled(v: Column) -> Column:
 
 
 def _first_filled(field: str) -> Column:
-    """First alias with a value, as a variant."""
-    names = F.array(*[F.lit(k) for k in FIELD_ALIASES[field]])
-    return F.try_element_at(F.filter(F.transform(names, lambda k: F.col("m")[k]), _filled), F.lit(1))
+    """First alias with a value, as a variant; ``m`` holds filled values only."""
+    return F.coalesce(*[F.col("m")[k] for k in FIELD_ALIASES[field]])
 
 
 def _metadata() -> Column:
@@ -39,20 +38,27 @@ def _metadata() -> Column:
     none = F.expr("cast(map() as map<string,variant>)")
     explicit = (
         F.when(is_object, F.try_variant_get(given, "$", "map<string,variant>"))
-        .when(_filled(given), F.create_map(F.lit("metadata"), given))
+        .when(given.isNotNull(), F.create_map(F.lit("metadata"), given))
         .otherwise(none)
     )
-    extra = F.map_filter("m", lambda k, v: ~k.isin(MAPPED_KEYS) & _filled(v))
-    merged = F.map_concat(F.coalesce(explicit, none), extra)
-    pairs = F.transform(F.array_sort(F.map_keys(merged)), lambda k: F.struct(k, merged[k]))
-    return F.when(F.size(merged) == 0, "").otherwise(F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"}))
+    extra = F.map_filter("m", lambda k, v: ~k.isin(MAPPED_KEYS))
+    merged = F.map_concat(F.coalesce(explicit, none), F.coalesce(extra, none))
+
+    def member(e: Column) -> Column:
+        """One ``"key":value`` text, with the key for sorting; a variant itself cannot be ordered."""
+        shown = F.to_json(F.map_from_arrays(F.array(e["key"]), F.array(e["value"])), {"ignoreNullFields": "false"})
+        return F.struct(e["key"].alias("k"), F.substring(shown, F.lit(2), F.length(shown) - 2).alias("t"))
+
+    members = F.array_sort(F.transform(F.map_entries(merged), member))
+    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda x: x["t"]), ","), F.lit("}"))
 
 
 def _staged(raw: DataFrame, source: str | None, event_type: str | None) -> DataFrame:
     """Every record with its event fields and the stage and reason that reject it, if any."""
     # One generated row per record: the parsed map and then the resolved fields are computed once, where a plain
     # projection would be merged into every expression that reads them.
-    parsed = raw.select("batch_pos", F.explode(F.array(F.from_json("raw", "map<string,variant>"))).alias("m"))
+    filled = F.map_filter(F.from_json("raw", "map<string,variant>"), lambda k, v: _filled(v))
+    parsed = raw.select("batch_pos", F.explode(F.array(filled)).alias("m"))
     fields = F.struct(
         (F.lit(source) if source else _as_text(_first_filled("source"))).alias("source"),
         (F.lit(event_type) if event_type else _as_text(_first_filled("event_type"))).alias("event_type"),
@@ -62,7 +68,9 @@ def _staged(raw: DataFrame, source: str | None, event_type: str | None) -> DataF
         _metadata().alias("metadata"),
     )
     typed = parsed.select("batch_pos", F.col("m").isNull().alias("_unread"), F.inline(F.array(fields)))
-    typed = typed.withColumn("ts", from_variant(F.col("_t")))
+    typed = typed.withColumn("ts", from_variant(F.col("_t"))).withColumn(
+        "metadata", F.when(F.col("metadata") != "{}", F.col("metadata")).otherwise("")
+    )
     failure = (
         F.when(F.col("_unread"), "record is not a JSON object")
         .when(F.col("source").isNull(), "source is required")

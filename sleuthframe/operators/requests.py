@@ -22,26 +22,26 @@ LIST = "array<string>"
 
 def parse_questions(questions: DataFrame, default_limit: int = DEFAULT_LIMIT) -> DataFrame:
     """``case_id, question`` to request columns."""
-    q = F.coalesce("question", F.lit(""))
-    return questions.select(
+    q, low = F.coalesce("question", F.lit("")), F.col("low")
+    return tag.with_lower(questions.select("case_id", "question"), "question").select(
         "case_id",
         q.alias("question"),
-        tag.intent(q).alias("intent"),
-        tag.source_labels(q).alias("sources"),
-        tag.event_type_labels(q).alias("event_types"),
+        tag.intent(low).alias("intent"),
+        tag.source_labels(low).alias("sources"),
+        tag.event_type_labels(low).alias("event_types"),
         tag.keyword_tokens(q).alias("keywords"),
         tag.user_token(q).alias("user"),
         tag.device_token(q).alias("device"),
         tag.path_token(q).alias("file_path"),
-        tag.severity_label(q).alias("severity"),
+        tag.severity_label(low).alias("severity"),
         F.lit(None).cast("timestamp_ntz").alias("start_time"),
         F.lit(None).cast("timestamp_ntz").alias("end_time"),
-        tag.hour_window(q)["start"].alias("hour_start"),
-        tag.hour_window(q)["end"].alias("hour_end"),
+        tag.hour_window(low)["start"].alias("hour_start"),
+        tag.hour_window(low)["end"].alias("hour_end"),
         F.lit(default_limit).alias("max_rows"),
-        tag.wants_correlation(q).alias("with_correlation"),
-        tag.wants_behavior(q).alias("with_behavior"),
-        tag.wants_integrity(q).alias("with_integrity"),
+        tag.wants_correlation(low).alias("with_correlation"),
+        tag.wants_behavior(low).alias("with_behavior"),
+        tag.wants_integrity(low).alias("with_integrity"),
     )
 
 

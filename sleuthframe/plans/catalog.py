@@ -242,8 +242,8 @@ def path_features(spark, d):
 
 @query
 def tag_text(spark, d):
-    t = F.col("text")
-    return derived.notes(spark, d).select(
+    t = F.col("low")
+    return tag.with_lower(derived.notes(spark, d), "text").select(
         "note_id",
         F.array_join(tag.source_labels(t), "|").alias("sources"),
         F.array_join(tag.event_type_labels(t), "|").alias("event_types"),
@@ -269,8 +269,8 @@ def extract_tokens(spark, d):
 
 @query
 def extract_hours(spark, d):
-    w = tag.hour_window(F.col("text"))
-    return derived.notes(spark, d).select(
+    w = tag.hour_window(F.col("low"))
+    return tag.with_lower(derived.notes(spark, d), "text").select(
         "note_id", F.coalesce(w["start"], F.lit(-1)).alias("hour_start"), F.coalesce(w["end"], F.lit(-1)).alias("hour_end")
     )
 
