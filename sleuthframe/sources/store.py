@@ -9,9 +9,12 @@ from sleuthframe.vocabulary import EVENT_COLUMNS, EVENT_SCHEMA
 
 
 def append(events: DataFrame, path: str) -> None:
-    """Append rows, partitioned by event date so that time filters prune folders."""
+    """Append rows, partitioned by event date so that time filters prune folders.
+
+    Rebalancing brings a date together in few files and splits a date that is too large for one task.
+    """
     rows = events.select(*[F.col(c) for c in EVENT_COLUMNS], F.to_date("ts").alias("event_date"))
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+    rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -55,14 +55,16 @@ def test_bridge_and_veto(make_events):
 def test_transitive_and_priority(make_events):
     rows = [{"at": t, "device": "A"} for t in (0, 200, 400)]
     assert [v[4] for v in check(make_events, rows).values()] == [3]
-    for pair, level in (
-        (({"source": "Defender", "severity": "CRITICAL"}, {}), "CRITICAL"),
-        (({"source": "Defender"}, {"source": "Defender"}), "HIGH"),
-        (({"source": "USB"}, {}), "MEDIUM"),
-        (({"source": "Browser"}, {}), "LOW"),
-    ):
-        rows = [{"at": i, "device": "A", **p} for i, p in enumerate(pair)]
-        assert [v[3] for v in check(make_events, rows).values()] == [level]
+    pairs = (
+        ({"source": "Defender", "severity": "CRITICAL"}, {}),
+        ({"source": "Defender"}, {"source": "Defender"}),
+        ({"source": "USB"}, {}),
+        ({"source": "Browser"}, {}),
+        ({"source": "Browser", "severity": "CRITICAL"}, {}),
+    )
+    rows = [{"at": i, "device": f"D{k}", **p} for k, pair in enumerate(pairs) for i, p in enumerate(pair)]
+    got = {min(v[0]): v[3] for v in check(make_events, rows).values()}
+    assert [got[k] for k in sorted(got)] == ["CRITICAL", "HIGH", "MEDIUM", "LOW", "HIGH"]
 
 
 def random_rows(rng, n, span, devices):
@@ -83,11 +85,11 @@ def random_rows(rng, n, span, devices):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_random_mixed(make_events, seed):
     rng = random.Random(seed)
-    devices = [["A", "B", "C"], ["", "A", "B"], [""], ["", "", "", "A", "B", "C", "D"]][seed % 4]
-    check(make_events, random_rows(rng, 60, 12_000 if seed < 4 else 40_000, devices))
+    devices = [["A", "B", "C"], ["", "A", "B"], [""], ["", "", "", "A", "B", "C", "D"]][seed]
+    check(make_events, random_rows(rng, 120, 30_000, devices))
 
 
 def test_scopes_stay_apart(make_events):
