@@ -41,18 +41,25 @@ def segment(segment_rows: int = SEGMENT_ROWS) -> Column:
     return F.floor((F.col("id") - 1) / F.lit(segment_rows)).cast("bigint")
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk sorted rows of one partition; only the current hash is kept between batches."""
-    chain, tip = None, ""
-    for pdf in batches:
-        hashes, links = [], []
-        for key, seed, head, tail in zip(pdf["chain"], pdf["seed"], pdf["head"], pdf["tail"], strict=True):
-            if key != chain:
-                chain, tip = key, seed
-            links.append(tip)
-            tip = hashlib.sha256((head + tip + tail).encode()).hexdigest()
-            hashes.append(tip)
-        yield pd.DataFrame({"chain": pdf["chain"], "id": pdf["id"], "event_hash": hashes, "previous_hash": links})
+def _fold():
+    """Function that walks the sorted rows of one partition and keeps only the current hash between batches.
+
+    An inner function travels to the workers by value, so they need not have this package installed.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, tip = None, ""
+        for pdf in batches:
+            hashes, links = [], []
+            for key, seed, head, tail in zip(pdf["chain"], pdf["seed"], pdf["head"], pdf["tail"], strict=True):
+                if key != chain:
+                    chain, tip = key, seed
+                links.append(tip)
+                tip = hashlib.sha256((head + tip + tail).encode()).hexdigest()
+                hashes.append(tip)
+            yield pd.DataFrame({"chain": pdf["chain"], "id": pdf["id"], "event_hash": hashes, "previous_hash": links})
+
+    return fold
 
 
 def build_chain(events: DataFrame, chain: Column | None = None, tips: DataFrame | None = None) -> DataFrame:
@@ -89,7 +96,7 @@ def build_chain(events: DataFrame, chain: Column | None = None, tips: DataFrame
     hashed = (
         parts.repartition("chain")
         .sortWithinPartitions("chain", "id")
-        .mapInPandas(_fold, "chain string, id bigint, event_hash string, previous_hash string")
+        .mapInPandas(_fold(), "chain string, id bigint, event_hash string, previous_hash string")
     )
     return keyed.join(hashed, ["chain", "id"])
 
@@ -118,7 +125,7 @@ def seal(tips: DataFrame) -> DataFrame:
     return (
         parts.repartition("chain")
         .sortWithinPartitions("chain", "id")
-        .mapInPandas(_fold, "chain string, id bigint, event_hash string, previous_hash string")
+        .mapInPandas(_fold(), "chain string, id bigint, event_hash string, previous_hash string")
         .select(F.col("id").alias("segment"), F.col("event_hash").alias("seal_hash"), F.col("previous_hash").alias("previous_seal"))
     )
 
