@@ -4,11 +4,14 @@ Each permutation of the shingle hashes is evaluated once and gives two values of
 maximum. Both agree between two sets with a probability equal to their Jaccard similarity. Signatures are cut into bands;
 equal bands make a bucket. What a bucket proposes is confirmed on the full sets.
 
-Documents with equal sets are one node, however many there are, so copies never meet in a bucket. Inside a bucket the
-nodes need not be compared in pairs: only links between different components matter. In each round a bucket's centre is
-compared with its members of other components, confirmed links merge components, and the centre leaves the bucket. When
-few pairs across components are left, they are all compared. No pair that a bucket proposes goes unseen unless its two
-nodes are linked already.
+Documents with equal sets are one node, however many there are, so copies never meet in a bucket. Inside a bucket only
+links between different components matter. First each bucket's centre is compared with its members: confirmed links make
+components, and pairs that are loosely alike by their signatures make families. A pair of a bucket that is still open is
+then either of two families, and such chance pairs are few and compared one by one; or of one family but two components.
+Families are cut into blocks in the order of their components, and pairs of blocks that hold more than one component are
+compared inside tasks, signatures first and full sets where these leave it open. Only links that merge components come
+out, so no list of pairs grows with the square of a group. No pair that a bucket proposes goes unseen unless its two nodes
+are linked already.
 
 Bounds of loss: at similarity 0.8, 32 bands of 5 values miss a pair with probability 3e-6; the estimate by the whole
 signature, which spares the full sets of hopeless pairs, misses one in 1e-8. Sets are compared by 64-bit shingle hashes.
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.tables import WORD, keyed, settle
+from sleuthframe.llm.tables import WORD, keyed, numbered, settle
 from sleuthframe.operators.components import connected_components
 
 SHINGLE = 5
@@ -40,8 +43,10 @@ BAND_VALUES = 5
 SEED = 71
 # Values that must agree before full sets are fetched: six standard deviations below the threshold.
 DEVIATIONS = 6
-# Rounds with centres before the pairs that are left are compared one by one, if there are more than members.
-ROUNDS = 4
+# Share of agreeing values from which two nodes are one family. Any value gives the same groups; it steers the work.
+LOOSE = 0.45
+# Nodes of a family that a task compares with as many others.
+BLOCK = 256
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,20 +149,37 @@ def full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return both.select("node", "text").mapInPandas(run, "node long, grams binary")
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; first the signatures rule out what can't."""
-    values = 2 * PERMUTATIONS
-    share = percent / 100
-    least = values * share - DEVIATIONS * (values * share * (1 - share)) ** 0.5
+def least_agreement(percent: int) -> float:
+    """Values that must agree before full sets are compared."""
+    values, share = 2 * PERMUTATIONS, percent / 100
+    return values * share - DEVIATIONS * (values * share * (1 - share)) ** 0.5
 
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Both nodes' values; a centre of many pairs is split by the adaptive skew join, both inputs being written."""
+    one = table.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    two = table.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y")
+
+
+def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, same): number of agreeing signature values of each pair that can matter."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 x = np.frombuffer(b"".join(frame["x"]), "uint8").reshape(len(frame), -1)
                 y = np.frombuffer(b"".join(frame["y"]), "uint8").reshape(len(frame), -1)
-                yield frame.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
+                same = (x == y).sum(axis=1)
+                yield frame.assign(same=same).loc[same >= LOOSE * x.shape[1], ["a", "b", "same"]]
+
+    return settle(beside(pairs, nodes, "short").mapInPandas(run, "a long, b long, same long"))
 
-    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def confirm(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = []
             for x, y in zip(frame["x"], frame["y"], strict=True):
@@ -166,64 +188,118 @@ def confirm(pairs: DataFrame, nodes: DataFrame, grams: DataFrame, percent: int)
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield frame.loc[np.array(good, bool), ["a", "b"]]
 
-    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        """Both sides' values; a centre of many pairs is split by the adaptive skew join, both inputs being written."""
-        one = table.select(F.col("node").alias("b"), F.col(column).alias("y"))
-        two = table.select(F.col("node").alias("a"), F.col(column).alias("x"))
-        return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y")
-
-    likely = settle(beside(pairs, nodes, "short").mapInPandas(near, "a long, b long"))
-    return settle(beside(likely, grams, "grams").mapInPandas(exact, "a long, b long"))
-
-
-def links(members: DataFrame, nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) of all nodes that have a link; ``members(bucket, node, n)`` are the shared buckets."""
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    share = percent / 100
-    turn = 0
-    while True:
-        if labels is not None:
-            members = members.drop("part").join(labels.withColumnRenamed("component", "part"), "node", "left")
-            members = members.withColumn("part", F.coalesce("part", "node"))
-        else:
-            members = members.withColumn("part", F.col("node"))
-        parts = members.groupBy("bucket", "part").agg(F.count("*").alias("n_part"))
-        square = parts.groupBy("bucket").agg(
-            F.sum("n_part").alias("all"), F.sum(F.col("n_part") * F.col("n_part")).alias("own")
+    return settle(beside(pairs, grams, "grams").mapInPandas(run, "a long, b long"))
+
+
+def merging_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between nodes of different parts of two blocks, as many as it takes to merge what is linked."""
+    least = least_agreement(percent)
+    x = np.frombuffer(b"".join(left["short"]), "uint8").reshape(len(left), -1)
+    y = np.frombuffer(b"".join(right["short"]), "uint8").reshape(len(right), -1)
+    same = np.zeros((len(x), len(y)), "uint16")
+    for value in range(x.shape[1]):
+        same += x[:, value, None] == y[None, :, value]
+    n, m = left["n"].to_numpy(), right["n"].to_numpy()
+    alike = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    parent: dict[int, int] = {}
+
+    def find(part: int) -> int:
+        while parent.setdefault(part, part) != part:
+            parent[part] = part = parent[parent[part]]
+        return part
+
+    sets = [np.frombuffer(g, "uint64") for g in right["grams"]]
+    parts, found = right["part"].to_numpy(), []
+    for i, (a, own, raw) in enumerate(zip(left["node"], left["part"], left["grams"], strict=True)):
+        mine = np.frombuffer(raw, "uint64")
+        roots = {p: find(p) for p in np.unique(parts).tolist()}
+        open_ = (same[i] >= least) & alike[i] & np.array([roots[p] != find(own) for p in parts.tolist()])
+        at = np.flatnonzero(open_)
+        if not len(at):
+            continue
+        # All candidates of a node at once: their shingles are looked up in the node's sorted set.
+        every = np.concatenate([sets[j] for j in at])
+        starts = np.cumsum([0] + [len(sets[j]) for j in at[:-1]])
+        hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+        both = np.add.reduceat(hit, starts, dtype="int64")
+        for j in at[100 * both >= percent * (len(mine) + m[at] - both)]:
+            one, two = find(own), find(int(parts[j]))
+            if one != two:
+                parent[max(one, two)] = min(one, two)
+                found.append((int(a), int(right["node"].iloc[j])))
+    return found
+
+
+def family_links(family: DataFrame, nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the parts of each family of ``family(node, family, part)``."""
+    placed = settle(numbered(family, [F.col("family"), F.col("part"), F.col("node")]))
+    base = settle(placed.groupBy("family").agg(F.min("_pos").alias("base")))
+    blocks = settle(
+        placed.join(base, "family").select(
+            "node", "family", "part", F.expr(f"(_pos - base) div {BLOCK}").cast("long").alias("block")
         )
-        mixed_buckets = square.where("all * all > own")
-        members = settle(members.join(mixed_buckets, "bucket").select("bucket", "node", "n", "part", "all", "own"))
-        totals = members.agg(
-            F.count("*").alias("rows"),
-            F.sum((F.col("all") * F.col("all") - F.col("own")) / (2 * F.col("all"))).alias("pairs"),
-        ).first()
-        if not totals["rows"]:
-            return labels
-        alike = F.least("n", "m") >= F.lit(share) * F.greatest("n", "m")
-        last = turn >= ROUNDS or totals["pairs"] <= totals["rows"]
-        if last:
-            other = members.select(
-                "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("part_a")
-            )
-            both = members.join(other, "bucket").where((F.col("part_a") < F.col("part")) & alike)
-        else:
-            pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part", "n")).alias("c")
-            centre = settle(members.groupBy("bucket").agg(pick))
-            centre = centre.select(
-                "bucket", F.col("c.node").alias("a"), F.col("c.part").alias("part_a"), F.col("c.n").alias("m")
-            )
-            members = settle(members.join(centre, "bucket"))
-            both = members.where((F.col("part_a") != F.col("part")) & alike)
-        # A pair that several buckets propose is compared once.
-        pairs = settle(both.select("a", F.col("node").alias("b")).distinct())
-        new = confirm(pairs, nodes, grams, percent)
-        found = new if found is None else settle(found.unionByName(new))
-        labels = settle(connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        if last:
-            return labels
-        members = members.where(F.col("node") != F.col("a")).select("bucket", "node", "n", "part")
-        turn += 1
+    )
+    spans = settle(blocks.groupBy("family", "block").agg(F.min("part").alias("low"), F.max("part").alias("high")))
+    other = spans.select("family", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    # Parts are in order, so two blocks that lie wholly in one part have nothing left to find.
+    work = spans.join(other, "family").where(
+        (F.col("block") <= F.col("block2")) & ((F.col("low") != F.col("high2")) | (F.col("low2") != F.col("high")))
+    )
+    sides = work.select(
+        "family",
+        F.struct("block", "block2").alias("pair"),
+        F.explode(F.when(F.col("block") == F.col("block2"), F.array("block")).otherwise(F.array("block", "block2"))).alias(
+            "block"
+        ),
+    )
+    rows = (
+        blocks.join(settle(sides), ["family", "block"])
+        .join(nodes.select("node", "n", "short"), "node")
+        .join(grams, "node")
+        .select("family", "pair.block", "pair.block2", (F.col("block") == F.col("pair.block")).alias("left"), "node", "part", "n", "short", "grams")
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = group[group["left"]], group[~group["left"]]
+        if not len(two):
+            two = one
+        return pd.DataFrame(merging_links(one, two, percent), columns=["a", "b"])
+
+    return settle(rows.groupBy("family", "block", "block2").applyInPandas(compare, "a long, b long"))
+
+
+def labelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Add the component of each node by the links, the node itself where it has none."""
+    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = settle(connected_components(edges).withColumnRenamed("component", name))
+    return members.join(labels, "node", "left").withColumn(name, F.coalesce(name, "node"))
+
+
+def links(members: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what is linked; ``members(bucket, node, n)`` are the shared buckets."""
+    least = least_agreement(percent)
+    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("c")
+    centres = settle(members.groupBy("bucket").agg(centre).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("m")))
+    star = members.join(centres, "bucket").where((F.col("node") != F.col("a")) & alike)
+    # A pair that several buckets propose is compared once.
+    near = agreement(settle(star.select("a", F.col("node").alias("b")).distinct()), nodes)
+    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node")
+    grams = settle(full_sets(rows, wanted.select("node", "first._file", "first._row"), shingle))
+    found = confirm(near.where(F.col("same") >= least).select("a", "b"), grams, percent)
+    single = settle(members.select("node").distinct())
+    named = settle(labelled(labelled(single, found, "part"), near, "family"))
+    # Chance pairs: one bucket, two families.
+    spread = members.join(named, "node")
+    mixed_buckets = spread.groupBy("bucket").agg(F.min("family").alias("f1"), F.max("family").alias("f2")).where("f1 <> f2")
+    spread = settle(spread.join(mixed_buckets, "bucket").select("bucket", "node", "n", "family"))
+    other = spread.select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("family").alias("other"))
+    chance = spread.join(other, "bucket").where((F.col("family") < F.col("other")) & alike)
+    likely = agreement(settle(chance.select("a", F.col("node").alias("b")).distinct()), nodes)
+    across = confirm(likely.where(F.col("same") >= least).select("a", "b"), grams, percent)
+    several = named.groupBy("family").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2")
+    inside = family_links(named.join(settle(several.select("family")), "family").select("node", "family", "part"), nodes, grams, percent)
+    return settle(found.unionByName(across).unionByName(inside))
 
 
 def groups(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -241,14 +317,7 @@ def groups(rows: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = settle(entries.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"))
     members = settle(entries.join(shared, "bucket"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node")
-    grams = settle(full_sets(rows, wanted.select("node", "first._file", "first._row"), shingle))
-    labels = links(members, nodes, grams, percent)
-    named = nodes.select("node", "digest", "first")
-    if labels is None:
-        named = named.withColumn("component", F.col("node"))
-    else:
-        named = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = labelled(nodes.select("node", "digest", "first"), links(members, nodes, rows, shingle, percent), "component")
     smallest = named.groupBy("component").agg(F.min("first").alias("least"))
     # The label of a set belongs to all rows with its digest; copies of one text may be a third of them.
     of_set = settle(named.join(smallest, "component").select("digest", "least"))
