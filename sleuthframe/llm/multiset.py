@@ -111,6 +111,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         F.expr(f"(_pos + 1) % {max(n, 1)}").alias("_pos"),
         F.col("_file").alias("to_file"),
         F.col("_row").alias("to_row"),
+        F.col("id").alias("to_id"),
         F.expr("n_chars div 2").alias("need"),
     )
     return settle(placed.select("_pos", "_file", "_row").join(before, "_pos").drop("_pos"))
@@ -140,10 +141,12 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.coalesce(F.col(f"_doc.`{text_col}`"), F.lit("")).alias("text"),
     )
     keys = rows.select("_file", "_row", "id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("h"))
-    texts = rows.select("_file", "_row", "id", "text")
+    # Both joins read the same columns of the texts, so that Spark deals them out once.
+    texts = rows.select("_file", "_row", "text")
     heads = with_fingerprint(texts.join(neighbours(keys), ["_file", "_row"]), F.col("text"), "next_lanes").select(
         F.col("to_file").alias("_file"),
         F.col("to_row").alias("_row"),
+        F.col("to_id").alias("id"),
         F.expr("substring(text, 1, cast(need as int))").alias("head"),
         "next_lanes",
     )
