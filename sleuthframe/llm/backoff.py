@@ -19,7 +19,6 @@ result; other columns travel inside ``_doc``.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -33,9 +32,9 @@ from sleuthframe.llm.tables import WORD, keyed, stored
 
 CONTEXT_SHARE = 1e-5
 DISCOUNT = 0.75
-BLOCK_DOCS = 8192
+BLOCK_DOCS = 4096
 # Tokens that a task gathers before it sends its counts; bounds its memory, never the result.
-GATHERED = 3_000_000
+GATHERED = 1_500_000
 
 # The end of a text is a token of its own, outside the values of the word hash.
 END = 0
@@ -49,14 +48,13 @@ class Reader:
         self.word = re.compile(WORD)
         self.hashes = WordHashes()
 
-    def tokens(self, text: str | None) -> list[int]:
-        out = [self.hashes[w] or 1 for w in self.word.findall(text or "")]
-        out.append(END)
-        return out
-
-
-def as_long(values: np.ndarray) -> np.ndarray:
-    return values.astype("uint64").view("int64")
+    def tokens(self, text: str | None) -> np.ndarray:
+        words = self.word.findall(text or "")
+        out = np.empty(len(words) + 1, "uint64")
+        out[:-1] = np.fromiter(map(self.hashes.__getitem__, words), "uint64", len(words))
+        out[out == END] = 1
+        out[-1] = END
+        return out.view("int64")
 
 
 def _counted(rows: DataFrame, items) -> DataFrame:
@@ -72,8 +70,8 @@ def _counted(rows: DataFrame, items) -> DataFrame:
 
         def send() -> pd.DataFrame:
             every = np.concatenate([x for x, _ in held])
-            learnt = np.concatenate([np.full(len(x), t) for x, t in held])
-            found, of = np.unique(every, return_inverse=True)
+            learnt = np.repeat([t for _, t in held], [len(x) for x, _ in held])
+            of, found = pd.factorize(every)
             times = np.bincount(of, weights=learnt, minlength=len(found)).astype("int64")
             return pd.DataFrame({"_file": at[0], "block": at[1], "item": found, "c": times})
 
@@ -118,7 +116,7 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
     rows = rows.withColumn("id", F.col("id").cast("string")).withColumn(
         "block", F.expr(f"_row div {BLOCK_DOCS}").cast("long")
     )
-    words = _totals(_counted(rows, lambda tokens: as_long(np.array(tokens, "uint64"))), "words").drop("c")
+    words = _totals(_counted(rows, lambda tokens: tokens), "words").drop("c")
     leads = words.where("lead and total > 0")
     finished = F.sum(F.when(F.col("item") == END, F.col("total")))
     sums = leads.agg(F.sum("total").alias("n"), F.count("*").alias("v"), finished.alias("ends")).first()
@@ -132,9 +130,8 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
     width = start + 1
     shared = spark.sparkContext.broadcast(contexts)
 
-    def pairs(tokens: list[int]) -> np.ndarray:
+    def pairs(tokens: np.ndarray) -> np.ndarray:
         known = shared.value
-        tokens = as_long(np.array(tokens, "uint64"))
         at = np.searchsorted(known, tokens)
         at[at == len(known)] = 0
         state = np.where(known[at] == tokens, at, -1) if len(known) else np.full(len(tokens), -1)
@@ -156,47 +153,37 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
     def score_block(key, docs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         contexts, history, fail, weight = model.value
         reader = Reader()
-        floor = math.log10(0.5 / (n + 0.5 * (v + 1)))
-        mine = part[part["kind"] == 1]
-        total = mine["total"].to_numpy("int64")
-        plain = (total + 0.5) / (n + 0.5 * (v + 1))
-        item = mine["item"].to_numpy("int64")
+        mine = part[part["kind"] == 1].sort_values("item")
+        item, total = mine["item"].to_numpy("int64"), mine["total"].to_numpy("int64")
+        chance = (total + 0.5) / (n + 0.5 * (v + 1))
         spot = np.searchsorted(contexts, item)
         spot[spot == len(contexts)] = 0
+        # Arcs of the root: its words in order, their log-probabilities and next states.
         target = np.where(contexts[spot] == item, spot, ROOT) if len(contexts) else np.full(len(item), ROOT)
-        word = item.view("uint64").tolist()
-        # Arcs of the root: log-probability and next state.
-        root = dict(zip(word, zip(np.log10(plain).tolist(), target.tolist(), strict=True), strict=True))
-        known = {w for w, c in zip(word, total.tolist(), strict=True) if c > 0}
-        chance = dict(zip(target.tolist(), plain.tolist(), strict=True))
-        arcs: dict[int, dict[int, tuple[float, int]]] = {}
+        root = np.log10(chance)
+        # Arcs of the other states, by state and next state: every bigram ends in a context.
         pair = part[part["kind"] == 2]
         heads, tails = np.divmod(pair["item"].to_numpy("int64"), width)
-        lower = np.array([chance.get(t, 0.0) for t in tails.tolist()])
-        value = (pair["total"].to_numpy("float64") - discount) / history[heads] + weight[heads] * lower
-        spelled = contexts[tails].view("uint64").tolist() if len(tails) else []
-        for h, w, p, t in zip(heads.tolist(), spelled, np.log10(value).tolist(), tails.tolist(), strict=True):
-            arcs.setdefault(h, {})[w] = (p, t)
+        lower = np.zeros(width)
+        lower[target[target != ROOT]] = chance[target != ROOT]
+        value = (pair["total"].to_numpy("float64") - discount) / history[heads] + weight[heads] * lower[tails]
+        arcs = dict(zip(pair["item"].tolist(), np.log10(value).tolist(), strict=True))
         fail = fail.tolist()
-        none: dict[int, tuple[float, int]] = {}
-        unknown = (floor, ROOT)
         out = []
         for text in docs["text"]:
-            base = score = 0.0
-            hits, state, tokens = 0, start, reader.tokens(text)
-            for w in tokens:
-                step = root.get(w, unknown)
-                base += step[0]
-                hits += w in known
-                if state != ROOT:
-                    own = arcs.get(state, none).get(w)
-                    if own is None:
-                        score += fail[state]
-                    else:
-                        step = own
-                score += step[0]
-                state = step[1]
-            out.append((len(tokens), hits, base, score))
+            tokens = reader.tokens(text)
+            at = np.searchsorted(item, tokens)
+            steps, base, score, state = root[at], 0.0, 0.0, start
+            for step, following in zip(steps.tolist(), target[at].tolist(), strict=True):
+                base += step
+                arc = None if state == ROOT or following == ROOT else arcs.get(state * width + following)
+                if arc is not None:
+                    score += arc
+                else:
+                    # No arc: the failure arc leads to the root, which has one for every word.
+                    score += step if state == ROOT else fail[state] + step
+                state = following
+            out.append((len(tokens), int((total[at] > 0).sum()), base, score))
         more = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"], index=docs.index)
         return pd.concat([docs[["_file", "_row", "id", "train"]], more], axis=1)
 

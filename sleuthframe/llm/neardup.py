@@ -50,7 +50,7 @@ BLOCK = 256
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class WordHashes(dict):
