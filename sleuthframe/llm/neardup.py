@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sleuthframe.llm.contraction import components
 from sleuthframe.llm.tables import WORD, keyed, numbered, settle
-from sleuthframe.operators.components import connected_components
 
 SHINGLE = 5
 PERCENT = 80
@@ -270,9 +270,7 @@ def family_links(family: DataFrame, nodes: DataFrame, grams: DataFrame, percent:
 
 def labelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """Add the component of each node by the links, the node itself where it has none."""
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = settle(connected_components(edges).withColumnRenamed("component", name))
-    return members.join(labels, "node", "left").withColumn(name, F.coalesce(name, "node"))
+    return members.join(components(links, name), "node", "left").withColumn(name, F.coalesce(name, "node"))
 
 
 def links(members: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
