@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from sleuthframe.functions.columns import strip
 
 ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?( ?(Z|[+-]\d{2}:\d{2}))?$"
+# Basic date and time without separators, and zones without a colon or without minutes.
+BASIC_TEXT = r"^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2})"
+SHORT_ZONE = r"(:\d{1,2}(?:\.\d+)?) ?([+-]\d{2})(\d{2})$"
+HOUR_ZONE = r"(:\d{1,2}(?:\.\d+)?) ?([+-]\d{2})$"
 SLASH_TEXT = r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 US_TEXT = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
 
 
 def parse_text(value: Column, us_dates: bool) -> Column:
     """ISO and slash forms; ``us_dates`` also takes month/day/year. Zoned text becomes UTC."""
-    v = strip(value)
+    v = F.regexp_replace(strip(value), BASIC_TEXT, "$1-$2-$3T$4:$5:$6")
+    v = F.regexp_replace(F.regexp_replace(v, SHORT_ZONE, "$1$2:$3"), HOUR_ZONE, "$1$2:00")
     parsed = F.when(v.rlike(ISO_TEXT), v.try_cast("timestamp")).when(
         v.rlike(SLASH_TEXT), F.try_to_timestamp(v, F.lit("y/M/d H:m:s"))
     )

@@ -23,7 +23,6 @@ UNHASHED_INSERT = "unhashed event after chain start (possible inserted/removed r
 HASH_MISMATCH = "event_hash does not match canonical data"
 BROKEN_LINK = "previous_hash does not match preceding chained event (chain broken)"
 
-SEGMENT_ROWS = 1_000_000
 BLOCK_ROWS = 100_000
 
 
@@ -36,8 +35,8 @@ def with_row_hash(events: DataFrame) -> DataFrame:
     return events.withColumn("recomputed_hash", row_hash(F.col("previous_hash")))
 
 
-def segment(segment_rows: int = SEGMENT_ROWS) -> Column:
-    """Chain key by id range: a chain never holds more than ``segment_rows`` rows."""
+def segment(segment_rows: int) -> Column:
+    """Chain key by id range: a chain never holds more than ``segment_rows`` rows. Verification needs the same key."""
     return F.floor((F.col("id") - 1) / F.lit(segment_rows)).cast("bigint")
 
 
@@ -65,12 +64,13 @@ def _fold():
 def build_chain(events: DataFrame, chain: Column | None = None, tips: DataFrame | None = None) -> DataFrame:
     """Chain rows in id order and fill both hash columns.
 
-    ``chain`` is the chain key (default: id segments), ``tips(chain, tip)`` continues stored chains. The row text is
+    ``chain`` is the chain key; without one all rows are one chain, as ``verify`` expects, and one task folds it.
+    Name ``segment()`` for large tables. ``tips(chain, tip)`` continues stored chains. The row text is
     made on the JVM side around the place of the previous hash; Python only hashes, batch by batch, in constant
     memory. Hash columns come back by a join on id, so the row payload does not pass through Python.
     """
     keyed = events.drop("event_hash", "previous_hash").withColumn(
-        "chain", (chain if chain is not None else segment()).cast("string")
+        "chain", (chain if chain is not None else F.lit("0")).cast("string")
     )
     before = F.to_json(
         F.struct(*[text(c).alias(c) for c in ("description", "device", "event_type", "file_path", "metadata")])
@@ -130,6 +130,19 @@ def seal(tips: DataFrame) -> DataFrame:
     )
 
 
+def broken_seals(rows: DataFrame, seals: DataFrame, by: str = "chain") -> DataFrame:
+    """Segments whose rows don't lead to the stored seal, as (segment, missing).
+
+    ``verify`` sees edits and gaps inside a segment; a deleted tail and a segment deleted whole show only here. A seal
+    covers all segments before it, so the first of the result is where rows were lost or added.
+    """
+    now = seal(chain_tips(rows, by)).select("segment", F.col("seal_hash").alias("_now"))
+    both = seals.select("segment", "seal_hash").join(now, "segment", "full")
+    return both.where(~F.col("seal_hash").eqNullSafe(F.col("_now"))).select(
+        "segment", F.col("_now").isNull().alias("missing")
+    )
+
+
 def verdicts(rows: DataFrame, chain: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row: ``state`` (hashed, legacy or unhashed) and the reasons why it fails, empty when it does not.
 
@@ -153,13 +166,14 @@ def verdicts(rows: DataFrame, chain: str | None = None, block_rows: int = BLOCK_
         *key,
         "_block",
         F.last("_tip", ignorenulls=True).over(earlier).alias("_carry"),
-        F.min("_first").over(earlier).isNotNull().alias("_started"),
     )
     inside = W.partitionBy(*key, "_block").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
     linked = base.withColumn("_prev", F.last(F.when(F.col("_hashed"), F.col("event_hash")), ignorenulls=True).over(inside))
     linked = linked.join(carried, [*key, "_block"])
     expected = F.coalesce("_prev", "_carry", F.lit(""))
-    started = F.col("_started") | F.col("_prev").isNotNull()
+    # Rows without a hash are legacy only before the first hashed row of the whole table, whatever their chain.
+    began = blocks.agg(F.min("_first").alias("_began")).select("_began").scalar()
+    started = F.coalesce(F.col("id") > began, F.lit(False))
     reasons = F.array_compact(
         F.array(
             F.when(~F.col("_hashed") & started, UNHASHED_INSERT),

@@ -33,7 +33,7 @@ def _signature(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that occurs in ``edges(src, dst)``; the label is the smallest node."""
     state = cut_lineage(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
@@ -41,15 +41,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         .distinct()
     )
     before = _signature(state)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0] > 0:
         state = cut_lineage(_small_star(_large_star(state)))
         after = _signature(state)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

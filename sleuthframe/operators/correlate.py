@@ -395,7 +395,7 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
         F.lit("").alias("device"),
         "cell",
         F.col("node").alias("src"),
-        F.explode(F.slice("hubs", 2, 1000)).alias("dst"),
+        F.explode(F.slice(F.col("hubs"), F.lit(2), F.size("hubs"))).alias("dst"),
     )
     all_edges = edges.unionByName(by_device).unionByName(inner).distinct()
     merged = reasons[0]

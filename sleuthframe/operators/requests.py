@@ -16,7 +16,6 @@ from sleuthframe.operators.retrieve import DEFAULT_LIMIT, MAX_LIMIT, contains
 from sleuthframe.vocabulary import KNOWN_SEVERITIES
 
 # Requests that one job carries to every task; more are split over several jobs by the caller.
-MAX_REQUESTS = 2_000
 LIST = "array<string>"
 
 
@@ -79,18 +78,15 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 def batch_retrieve(events: DataFrame, requests: DataFrame) -> DataFrame:
     """Oldest matching events per request, up to its limit, as (case_id, row_no, event columns).
 
-    The requests are one array that travels with the plan; its length is checked. Each task tests its events against
-    it and puts out matches only, and the per-case top rows are cut on the map side before the shuffle.
+    A request that names a device, a user or sources meets events by a join on that column; only requests without any
+    such key are tested against all events. Their number is not limited, and adaptive execution chooses the joins.
     """
-    n = requests.limit(MAX_REQUESTS + 1).count()
-    if n > MAX_REQUESTS:
-        raise ValueError(f"more than {MAX_REQUESTS} requests in one batch; split the batch")
     fields = [
         "case_id", "sources", "event_types", "keywords", "user", "device", "file_path", "severity", "start_time",
         "end_time", "hour_start", "hour_end", "max_rows",
     ]
     usable = validate_requests(requests).where("error IS NULL")
-    packed = usable.agg(F.collect_list(F.struct(*fields)).alias("r")).select("r")
+    packed = usable.select(F.struct(*fields).alias("_r"))
 
     def absent_or(r, name, test):
         return r[name].isNull() | test
@@ -116,8 +112,18 @@ def batch_retrieve(events: DataFrame, requests: DataFrame) -> DataFrame:
             & words
         )
 
-    rows = events.withColumn("_r", packed.scalar())
-    hits = rows.withColumn("_hit", F.explode(F.filter("_r", matches))).drop("_r")
+    request = F.col("_r")
+    by_device = packed.where("_r.device IS NOT NULL")
+    by_user = packed.where("_r.device IS NULL AND _r.user IS NOT NULL")
+    open_ = packed.where("_r.device IS NULL AND _r.user IS NULL")
+    by_source = open_.where(F.size("_r.sources") > 0)
+    by_source = by_source.select("_r", F.explode(F.array_distinct("_r.sources")).alias("_source"))
+    rest = open_.where(F.size("_r.sources") <= 0)
+    hits = events.join(by_device, F.col("device") == F.col("_r.device"))
+    hits = hits.unionByName(events.join(by_user, F.col("user") == F.col("_r.user")))
+    hits = hits.unionByName(events.join(by_source, F.col("source") == F.col("_source")).drop("_source"))
+    hits = hits.where(matches(request)).unionByName(events.join(rest, matches(request)))
+    hits = hits.withColumnRenamed("_r", "_hit")
     hits = hits.withColumns({"case_id": F.col("_hit.case_id"), "_max": F.col("_hit.max_rows")}).drop("_hit")
     order = W.partitionBy("case_id").orderBy("ts", "id")
     ranked = hits.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= MAX_LIMIT)

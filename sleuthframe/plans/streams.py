@@ -38,7 +38,7 @@ def _slice(ts, n: int):
 def stream_ingest(spark, d):
     at = _folder(spark)
     _polls(derived.raw_json(spark, d), F.col("batch_pos") % 3, f"{at}/in", 3)
-    jobs.ingest(jobs.watch(spark, f"{at}/in", jobs.RAW_SCHEMA), f"{at}/out", f"{at}/state").awaitTermination()
+    jobs.ingest(jobs.watch(spark, f"{at}/in", jobs.RAW_SCHEMA, files_per_batch=1), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
@@ -56,7 +56,7 @@ def stream_hwm(spark, d):
     at = _folder(spark)
     records, _ = derived.polled_records(spark, d)
     _overlapping(records, f"{at}/in")
-    stream = jobs.watch(spark, f"{at}/in", records.schema)
+    stream = jobs.watch(spark, f"{at}/in", records.schema, files_per_batch=1)
     jobs.follow_records(stream, f"{at}/out", f"{at}/cursors", f"{at}/state", backfill=10**9).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("channel", "record_number", "ts")
 
@@ -66,7 +66,7 @@ def stream_dedup(spark, d):
     at = _folder(spark)
     records, _ = derived.polled_records(spark, d)
     _overlapping(records, f"{at}/in")
-    stream = jobs.without_repeats(jobs.watch(spark, f"{at}/in", records.schema), "3 days")
+    stream = jobs.without_repeats(jobs.watch(spark, f"{at}/in", records.schema, files_per_batch=1), "3 days")
     jobs.append_rows(stream, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("channel", "record_number", "ts")
 
@@ -80,7 +80,7 @@ def stream_browser(spark, d):
         F.col("file_path").alias("url"),
     ).where("ts IS NOT NULL").distinct()
     _overlapping(visits, f"{at}/in")
-    stream = jobs.watch(spark, f"{at}/in", visits.schema)
+    stream = jobs.watch(spark, f"{at}/in", visits.schema, files_per_batch=1)
     jobs.follow_visits(stream, f"{at}/out", f"{at}/cursors", f"{at}/state", backfill=10**9).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("profile_key", "ts", "url")
 
@@ -91,7 +91,7 @@ def stream_scores(spark, d):
     e = activity_events(spark, d, missing_devices=True)
     past = e.where((F.col("ts") < F.lit(dt.datetime(2024, 1, 8)).cast("timestamp_ntz")) & (F.col("source") != "USB"))
     _polls(e, _slice(F.col("ts"), 3), f"{at}/in", 3)
-    jobs.live_scores(jobs.watch(spark, f"{at}/in", e.schema), learn(past), f"{at}/out", f"{at}/state").awaitTermination()
+    jobs.live_scores(jobs.watch(spark, f"{at}/in", e.schema, files_per_batch=1), learn(past), f"{at}/out", f"{at}/state").awaitTermination()
     out = spark.read.parquet(f"{at}/out")
     return out.select("id", "anomaly_score", "classification", "severity", F.array_join("signals", "|").alias("signals"))
 
@@ -108,7 +108,7 @@ def stream_incidents(spark, d):
         F.lit("flush").alias("device"),
     )
     last.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    runs = jobs.live_sessions(jobs.watch(spark, f"{at}/in", e.schema))
+    runs = jobs.live_sessions(jobs.watch(spark, f"{at}/in", e.schema, files_per_batch=1))
     jobs.append_rows(runs, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").where("n_events >= 2")
 
@@ -118,6 +118,6 @@ def stream_counters(spark, d):
     at = _folder(spark)
     e = activity_events(spark, d).select("id", "ts", "source")
     _polls(e, _slice(F.col("ts"), 3), f"{at}/in", 3)
-    q = jobs.live_counters(jobs.watch(spark, f"{at}/in", e.schema), f"{at}/out", f"{at}/state")
+    q = jobs.live_counters(jobs.watch(spark, f"{at}/in", e.schema, files_per_batch=1), f"{at}/out", f"{at}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out/batch=2")

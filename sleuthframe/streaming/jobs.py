@@ -22,9 +22,12 @@ DEFAULT_INTERVAL = "60 seconds"
 RAW_SCHEMA = "batch_pos bigint, raw string"
 
 
-def watch(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 1) -> DataFrame:
+def watch(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int | None = None) -> DataFrame:
     """New parquet files of a folder, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    stream = spark.readStream.schema(schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(path)
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str, once: bool, mode: str = "append") -> StreamingQuery:

@@ -72,3 +72,27 @@ def test_tampering(rows, block):
 def test_no_rows(rows):
     v = chain.verify(chain.build_chain(rows.where("id < 0"))).first()
     assert (v["valid"], v["status"]) == (True, "NO_EVENTS")
+
+
+def test_seals_show_lost_rows(make_events):
+    rows = make_events([{"at": i} for i in range(12)])
+    whole = chain.build_chain(rows, chain.segment(4))
+    seals = chain.seal(chain.chain_tips(whole))
+    lost = lambda kept: sorted((r["segment"], r["missing"]) for r in chain.broken_seals(kept, seals).collect())
+    assert lost(whole) == []
+    assert lost(whole.where("id <> 8")) == [(1, False), (2, False)]
+    assert lost(whole.where("id > 4")) == [(0, True), (1, False), (2, False)]
+    assert lost(whole.where("id <= 8")) == [(2, True)]
+
+
+def test_default_chain_verifies_past_a_million_ids(make_events):
+    rows = make_events([{"at": i, "id": 999_997 + i} for i in range(6)])
+    assert chain.verify(chain.build_chain(rows)).first()["status"] == "VALID"
+
+
+def test_stripped_start_of_a_later_segment_is_no_legacy(make_events):
+    rows = chain.build_chain(make_events([{"at": i} for i in range(8)]), chain.segment(4))
+    gone = F.col("id").isin(5, 6)
+    cut = rows.withColumn("event_hash", F.when(~gone, F.col("event_hash")))
+    states = {r["id"]: r["state"] for r in chain.verdicts(cut, "chain").collect()}
+    assert states[5] == states[6] == "unhashed"

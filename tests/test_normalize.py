@@ -77,3 +77,17 @@ def test_first_copy_wins_and_ids_follow_time(spark):
     assert sorted((r["batch_pos"], r["severity"]) for r in kept) == [(0, "INFO"), (1, "LOW")]
     ids = next_ids(df, 10).collect()
     assert [(r["id"], r["severity"]) for r in sorted(ids, key=lambda r: r["id"])] == [(11, "LOW"), (12, "HIGH"), (13, "INFO")]
+
+
+def test_iso_without_separators(spark):
+    from pyspark.sql import functions as F
+
+    from sleuthframe.functions.timestamps import strict
+
+    cases = {
+        "2024-01-01T02:00:00+0200": "2024-01-01 00:00:00", "2024-01-01T02:00:00+02": "2024-01-01 00:00:00",
+        "20240101T101010": "2024-01-01 10:10:10", "20240101T121010+0200": "2024-01-01 10:10:10",
+        "2024-01-01": "2024-01-01 00:00:00", "20240101": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string").select("v", strict(F.col("v")).cast("string").alias("t"))
+    assert {r["v"]: r["t"] for r in df.collect()} == cases
