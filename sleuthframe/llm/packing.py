@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.encode import encoder, public
-from sleuthframe.llm.tables import numbered
+from sleuthframe.llm.tables import numbered, stored
 
 CAPACITY = 2048
 
@@ -134,7 +134,8 @@ def pack(
 ) -> DataFrame:
     """Pieces with the sequence and the offset that best-fit decreasing gives them."""
     spark = docs.sparkSession
-    cut = pieces(docs, path or public("word_bpe_49k.json"), end_id, capacity, id_col, text_col)
+    # Written first: the range sort reads its input twice, and the texts are to be encoded once.
+    cut = stored(pieces(docs, path or public("word_bpe_49k.json"), end_id, capacity, id_col, text_col), "pieces")
     # The order is by falling length; what follows only makes reruns agree.
     placed = numbered(cut, [F.desc("length"), F.col("id"), F.col("piece"), F.col("ids_crc32")])
     histogram = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}
