@@ -84,15 +84,16 @@ def curriculum(
     The result has source_size, target, pass, taken (words of this pass, 0 where the target is met before) and position,
     the training position in 0..1, null where nothing is taken.
     """
-    sources = settle(keys.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
-    # targets() gives each source the sizes of all sources before it, which turn running totals of the table into
-    # running totals of the source.
-    plan = settle(targets(sources, weights, budget, repeat))
+    # Settled first, so that the words of the texts are counted once.
     ranked = settle(
         keys.select("_file", "_row", "id", "source", "size").withColumns(
             {"_first": F.xxhash64("id", F.lit(seed)), "_mix": F.xxhash64("_file", "_row")}
         )
     )
+    sources = settle(ranked.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
+    # targets() gives each source the sizes of all sources before it, which turn running totals of the table into
+    # running totals of the source.
+    plan = settle(targets(sources, weights, budget, repeat))
     order = [F.asc_nulls_last("source"), F.col("_first"), F.col("_mix")]
     passing = settle(numbered(ranked, order, {"_run": "size"}).drop("_pos"))
     both = passing.alias("r").join(plan.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
