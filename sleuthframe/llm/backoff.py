@@ -35,6 +35,8 @@ DISCOUNT = 0.75
 BLOCK_DOCS = 4096
 # Tokens that a task gathers before it sends its counts; bounds its memory, never the result.
 GATHERED = 1_500_000
+# Tokens that are scored together; bounds memory, never the result.
+TRAVERSED = 250_000
 
 # The end of a text is a token of its own, outside the values of the word hash.
 END = 0
@@ -94,17 +96,24 @@ def _counted(rows: DataFrame, items) -> DataFrame:
 
 
 def _totals(counted: DataFrame, name: str) -> DataFrame:
-    """Add the training count of the item over all blocks, and mark one row of each item.
+    """One row per block and item with the item's training count over all blocks; ``lead`` marks one row of each item.
 
     An item has at most one row per block and sending, so even the most frequent word's group stays far below the table.
+    Both frames share one order, so the rows are dealt out and sorted once.
     """
-    same = Window.partitionBy("item")
-    return stored(
-        counted.withColumn("total", F.sum("c").over(same)).withColumn(
-            "lead", F.row_number().over(same.orderBy("_file", "block", "c")) == 1
-        ),
-        name,
+    same = Window.partitionBy("item").orderBy("_file", "block", "c")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct("_file", "block")
+    summed = counted.select(
+        "_file",
+        "block",
+        "item",
+        F.sum("c").over(whole).alias("total"),
+        (F.row_number().over(same) == 1).alias("lead"),
+        # A block sends an item again when it is too large for one sending.
+        F.lag(place).over(same).eqNullSafe(place).alias("again"),
     )
+    return stored(summed.where(~F.col("again")).drop("again"), name)
 
 
 def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount: float = DISCOUNT) -> DataFrame:
@@ -116,7 +125,7 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
     rows = rows.withColumn("id", F.col("id").cast("string")).withColumn(
         "block", F.expr(f"_row div {BLOCK_DOCS}").cast("long")
     )
-    words = _totals(_counted(rows, lambda tokens: tokens), "words").drop("c")
+    words = _totals(_counted(rows, lambda tokens: tokens), "words")
     leads = words.where("lead and total > 0")
     finished = F.sum(F.when(F.col("item") == END, F.col("total")))
     sums = leads.agg(F.sum("total").alias("n"), F.count("*").alias("v"), finished.alias("ends")).first()
@@ -139,7 +148,7 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
         both = (before >= 0) & (state >= 0)
         return before[both] * (len(known) + 1) + state[both]
 
-    bigrams = _totals(_counted(rows, pairs), "bigrams").drop("c").where("total > 0")
+    bigrams = _totals(_counted(rows, pairs), "bigrams").where("total > 0")
     of = bigrams.where("lead").groupBy(F.expr(f"item div {width}").alias("context"))
     # One row per context.
     seen = of.agg(F.sum("total").alias("kept"), F.count("*").alias("types")).toPandas()
@@ -162,36 +171,50 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
         target = np.where(contexts[spot] == item, spot, ROOT) if len(contexts) else np.full(len(item), ROOT)
         root = np.log10(chance)
         # Arcs of the other states, by state and next state: every bigram ends in a context.
-        pair = part[part["kind"] == 2]
-        heads, tails = np.divmod(pair["item"].to_numpy("int64"), width)
+        pair = part[part["kind"] == 2].sort_values("item")
+        arc = pair["item"].to_numpy("int64")
+        heads, tails = np.divmod(arc, width)
         lower = np.zeros(width)
         lower[target[target != ROOT]] = chance[target != ROOT]
-        value = (pair["total"].to_numpy("float64") - discount) / history[heads] + weight[heads] * lower[tails]
-        arcs = dict(zip(pair["item"].tolist(), np.log10(value).tolist(), strict=True))
-        fail = fail.tolist()
-        out = []
+        value = np.log10((pair["total"].to_numpy("float64") - discount) / history[heads] + weight[heads] * lower[tails])
+        # The root is the last state, from which nothing is paid.
+        fail = np.append(fail, 0.0)
+
+        def traverse(texts: list[np.ndarray]) -> list[tuple]:
+            """Read texts from left to right. A token alone names its next state, so all states are known at once."""
+            sizes = np.array([len(tokens) for tokens in texts])
+            first = np.cumsum(sizes) - sizes
+            at = np.searchsorted(item, np.concatenate(texts))
+            following = target[at]
+            state = np.append(start, following[:-1])
+            state[first] = start
+            # Without an arc, the failure arc leads to the root, which has one for every word.
+            base = root[at]
+            steps = fail[state] + base
+            if len(arc):
+                held = np.flatnonzero((state != ROOT) & (following != ROOT))
+                wanted = state[held] * width + following[held]
+                spot = np.minimum(np.searchsorted(arc, wanted), len(arc) - 1)
+                found = arc[spot] == wanted
+                steps[held[found]] = value[spot[found]]
+            known = np.add.reduceat((total[at] > 0).astype("int64"), first)
+            return list(zip(sizes, known, np.add.reduceat(base, first), np.add.reduceat(steps, first), strict=True))
+
+        out, texts, size = [], [], 0
         for text in docs["text"]:
-            tokens = reader.tokens(text)
-            at = np.searchsorted(item, tokens)
-            steps, base, score, state = root[at], 0.0, 0.0, start
-            for step, following in zip(steps.tolist(), target[at].tolist(), strict=True):
-                base += step
-                arc = None if state == ROOT or following == ROOT else arcs.get(state * width + following)
-                if arc is not None:
-                    score += arc
-                else:
-                    # No arc: the failure arc leads to the root, which has one for every word.
-                    score += step if state == ROOT else fail[state] + step
-                state = following
-            out.append((len(tokens), int((total[at] > 0).sum()), base, score))
+            texts.append(reader.tokens(text))
+            size += len(texts[-1])
+            if size >= TRAVERSED:
+                out += traverse(texts)
+                texts, size = [], 0
+        if texts:
+            out += traverse(texts)
         more = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"], index=docs.index)
         return pd.concat([docs[["_file", "_row", "id", "train"]], more], axis=1)
 
     part = words.select("_file", "block", F.lit(1).alias("kind"), "item", "total").unionByName(
         bigrams.select("_file", "block", F.lit(2).alias("kind"), "item", "total")
     )
-    # A word may have been sent more than once by a block.
-    part = part.dropDuplicates(["_file", "block", "kind", "item"])
     docs = rows.select("_file", "block", "_row", "id", "text", "train")
     scored = (
         docs.groupBy("_file", "block")
