@@ -19,11 +19,11 @@ def url_key(url: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(url, F.lit("")), 256), 1, 16)
 
 
-def read_by_record_number(records: DataFrame, cursors: DataFrame, backfill: int = 100) -> tuple[DataFrame, DataFrame]:
+def read_by_record_number(records: DataFrame, cursors: DataFrame, backfill: int | None = 100) -> tuple[DataFrame, DataFrame]:
     """``records(channel, record_number, ...)``, ``cursors(channel, record_number)``.
 
     Admits numbers above the cursor. Without a cursor, or after the log was cleared and its numbers started again,
-    the newest ``backfill`` records are admitted. The cursor moves to the highest number read.
+    the newest ``backfill`` records are admitted, or all where it is None. The cursor moves to the highest number read.
     """
     valid = records.where("channel IS NOT NULL AND record_number IS NOT NULL")
     high = valid.groupBy("channel").agg(F.max("record_number").alias("_high"))
@@ -33,21 +33,23 @@ def read_by_record_number(records: DataFrame, cursors: DataFrame, backfill: int
     )
     # One row per channel joins the records, so a busy channel can be split over tasks.
     known = valid.join(state.where("_from <> 0"), "channel").where("record_number > _from").select(*records.columns)
-    if backfill > 0:
+    if backfill is None or backfill > 0:
         fresh = valid.join(state.where("_from = 0").select("channel"), "channel", "left_semi")
-        newest = W.partitionBy("channel").orderBy(F.col("record_number").desc())
-        first = fresh.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= backfill).drop("_n")
-        known = known.unionByName(first.select(*records.columns))
+        if backfill is not None:
+            newest = W.partitionBy("channel").orderBy(F.col("record_number").desc())
+            fresh = fresh.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= backfill)
+        known = known.unionByName(fresh.select(*records.columns))
     moved = old.join(high, "channel", "full").select("channel", F.coalesce("_high", "_old").alias("record_number"))
     return known, moved
 
 
 def read_by_visit(
-    visits: DataFrame, cursors: DataFrame, boundary: DataFrame, backfill: int = 100
+    visits: DataFrame, cursors: DataFrame, boundary: DataFrame, backfill: int | None = 100
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``visits(profile_key, ts, url, ...)``, ``cursors(profile_key, last_visit)``, ``boundary(profile_key, url_key)``.
 
-    Admits visits after the cursor, and visits at the cursor time whose URL was not seen at that time. The boundary is
+    Admits visits after the cursor, and visits at the cursor time whose URL was not seen at that time; of a profile
+    without a cursor the newest ``backfill`` visits, or all where it is None. The boundary is
     a table with one row per fingerprint, so it has no size limit.
     """
     timed = visits.where("ts IS NOT NULL").withColumn("_key", url_key(F.col("url")))
@@ -57,9 +59,11 @@ def read_by_visit(
     later = rows.where(F.col("ts") > F.col("_old"))
     at = rows.where(F.col("ts") == F.col("_old")).join(seen, ["profile_key", "_key"], "left_anti")
     admitted = later.select(*visits.columns).unionByName(at.select(*visits.columns))
-    if backfill > 0:
-        newest = W.partitionBy("profile_key").orderBy(F.col("ts").desc(), "url")
-        fresh = rows.where("_old IS NULL").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= backfill)
+    if backfill is None or backfill > 0:
+        fresh = rows.where("_old IS NULL")
+        if backfill is not None:
+            newest = W.partitionBy("profile_key").orderBy(F.col("ts").desc(), "url")
+            fresh = fresh.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= backfill)
         admitted = admitted.unionByName(fresh.select(*visits.columns))
     read = timed.groupBy("profile_key").agg(F.max("ts").alias("_read"))
     moved = old.join(read, "profile_key", "full").select("profile_key", F.greatest("_old", "_read").alias("last_visit"), "_old")

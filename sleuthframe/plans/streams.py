@@ -1,12 +1,14 @@
-"""Registered streaming queries. Inputs are written as a series of files, the stream works them off and stops."""
+"""Registered streaming queries. Rows arrive poll by poll; the stream works off each poll before the next one is written."""
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sleuthframe.operators.baseline import learn
 from sleuthframe.operators.cursors import profile_key
@@ -22,10 +24,18 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _polls(df: DataFrame, poll, path: str, n: int) -> None:
-    """Write one file per poll, in order."""
+def _polls(df: DataFrame, poll, at: str, n: int, start: Callable[[], StreamingQuery]) -> None:
+    """Deliver the rows of each poll, in order and in their natural partitions, and run the stream after each.
+
+    The rows are computed once and laid out by poll.
+    """
+    spark = df.sparkSession
+    dealt = df.withColumn("_poll", poll.cast("int"))
+    dealt.write.partitionBy("_poll").parquet(f"{at}/polls")
+    staged = spark.read.schema(dealt.schema).parquet(f"{at}/polls")
     for i in range(n):
-        df.where(poll == i).coalesce(1).write.mode("append").parquet(path)
+        staged.where(F.col("_poll") == i).drop("_poll").write.mode("append").parquet(f"{at}/in")
+        start().awaitTermination()
 
 
 def _slice(ts, n: int):
@@ -37,27 +47,32 @@ def _slice(ts, n: int):
 @query
 def stream_ingest(spark, d):
     at = _folder(spark)
-    _polls(derived.raw_json(spark, d), F.col("batch_pos") % 3, f"{at}/in", 3)
-    jobs.ingest(jobs.watch(spark, f"{at}/in", jobs.RAW_SCHEMA, files_per_batch=1), f"{at}/out", f"{at}/state").awaitTermination()
+
+    def start():
+        return jobs.ingest(jobs.watch(spark, f"{at}/in", jobs.RAW_SCHEMA), f"{at}/out", f"{at}/state")
+
+    _polls(derived.raw_json(spark, d), F.col("batch_pos") % 3, at, 3, start)
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
-def _overlapping(rows: DataFrame, path: str, n: int = 5) -> None:
+def _overlapping(rows: DataFrame, at: str, start: Callable[[], StreamingQuery], n: int = 5) -> None:
     """Each poll also delivers again what the poll before it delivered in its last day."""
     again = rows.withColumn("poll", _slice(F.col("ts"), n))
     late = again.withColumn("next", _slice(F.date_add(F.col("ts"), 1), n)).where("next > poll").withColumn("poll", F.col("next")).drop("next")
     both = again.unionByName(late)
-    for i in range(n):
-        both.where(F.col("poll") == i).drop("poll").coalesce(1).write.mode("append").parquet(path)
+    _polls(both.select(*rows.columns, F.col("poll").alias("_at")), F.col("_at"), at, n, start)
 
 
 @query
 def stream_hwm(spark, d):
     at = _folder(spark)
     records, _ = derived.polled_records(spark, d)
-    _overlapping(records, f"{at}/in")
-    stream = jobs.watch(spark, f"{at}/in", records.schema, files_per_batch=1)
-    jobs.follow_records(stream, f"{at}/out", f"{at}/cursors", f"{at}/state", backfill=10**9).awaitTermination()
+
+    def start():
+        stream = jobs.watch(spark, f"{at}/in", records.schema)
+        return jobs.follow_records(stream, f"{at}/out", f"{at}/cursors", f"{at}/state", backfill=None)
+
+    _overlapping(records, at, start)
     return spark.read.parquet(f"{at}/out").select("channel", "record_number", "ts")
 
 
@@ -65,9 +80,12 @@ def stream_hwm(spark, d):
 def stream_dedup(spark, d):
     at = _folder(spark)
     records, _ = derived.polled_records(spark, d)
-    _overlapping(records, f"{at}/in")
-    stream = jobs.without_repeats(jobs.watch(spark, f"{at}/in", records.schema, files_per_batch=1), "3 days")
-    jobs.append_rows(stream, f"{at}/out", f"{at}/state").awaitTermination()
+
+    def start():
+        stream = jobs.without_repeats(jobs.watch(spark, f"{at}/in", records.schema), "3 days")
+        return jobs.append_rows(stream, f"{at}/out", f"{at}/state")
+
+    _overlapping(records, at, start)
     return spark.read.parquet(f"{at}/out").select("channel", "record_number", "ts")
 
 
@@ -79,9 +97,12 @@ def stream_browser(spark, d):
         F.date_trunc("DAY", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"),
         F.col("file_path").alias("url"),
     ).where("ts IS NOT NULL").distinct()
-    _overlapping(visits, f"{at}/in")
-    stream = jobs.watch(spark, f"{at}/in", visits.schema, files_per_batch=1)
-    jobs.follow_visits(stream, f"{at}/out", f"{at}/cursors", f"{at}/state", backfill=10**9).awaitTermination()
+
+    def start():
+        stream = jobs.watch(spark, f"{at}/in", visits.schema)
+        return jobs.follow_visits(stream, f"{at}/out", f"{at}/cursors", f"{at}/state", backfill=None)
+
+    _overlapping(visits, at, start)
     return spark.read.parquet(f"{at}/out").select("profile_key", "ts", "url")
 
 
@@ -90,8 +111,12 @@ def stream_scores(spark, d):
     at = _folder(spark)
     e = activity_events(spark, d, missing_devices=True)
     past = e.where((F.col("ts") < F.lit(dt.datetime(2024, 1, 8)).cast("timestamp_ntz")) & (F.col("source") != "USB"))
-    _polls(e, _slice(F.col("ts"), 3), f"{at}/in", 3)
-    jobs.live_scores(jobs.watch(spark, f"{at}/in", e.schema, files_per_batch=1), learn(past), f"{at}/out", f"{at}/state").awaitTermination()
+    baseline = learn(past).settled()
+
+    def start():
+        return jobs.live_scores(jobs.watch(spark, f"{at}/in", e.schema), baseline, f"{at}/out", f"{at}/state")
+
+    _polls(e, _slice(F.col("ts"), 3), at, 3, start)
     out = spark.read.parquet(f"{at}/out")
     return out.select("id", "anomaly_score", "classification", "severity", F.array_join("signals", "|").alias("signals"))
 
@@ -101,15 +126,19 @@ def stream_incidents(spark, d):
     """Live sessions of at least two events. One event far in the future moves the watermark past all real ones."""
     at = _folder(spark)
     e = activity_events(spark, d).select("id", "ts", "device")
-    _polls(e, _slice(F.col("ts"), 3), f"{at}/in", 3)
+
+    def start():
+        runs = jobs.live_sessions(jobs.watch(spark, f"{at}/in", e.schema))
+        return jobs.append_rows(runs, f"{at}/out", f"{at}/state")
+
+    _polls(e, _slice(F.col("ts"), 3), at, 3, start)
     last = e.agg(
         F.lit(0).cast("bigint").alias("id"),
         (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
         F.lit("flush").alias("device"),
     )
-    last.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    runs = jobs.live_sessions(jobs.watch(spark, f"{at}/in", e.schema, files_per_batch=1))
-    jobs.append_rows(runs, f"{at}/out", f"{at}/state").awaitTermination()
+    last.write.mode("append").parquet(f"{at}/in")
+    start().awaitTermination()
     return spark.read.parquet(f"{at}/out").where("n_events >= 2")
 
 
@@ -117,7 +146,9 @@ def stream_incidents(spark, d):
 def stream_counters(spark, d):
     at = _folder(spark)
     e = activity_events(spark, d).select("id", "ts", "source")
-    _polls(e, _slice(F.col("ts"), 3), f"{at}/in", 3)
-    q = jobs.live_counters(jobs.watch(spark, f"{at}/in", e.schema, files_per_batch=1), f"{at}/out", f"{at}/state")
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/out/batch=2")
+
+    def start():
+        return jobs.live_counters(jobs.watch(spark, f"{at}/in", e.schema), f"{at}/out", f"{at}/state")
+
+    _polls(e, _slice(F.col("ts"), 3), at, 3, start)
+    return jobs.newest(spark, f"{at}/out")

@@ -9,10 +9,8 @@ SOURCE_OF = {"click": "Browser", "view": "FileSystem", "signup": "Windows", "pur
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan of a table. One that has fewer splits than the session has cores is spread over the cores."""
-    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """Scan of a table."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def _pick(col: Column, cases: dict, default) -> Column:

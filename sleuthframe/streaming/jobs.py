@@ -61,7 +61,7 @@ def _latest(spark: SparkSession, path: str, before: int, schema: str) -> DataFra
 CURSOR_SCHEMA = "channel string, record_number bigint"
 
 
-def follow_records(records: DataFrame, sink: str, cursor_path: str, state: str, backfill: int = 100, once: bool = True) -> StreamingQuery:
+def follow_records(records: DataFrame, sink: str, cursor_path: str, state: str, backfill: int | None = 100, once: bool = True) -> StreamingQuery:
     """Admit records above the cursor of their channel. The cursor is written after the rows: a failed batch is
     read again from the same cursor."""
 
@@ -78,7 +78,7 @@ VISIT_SCHEMA = "profile_key string, last_visit timestamp_ntz"
 BOUNDARY_SCHEMA = "profile_key string, url_key string"
 
 
-def follow_visits(visits: DataFrame, sink: str, cursor_path: str, state: str, backfill: int = 100, once: bool = True) -> StreamingQuery:
+def follow_visits(visits: DataFrame, sink: str, cursor_path: str, state: str, backfill: int | None = 100, once: bool = True) -> StreamingQuery:
     """Admit visits after the last visit of their profile, or at that time with a URL not seen then."""
 
     def each(batch: DataFrame, n: int) -> None:
@@ -141,3 +141,10 @@ def live_counters(events: DataFrame, sink: str, state: str, once: bool = True) -
         _save(batch, sink, n)
 
     return _start(counts, each, state, once, mode="complete")
+
+
+def newest(spark: SparkSession, sink: str) -> DataFrame:
+    """What the last micro-batch wrote to a sink that each batch replaces as a whole."""
+    every = spark.read.parquet(sink)
+    last = every.agg(F.max("batch").alias("batch"))
+    return every.join(last, "batch").drop("batch")

@@ -14,7 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "event_scan", "events_page", "related_events", "src_windows", "src_defender", "src_usb", "normalize", "ingest_order",
     "tag_text", "extract_tokens", "batch_retrieve_rows", "incidents", "pair_signals", "anomaly_scores",
-    "chain_verdicts", "hwm_incremental", "stream_incidents", "stream_hwm",
+    "chain_verdicts", "hwm_incremental", "stream_ingest", "stream_hwm", "stream_dedup", "stream_browser",
+    "stream_scores", "stream_incidents", "stream_counters",
 ]
 
 
