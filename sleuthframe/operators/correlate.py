@@ -593,21 +593,19 @@ def correlate(
     min_group_size: int = 2,
     by: list[str] | None = None,
     label: Column | None = None,
-    bridge: bool | None = None,
     ids_per_part: int = IDS_PER_PART,
 ) -> Correlation:
     """Group related events into candidate incidents.
 
-    ``by`` keeps groups apart (for example one case per group), ``label`` is an integrity label to count, and
-    ``bridge`` says whether rows without a device occur (looked up when not given). An incident with more than
-    ``ids_per_part`` events is fingerprinted in parts: the digest over the digests of its parts.
+    ``by`` keeps groups apart (for example one case per group), ``label`` is an integrity label to count. Rows without
+    a device are looked for first; where there are none, nothing has to be linked across devices. An incident with more
+    than ``ids_per_part`` events is fingerprinted in parts: the digest over the digests of its parts.
     """
     w_us = _window_us(window_seconds)
     smallest = max(1, int(min_group_size))
     by = list(by or [])
     rows = _with_cell(features(events, by, label), w_us)
-    if bridge is None:
-        bridge = not rows.where("device = ''").limit(1).isEmpty()
+    bridge = not rows.where("device = ''").isEmpty()
 
     held = rows.where("device <> ''")
     cells = _profiles(held.withColumn("kind", F.col("cat")), [*by, "device", "cell"], per_category=True)

@@ -444,7 +444,7 @@ def collector_attribution(spark, d):
 @query
 def dashboard_summary(spark, d):
     e = cut_lineage(derived.stored_chain(spark, d))
-    return summaries.dashboard(e, correlate(e, bridge=False).incidents, scoring.score(e), "chain")
+    return summaries.dashboard(e, correlate(e).incidents, scoring.score(e), "chain")
 
 
 # -- correlation ---------------------------------------------------------------------------------------------
@@ -464,33 +464,33 @@ def _incident_columns(c):
 
 @query
 def incidents(spark, d):
-    return _incident_columns(correlate(activity_events(spark, d), bridge=False))
+    return _incident_columns(correlate(activity_events(spark, d)))
 
 
 @query
 def incident_members(spark, d):
-    return correlate(activity_events(spark, d), bridge=False).members
+    return correlate(activity_events(spark, d)).members
 
 
 @query
 def incident_event_lists(spark, d):
-    return correlate(activity_events(spark, d), bridge=False).parts.select("incident_id", "part", joined("event_ids"))
+    return correlate(activity_events(spark, d)).parts.select("incident_id", "part", joined("event_ids"))
 
 
 @query
 def pair_signals(spark, d):
-    return correlate(activity_events(spark, d), bridge=False).reasons
+    return correlate(activity_events(spark, d)).reasons
 
 
 @query
 def incident_signals(spark, d):
-    c = correlate(activity_events(spark, d), window_seconds=900, bridge=False)
+    c = correlate(activity_events(spark, d), window_seconds=900)
     return c.incidents.select("incident_id", "confidence_score", joined("confidence_signals"))
 
 
 @query
 def incident_priority(spark, d):
-    return correlate(activity_events(spark, d), window_seconds=600, min_group_size=3, bridge=False).incidents.select(
+    return correlate(activity_events(spark, d), window_seconds=600, min_group_size=3).incidents.select(
         "incident_id", "event_count", "priority"
     )
 
@@ -499,23 +499,23 @@ def incident_priority(spark, d):
 def incident_integrity(spark, d):
     rows = cut_lineage(derived.stored_chain(spark, d, tampered=True))
     labelled = chain.integrity_labels(rows, chain.verdicts(rows, "chain"))
-    c = correlate(labelled, label=F.col("integrity"), bridge=False)
+    c = correlate(labelled, label=F.col("integrity"))
     return c.incidents.select("incident_id", "n_legacy", "n_hashed_unverified", "n_verified", "n_tampered")
 
 
 @query
 def incidents_bridged(spark, d):
-    return _incident_columns(correlate(activity_events(spark, d, missing_devices=True), bridge=True))
+    return _incident_columns(correlate(activity_events(spark, d, missing_devices=True)))
 
 
 @query
 def bridged_members(spark, d):
-    return correlate(activity_events(spark, d, missing_devices=True), bridge=True).members.select("incident_id", "event_id")
+    return correlate(activity_events(spark, d, missing_devices=True)).members.select("incident_id", "event_id")
 
 
 @query
 def bridged_signals(spark, d):
-    return correlate(activity_events(spark, d, missing_devices=True), bridge=True).reasons
+    return correlate(activity_events(spark, d, missing_devices=True)).reasons
 
 
 # -- baseline and scores -------------------------------------------------------------------------------------
