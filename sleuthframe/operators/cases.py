@@ -111,26 +111,32 @@ def timeline(evidence: DataFrame) -> DataFrame:
     )
 
 
-def _cut(c: str, cap: int) -> Column:
+def _cut(c: str, cap: int | None) -> Column:
+    if cap is None:
+        return F.col(c)
     return F.when(F.length(c) > cap, F.concat(F.substring(c, 1, cap), F.lit("..."))).otherwise(F.col(c))
 
 
-def evidence_lines(evidence: DataFrame) -> DataFrame:
-    """First events of a case as one line of text each."""
+def evidence_lines(
+    evidence: DataFrame, lines: int | None = None, line_chars: int | None = None, path_chars: int | None = None
+) -> DataFrame:
+    """Events of a case as one line of text each; the caller may ask for the first ``lines`` and for shorter texts."""
     first = evidence.withColumn("line_no", F.row_number().over(W.partitionBy("case_id").orderBy("row_no")))
     tail = F.concat_ws(
         ", ",
         F.when(F.col("user") != "", F.concat(F.lit("user="), "user")),
         F.when(F.col("device") != "", F.concat(F.lit("device="), "device")),
-        F.when(F.col("file_path") != "", F.concat(F.lit("path="), _cut("file_path", PATH_CHARS))),
+        F.when(F.col("file_path") != "", F.concat(F.lit("path="), _cut("file_path", path_chars))),
         F.concat(F.lit("integrity="), "integrity"),
     )
     line = F.concat(
         F.lit("- ["), "reference", F.lit("] "), F.coalesce(iso(F.col("ts")), F.lit("unknown-time")), F.lit(" "),
-        "source", F.lit("/"), "event_type", F.lit(" ("), "severity", F.lit("): "), _cut("description", LINE_CHARS),
+        "source", F.lit("/"), "event_type", F.lit(" ("), "severity", F.lit("): "), _cut("description", line_chars),
         F.lit(" ["), tail, F.lit("]"),
     )
-    return first.where(F.col("line_no") <= EVIDENCE_LINES).select("case_id", "line_no", line.alias("line"))
+    if lines is not None:
+        first = first.where(F.col("line_no") <= lines)
+    return first.select("case_id", "line_no", line.alias("line"))
 
 
 def _sorted_set(c: str) -> Column:

@@ -312,7 +312,9 @@ def evidence(spark, d):
 
 @query
 def evidence_lines(spark, d):
-    return cases.evidence_lines(_package(spark, d).evidence)
+    # The size of the listing is the feature of this query.
+    asked = cases.EVIDENCE_LINES, cases.LINE_CHARS, cases.PATH_CHARS
+    return cases.evidence_lines(_package(spark, d).evidence, *asked)
 
 
 @query
