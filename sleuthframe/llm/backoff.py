@@ -1,16 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
 The model is a smoothed bigram model over an open vocabulary. Unigrams are smoothed by adding a half, with one class for
-all unknown words. Words with at least the share CONTEXT_SHARE of all training tokens, so at most 1 / CONTEXT_SHARE of
-them, are contexts; pairs of such words are bigrams, discounted and interpolated with the unigram. As an automaton: the
-root has an arc for each word; a state for each context, and one for the start of a text, has an arc for each bigram and
-a failure arc to the root that costs the logarithm of its backoff weight. A text is read once from left to right: while
-the state has no arc for a token, its failure arc is taken and paid; then the arc's log-probability is added and its
-target is the next state.
-
-The automaton grows with the corpus, so no task holds it. Documents form blocks of bounded size. Each block sends the
-distinct words and bigrams it has, with their training counts; summed over all blocks they come back to the blocks that
-asked, and each block is scored by the part of the automaton that its documents can reach.
+all unknown words. Every word of the training rows is a context, and every pair of neighbours in them is a bigram,
+discounted and interpolated with the unigram. As an automaton: the root has an arc for each word; a state for each
+context, and one for the start of a text, has an arc for each bigram and a failure arc to the root that costs the
+logarithm of its backoff weight. A text is read once from left to right: while the state has no arc for a token, its
+failure arc is taken and paid; then the arc's log-probability is added and its target is the next state. A caller may name
+a share of all training tokens that a word must have to be a context; the default is none.
+
+The automaton grows with the corpus, so no task holds it. Documents form blocks of BLOCK_DOCS rows. Each block sends the
+distinct arcs it has, with their training counts, and these are summed over all blocks. A block counts its own texts again
+when it is scored, so only arcs that other blocks have too come back to it, words together with the number of their bigrams.
+States are named by word hashes, never by places in a list of all words.
 
 Defined cases: null, empty and blank texts consist of the end token; a null id is trained on or held out like an empty
 one; repeated rows count each; without training rows every token has the same probability; an empty table gives an empty
@@ -30,17 +31,16 @@ from pyspark.sql import functions as F
 from sleuthframe.llm.neardup import WordHashes
 from sleuthframe.llm.tables import WORD, keyed, stored
 
-CONTEXT_SHARE = 1e-5
+CONTEXT_SHARE = 0.0
 DISCOUNT = 0.75
 BLOCK_DOCS = 4096
 # Tokens that a task gathers before it sends its counts; bounds its memory, never the result.
-GATHERED = 1_500_000
-# Tokens that are scored together; bounds memory, never the result.
-TRAVERSED = 250_000
+GATHERED = 1_000_000
 
-# The end of a text is a token of its own, outside the values of the word hash.
+# The end of a text is a token of its own. It and the two states that no word names are outside the values of the word hash.
 END = 0
-ROOT = -1
+START = 1
+ROOT = 2
 
 
 class Reader:
@@ -54,66 +54,82 @@ class Reader:
         words = self.word.findall(text or "")
         out = np.empty(len(words) + 1, "uint64")
         out[:-1] = np.fromiter(map(self.hashes.__getitem__, words), "uint64", len(words))
-        out[out == END] = 1
+        out[out <= ROOT] = ROOT + 1
         out[-1] = END
         return out.view("int64")
 
 
-def _counted(rows: DataFrame, items) -> DataFrame:
-    """(_file, block, item, c): distinct items of each block with their number in training documents.
+class Arcs:
+    """Distinct words and bigrams of some texts, each with its number in training texts.
 
-    ``items(tokens)`` gives the items of a text as an array of longs.
+    Words have codes from 0, the start of a text has the code after them; a pair is ``code before * width + code``.
     """
 
+    def __init__(self, texts: list[np.ndarray], train: list[bool]):
+        self.sizes = np.array([len(tokens) for tokens in texts])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.code, self.words = pd.factorize(np.concatenate(texts))
+        self.width = len(self.words) + 1
+        before = np.append(len(self.words), self.code[:-1])
+        before[self.first] = len(self.words)
+        self.pair, self.pairs = pd.factorize(before * self.width + self.code)
+        learnt = np.repeat(np.array(train, "float64"), self.sizes)
+        self.word_counts = np.bincount(self.code, learnt, len(self.words)).astype("int64")
+        self.pair_counts = np.bincount(self.pair, learnt, len(self.pairs)).astype("int64")
+        self.heads, self.tails = np.divmod(self.pairs, self.width)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(block, state, word, c): distinct arcs of each block with their number in training documents."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
-        held: list[tuple[np.ndarray, bool]] = []
+        texts: list[np.ndarray] = []
+        learnt: list[bool] = []
         at, size = None, 0
 
-        def send() -> pd.DataFrame:
-            every = np.concatenate([x for x, _ in held])
-            learnt = np.repeat([t for _, t in held], [len(x) for x, _ in held])
-            of, found = pd.factorize(every)
-            times = np.bincount(of, weights=learnt, minlength=len(found)).astype("int64")
-            return pd.DataFrame({"_file": at[0], "block": at[1], "item": found, "c": times})
+        def send() -> Iterator[pd.DataFrame]:
+            arcs = Arcs(texts, learnt)
+            yield pd.DataFrame({"block": at, "state": ROOT, "word": arcs.words, "c": arcs.word_counts})
+            states = np.append(arcs.words, START)[arcs.heads]
+            yield pd.DataFrame({"block": at, "state": states, "word": arcs.words[arcs.tails], "c": arcs.pair_counts})
 
         for frame in frames:
-            for file, block, text, train in zip(
-                frame["_file"], frame["block"], frame["text"], frame["train"], strict=True
-            ):
-                if held and ((file, block) != at or size > GATHERED):
-                    yield send()
-                    held, size = [], 0
-                at = (file, block)
-                found = items(reader.tokens(text))
-                held.append((found, bool(train)))
-                size += len(found) + 1
-        if held:
-            yield send()
-
-    texts = rows.select("_file", "block", "text", "train")
-    return texts.mapInPandas(run, "_file long, block long, item long, c long")
-
-
-def _totals(counted: DataFrame, name: str) -> DataFrame:
-    """One row per block and item with the item's training count over all blocks; ``lead`` marks one row of each item.
-
-    An item has at most one row per block and sending, so even the most frequent word's group stays far below the table.
-    Both frames share one order, so the rows are dealt out and sorted once.
+            for block, text, train in zip(frame["block"], frame["text"], frame["train"], strict=True):
+                if texts and (block != at or size > GATHERED):
+                    yield from send()
+                    texts, learnt, size = [], [], 0
+                at = block
+                texts.append(reader.tokens(text))
+                learnt.append(bool(train))
+                size += len(texts[-1])
+        if texts:
+            yield from send()
+
+    return rows.select("block", "text", "train").mapInPandas(run, "block long, state long, word long, c long")
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    """(block, state, word, total, lead, shared): arcs with their training count over all blocks.
+
+    ``lead`` marks one row of each arc, ``shared`` the arcs of more than one block. An arc has at most one row
+    per block and sending, so even the most frequent word's group stays far below the table. The sort looks at a hash of
+    the arc first, since many arcs have the same state.
     """
-    same = Window.partitionBy("item").orderBy("_file", "block", "c")
+    same = Window.partitionBy("spread", "state", "word").orderBy("block", "c")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.struct("_file", "block")
-    summed = counted.select(
-        "_file",
+    dealt = counted.repartition("state", "word").withColumn("spread", F.xxhash64("state", "word"))
+    summed = dealt.select(
         "block",
-        "item",
+        "state",
+        "word",
         F.sum("c").over(whole).alias("total"),
         (F.row_number().over(same) == 1).alias("lead"),
-        # A block sends an item again when it is too large for one sending.
-        F.lag(place).over(same).eqNullSafe(place).alias("again"),
+        # A block sends an arc again when it is too large for one sending.
+        F.lag("block").over(same).eqNullSafe(F.col("block")).alias("again"),
+        (F.min("block").over(whole) != F.max("block").over(whole)).alias("shared"),
     )
-    return stored(summed.where(~F.col("again")).drop("again"), name)
+    return stored(summed.where("total > 0 and not again and (lead or shared)").drop("again"), "arcs")
 
 
 def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount: float = DISCOUNT) -> DataFrame:
@@ -121,104 +137,70 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
 
     Adds n_tokens, n_known, train_tokens, base_score (unigrams alone) and score (the automaton), as log10.
     """
-    spark = rows.sparkSession
     rows = rows.withColumn("id", F.col("id").cast("string")).withColumn(
-        "block", F.expr(f"_row div {BLOCK_DOCS}").cast("long")
+        "block", F.xxhash64("_file", F.expr(f"_row div {BLOCK_DOCS}"))
     )
-    words = _totals(_counted(rows, lambda tokens: tokens), "words")
-    leads = words.where("lead and total > 0")
-    finished = F.sum(F.when(F.col("item") == END, F.col("total")))
-    sums = leads.agg(F.sum("total").alias("n"), F.count("*").alias("v"), finished.alias("ends")).first()
+    arcs = _totals(_counted(rows))
+    known = arcs.where(f"state = {ROOT}")
+    bigrams = arcs.where(f"state <> {ROOT}")
+    sums = known.where("lead").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    # At most 1 / context_share words have this share.
-    frequent = leads.where(F.col("total") >= F.lit(context_share * n)).select("item", "total").toPandas()
-    frequent = frequent.sort_values("item", ignore_index=True)
-    contexts = frequent["item"].to_numpy("int64")
-    counts = frequent["total"].to_numpy("int64")
-    start = len(contexts)  # the state of the start of a text, of which there are as many as ends
-    width = start + 1
-    shared = spark.sparkContext.broadcast(contexts)
-
-    def pairs(tokens: np.ndarray) -> np.ndarray:
-        known = shared.value
-        at = np.searchsorted(known, tokens)
-        at[at == len(known)] = 0
-        state = np.where(known[at] == tokens, at, -1) if len(known) else np.full(len(tokens), -1)
-        before = np.concatenate([[len(known)], state[:-1]])
-        both = (before >= 0) & (state >= 0)
-        return before[both] * (len(known) + 1) + state[both]
-
-    bigrams = _totals(_counted(rows, pairs), "bigrams").where("total > 0")
-    of = bigrams.where("lead").groupBy(F.expr(f"item div {width}").alias("context"))
-    # One row per context.
-    seen = of.agg(F.sum("total").alias("kept"), F.count("*").alias("types")).toPandas()
-    history = np.append(counts, sums["ends"] or 0).astype("float64")
-    weight = np.ones(width)
-    at = seen["context"].to_numpy("int64")
-    if len(at):
-        weight[at] = (history[at] - seen["kept"].to_numpy("float64") + discount * seen["types"].to_numpy()) / history[at]
-    model = spark.sparkContext.broadcast((contexts, history, np.log10(weight), weight))
+    least = max(context_share * n, 1)
+    leads = bigrams.where("lead")
+    if least > 1:
+        contexts = known.where("lead").where(F.col("total") >= least)
+        leads = leads.join(contexts.select("word"), "word", "left_semi")
+    heads = leads.groupBy("state").agg(F.sum("total").alias("kept"), F.count("*").alias("types"))
+    began = heads.where(f"state = {START}").first()
+    began = (began["kept"], began["types"]) if began else (0, 0)
 
     def score_block(key, docs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        contexts, history, fail, weight = model.value
         reader = Reader()
-        mine = part[part["kind"] == 1].sort_values("item")
-        item, total = mine["item"].to_numpy("int64"), mine["total"].to_numpy("int64")
+        mine = Arcs([reader.tokens(text) for text in docs["text"]], docs["train"].tolist())
+        index = pd.Index(np.append(mine.words, START))
+        root = part["state"].to_numpy() == ROOT
+        words, pairs = part[root], part[~root]
+        here = index.get_indexer(words["word"])
+        total = mine.word_counts
+        total[here] = words["total"]
+        times = mine.pair_counts
+        wanted = index.get_indexer(pairs["state"]) * mine.width + index.get_indexer(pairs["word"])
+        times[pd.Index(mine.pairs).get_indexer(wanted)] = pairs["total"]
+
+        # The state of the start of a text, of which there are as many as ends, comes last.
+        history = np.append(total, total[index.get_loc(END)]).astype("float64")
+        is_state = history >= least
+        is_state[-1] = history[-1] > 0
+        held = (times > 0) & is_state[mine.heads] & is_state[mine.tails]
+        # All bigrams of a word that no other block has are here too.
+        kept = np.bincount(mine.heads[held], times[held], mine.width)
+        types = np.bincount(mine.heads[held], minlength=mine.width).astype("float64")
+        kept[here], types[here] = words["kept"], words["types"]
+        kept[-1], types[-1] = began
+        weight = np.ones(mine.width)
+        weight[is_state] = (history[is_state] - kept[is_state] + discount * types[is_state]) / history[is_state]
+
+        # Without an arc, the failure arc leads to the root, which has one for every word and from which nothing is paid.
         chance = (total + 0.5) / (n + 0.5 * (v + 1))
-        spot = np.searchsorted(contexts, item)
-        spot[spot == len(contexts)] = 0
-        # Arcs of the root: its words in order, their log-probabilities and next states.
-        target = np.where(contexts[spot] == item, spot, ROOT) if len(contexts) else np.full(len(item), ROOT)
-        root = np.log10(chance)
-        # Arcs of the other states, by state and next state: every bigram ends in a context.
-        pair = part[part["kind"] == 2].sort_values("item")
-        arc = pair["item"].to_numpy("int64")
-        heads, tails = np.divmod(arc, width)
-        lower = np.zeros(width)
-        lower[target[target != ROOT]] = chance[target != ROOT]
-        value = np.log10((pair["total"].to_numpy("float64") - discount) / history[heads] + weight[heads] * lower[tails])
-        # The root is the last state, from which nothing is paid.
-        fail = np.append(fail, 0.0)
-
-        def traverse(texts: list[np.ndarray]) -> list[tuple]:
-            """Read texts from left to right. A token alone names its next state, so all states are known at once."""
-            sizes = np.array([len(tokens) for tokens in texts])
-            first = np.cumsum(sizes) - sizes
-            at = np.searchsorted(item, np.concatenate(texts))
-            following = target[at]
-            state = np.append(start, following[:-1])
-            state[first] = start
-            # Without an arc, the failure arc leads to the root, which has one for every word.
-            base = root[at]
-            steps = fail[state] + base
-            if len(arc):
-                held = np.flatnonzero((state != ROOT) & (following != ROOT))
-                wanted = state[held] * width + following[held]
-                spot = np.minimum(np.searchsorted(arc, wanted), len(arc) - 1)
-                found = arc[spot] == wanted
-                steps[held[found]] = value[spot[found]]
-            known = np.add.reduceat((total[at] > 0).astype("int64"), first)
-            return list(zip(sizes, known, np.add.reduceat(base, first), np.add.reduceat(steps, first), strict=True))
-
-        out, texts, size = [], [], 0
-        for text in docs["text"]:
-            texts.append(reader.tokens(text))
-            size += len(texts[-1])
-            if size >= TRAVERSED:
-                out += traverse(texts)
-                texts, size = [], 0
-        if texts:
-            out += traverse(texts)
-        more = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"], index=docs.index)
-        return pd.concat([docs[["_file", "_row", "id", "train"]], more], axis=1)
-
-    part = words.select("_file", "block", F.lit(1).alias("kind"), "item", "total").unionByName(
-        bigrams.select("_file", "block", F.lit(2).alias("kind"), "item", "total")
-    )
-    docs = rows.select("_file", "block", "_row", "id", "text", "train")
+        lower = weight[mine.heads] * chance[mine.tails]
+        lower[held] += (times[held] - discount) / history[mine.heads[held]]
+        more = {
+            "n_tokens": mine.sizes,
+            "n_known": np.add.reduceat((total > 0).astype("int64")[mine.code], mine.first),
+            "base_score": np.add.reduceat(np.log10(chance)[mine.code], mine.first),
+            "score": np.add.reduceat(np.log10(lower)[mine.pair], mine.first),
+        }
+        return docs[["_file", "_row", "id", "train"]].assign(**more)
+
+    counts = heads.withColumnRenamed("state", "word")
+    found = known.where("shared").select("block", "state", "word", "total").join(counts, "word", "left")
+    part = found.select(
+        "block", "state", "word", "total", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("types", F.lit(0)).alias("types")
+    ).unionByName(bigrams.where("shared").select("block", "state", "word", "total", F.lit(0).alias("kept"), F.lit(0).alias("types")))
+    docs = rows.select("block", "_file", "_row", "id", "text", "train")
     scored = (
-        docs.groupBy("_file", "block")
-        .cogroup(part.groupBy("_file", "block"))
+        docs.groupBy("block")
+        .cogroup(part.groupBy("block"))
         .applyInPandas(
             score_block,
             "_file long, _row long, id string, train boolean, n_tokens long, n_known long, base_score double, score double",

@@ -203,6 +203,24 @@ def test_scores(spark, docs, data, which, share):
         assert mine == pytest.approx(want[plain_id(r["id"])], rel=1e-9)
 
 
+@pytest.mark.parametrize("block", [backoff.BLOCK_DOCS, 7])
+def test_rare_words_are_contexts_at_any_size(spark, monkeypatch, tmp_path, block):
+    # 300,000 tokens, so a word that is there twice has less than 1e-5 of them.
+    monkeypatch.setattr(backoff, "BLOCK_DOCS", block)
+    monkeypatch.setattr(backoff, "GATHERED", 20_000)
+    texts = ["common filler words " * 2500] * 40 + ["rare pair here", "rare pair there", "a rare pair", "pair rare"] * 3 + ["seen twice", "seen twice", "seen once"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "documents.parquet")
+    frame.coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    want = model_scores(table.collect(), 0, backoff.DISCOUNT)
+    got = backoff.score_documents(table).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        mine = (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
+        assert mine == pytest.approx(want[plain_id(r["id"])], rel=1e-9)
+
+
 def test_held_out_texts_gain(spark, data):
     got = QUERIES["op6_backoff_scores"](spark, data).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
