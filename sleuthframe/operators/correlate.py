@@ -15,8 +15,11 @@ window functions afterwards is one row per cell: its number grows with the cover
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +43,10 @@ LINKED_CATEGORIES = [c for c in CATEGORIES if c != "other"]
 DIRECTED = [(a, b) for a in LINKED_CATEGORIES for b in LINKED_CATEGORIES if related_reason(a, b)]
 CLIQUE_CATEGORIES = [c for c in LINKED_CATEGORIES if related_reason(c, c)]
 
-# Ids of one incident that are sorted and hashed in one row; larger incidents are hashed in parts.
+# Ids of one incident that are listed in one row. The incident id doesn't depend on it.
 IDS_PER_PART = 100_000
+# Sorted ids that travel to the hash of a large incident as one text.
+IDS_PER_PIECE = 1000
 
 
 @dataclass
@@ -584,6 +589,50 @@ def _category_rules(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFram
     return rules, reasons
 
 
+# -- incident ids of large incidents -------------------------------------------------------------------------
+
+
+def _folded(members: DataFrame) -> DataFrame:
+    """(comp, digest): SHA-256 over the ids of each component, sorted as text and joined by ``|``.
+
+    The ids are sorted in parallel by ranges and joined to pieces of bounded size. One task per component then reads its
+    pieces in order, a row for IDS_PER_PIECE ids, and keeps only the state of the hash.
+    """
+    per_piece = IDS_PER_PIECE
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for comp, keys in batch.groupby("comp", sort=False)["key"]:
+                keys = keys.tolist()
+                cuts = [keys[i : i + per_piece] for i in range(0, len(keys), per_piece)]
+                out += [(comp, cut[0], cut[-1], "|".join(cut)) for cut in cuts]
+            yield pd.DataFrame(out, columns=["comp", "first", "last", "ids"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for batch in batches:
+            done = []
+            for comp, ids in zip(batch["comp"], batch["ids"], strict=True):
+                if comp != now:
+                    if state:
+                        done.append((now, state.hexdigest()))
+                    now, state = comp, hashlib.sha256(ids.encode())
+                else:
+                    state.update(b"|" + ids.encode())
+            yield pd.DataFrame(done, columns=["comp", "digest"])
+        if state:
+            yield pd.DataFrame([(now, state.hexdigest())], columns=["comp", "digest"])
+
+    kind = members.schema["comp"].dataType.simpleString()
+    keys = members.select("comp", F.col("id").cast("string").alias("key")).where("key IS NOT NULL")
+    keys = keys.repartitionByRange("comp", "key").sortWithinPartitions("comp", "key")
+    cut = keys.mapInPandas(pieces, f"comp {kind}, first string, last string, ids string")
+    # Pieces overlap at most in one id that is there several times, so their ends give their order.
+    cut = cut.repartition("comp").sortWithinPartitions("comp", "first", "last")
+    return cut.select("comp", "ids").mapInPandas(fold, f"comp {kind}, digest string")
+
+
 # -- assembly ------------------------------------------------------------------------------------------------
 
 
@@ -598,8 +647,8 @@ def correlate(
     """Group related events into candidate incidents.
 
     ``by`` keeps groups apart (for example one case per group), ``label`` is an integrity label to count. Rows without
-    a device are looked for first; where there are none, nothing has to be linked across devices. An incident with more
-    than ``ids_per_part`` events is fingerprinted in parts: the digest over the digests of its parts.
+    a device are looked for first; where there are none, nothing has to be linked across devices. The id of an
+    incident of any size is the SHA-256 over its sorted event ids; ``ids_per_part`` only cuts its event list into rows.
     """
     w_us = _window_us(window_seconds)
     smallest = max(1, int(min_group_size))
@@ -654,29 +703,23 @@ def correlate(
         found = _grouped(rows.where("device = ''")).select(*key, "id", "us").join(loose_home, key)
         members = members.unionByName(found.select(*by, "comp", "comp_n", "id", "us"))
 
-    # Fingerprint: ids sorted as text, in parts of bounded size.
+    # Event lists in parts of bounded size. The list of an incident of one part gives its fingerprint, too: the hash over
+    # the ids sorted as text. For larger incidents the same hash is folded over sorted pieces.
     n_parts = F.ceil(F.col("comp_n") / F.lit(ids_per_part))
     split = members.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
-    listed = split.groupBy(*by, "comp", "part").agg(
+    listed = split.groupBy(*by, "comp", "comp_n", "part").agg(
         F.array_sort(F.collect_list(F.struct("us", F.col("id").alias("event_id")))).alias("listed")
     )
-    listed = listed.select(
-        *by,
-        "comp",
-        "part",
-        "listed",
-        F.sha2(
-            F.array_join(F.array_sort(F.transform("listed", lambda m: m["event_id"].cast("string"))), "|"), 256
-        ).alias("digest"),
-    )
-    digest = listed.groupBy(*by, "comp").agg(F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("d"))
-    one = F.col("d")[0]["digest"]
-    many = F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), "|"), 256)
-    named = digest.select(
-        *by,
-        "comp",
-        F.concat(F.lit("INC-"), F.substring(F.when(F.size("d") == 1, one).otherwise(many), 1, 12)).alias("incident_id"),
-    )
+    in_one = F.col("comp_n") <= F.lit(ids_per_part)
+    sorted_ids = F.array_sort(F.transform("listed", lambda m: m["event_id"].cast("string")))
+    digest = listed.where(in_one).select(*by, "comp", F.sha2(F.array_join(sorted_ids, "|"), 256).alias("digest"))
+    large = size.where(~in_one)
+    if not large.isEmpty():
+        # Without a single id the text is empty, as it is in one part.
+        found = F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest")
+        folded = large.join(_folded(members.where(~in_one)), "comp", "left")
+        digest = digest.unionByName(folded.select(*by, "comp", found))
+    named = digest.select(*by, "comp", F.concat(F.lit("INC-"), F.substring("digest", 1, 12)).alias("incident_id"))
 
     window_text = f"temporal proximity (within {int(window_seconds)}s window)"
     reasons = settle(said).select(*by, "comp", "signal", "reason").distinct()

@@ -3,6 +3,7 @@ import random
 import pytest
 from brute import incidents as brute
 
+from sleuthframe.operators import correlate as correlation
 from sleuthframe.operators.correlate import correlate, device_sessions
 
 
@@ -116,6 +117,16 @@ def test_parts_of_a_large_incident(make_events):
     assert sorted(i for r in rows for i in r["event_ids"]) == list(range(1, 51))
 
 
+@pytest.mark.parametrize("ids_per_piece", [1000, 3])
+def test_incident_ids_do_not_depend_on_the_part_size(make_events, monkeypatch, ids_per_piece):
+    monkeypatch.setattr(correlation, "IDS_PER_PIECE", ids_per_piece)
+    rng = random.Random(5)
+    rows = random_rows(rng, 60, 9000, ["", "A", "B", "C"]) + [{"at": 20_000 + i, "device": "A"} for i in range(130)]
+    got = check(make_events, rows, ids_per_part=4)
+    assert max(n for *_, n in got.values()) >= 130
+    assert min(n for *_, n in got.values()) <= 4
+
+
 def test_sessions(make_events):
     rows = [{"at": t, "device": d} for d, t in (("A", 0), ("A", 300), ("A", 601), ("B", 0))]
     got = {(r["device"], r["n_events"]) for r in device_sessions(make_events(rows)).collect()}
