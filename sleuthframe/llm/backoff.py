@@ -8,7 +8,7 @@ logarithm of its backoff weight. A text is read once from left to right: while t
 failure arc is taken and paid; then the arc's log-probability is added and its target is the next state. A caller may name
 a share of all training tokens that a word must have to be a context; the default is none.
 
-The automaton grows with the corpus, so no task holds it. Documents form blocks of BLOCK_DOCS rows. Each block sends the
+The automaton grows with the corpus, so no task holds it. Documents form blocks of bounded rows and bytes. Each block sends the
 distinct arcs it has, with their training counts, and these are summed over all blocks. A block counts its own texts again
 when it is scored, so only arcs that other blocks have too come back to it, words together with the number of their bigrams.
 States are named by word hashes, never by places in a list of all words.
@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.neardup import WordHashes
-from sleuthframe.llm.tables import WORD, keyed, stored
+from sleuthframe.llm.tables import WORD, keyed, settle, stored
 
 CONTEXT_SHARE = 0.0
 DISCOUNT = 0.75
+# Bounds of a block; a text with more bytes is a block of its own, and the last text of a block may exceed the bound once.
 BLOCK_DOCS = 4096
+BLOCK_BYTES = 32 << 20
 # Tokens that a task gathers before it sends its counts; bounds its memory, never the result.
 GATHERED = 1_000_000
 
@@ -79,6 +81,27 @@ class Arcs:
         self.heads, self.tails = np.divmod(self.pairs, self.width)
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Add ``block``: neighbouring rows of a file, at most BLOCK_DOCS and less than 2 * BLOCK_BYTES together."""
+    rows = rows.withColumn("_group", F.expr(f"_row div {BLOCK_DOCS}"))
+    sizes = rows.select("_file", "_group", "_row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    heavy = sizes.groupBy("_file", "_group").agg(F.sum("size").alias("size")).where(f"size > {BLOCK_BYTES}")
+    heavy = settle(heavy.select("_file", "_group"))
+    if heavy.isEmpty():
+        return rows.withColumn("block", F.xxhash64("_file", "_group")).drop("_group")
+    ordered = Window.partitionBy("_file", "_group").orderBy("_row")
+    before = F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alone = F.when(F.col("size") > BLOCK_BYTES, F.col("_row"))
+    # A heavy group has more than BLOCK_BYTES of text and becomes one row here.
+    found = sizes.join(F.broadcast(heavy), ["_file", "_group"])
+    found = found.withColumn("piece", F.struct(F.floor(before / BLOCK_BYTES).alias("at"), alone.alias("alone")))
+    found = found.withColumn("new", ~F.col("piece").eqNullSafe(F.lag("piece").over(ordered)))
+    cuts = found.where("new").groupBy("_file", "_group").agg(F.collect_list("_row").alias("_cuts"))
+    cut = rows.join(F.broadcast(settle(cuts)), ["_file", "_group"], "left")
+    piece = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<long>")), lambda at: at <= F.col("_row")))
+    return cut.withColumn("block", F.xxhash64("_file", "_group", piece)).drop("_group", "_cuts")
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """(block, state, word, c): distinct arcs of each block with their number in training documents."""
 
@@ -137,9 +160,7 @@ def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount:
 
     Adds n_tokens, n_known, train_tokens, base_score (unigrams alone) and score (the automaton), as log10.
     """
-    rows = rows.withColumn("id", F.col("id").cast("string")).withColumn(
-        "block", F.xxhash64("_file", F.expr(f"_row div {BLOCK_DOCS}"))
-    )
+    rows = in_blocks(rows.withColumn("id", F.col("id").cast("string")))
     arcs = _totals(_counted(rows))
     known = arcs.where(f"state = {ROOT}")
     bigrams = arcs.where(f"state <> {ROOT}")

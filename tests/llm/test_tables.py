@@ -221,6 +221,19 @@ def test_rare_words_are_contexts_at_any_size(spark, monkeypatch, tmp_path, block
         assert mine == pytest.approx(want[plain_id(r["id"])], rel=1e-9)
 
 
+def test_blocks_are_bounded_in_bytes(spark, docs, monkeypatch):
+    want = {(r["_file"], r["_row"]): r["score"] for r in backoff.score_documents(docs).collect()}
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 3000)
+    rows = keyed(docs).select("_file", "_row", F.col("_doc.text").alias("text"))
+    sizes = backoff.in_blocks(rows).groupBy("block").agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n"))
+    sizes = sizes.collect()
+    assert sum(r["n"] for r in sizes) == docs.count()
+    assert all((r["size"] or 0) < 6000 or r["n"] == 1 for r in sizes)
+    assert max(r["size"] or 0 for r in sizes) > 6000 and max(r["n"] for r in sizes) > 1
+    got = {(r["_file"], r["_row"]): r["score"] for r in backoff.score_documents(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_held_out_texts_gain(spark, data):
     got = QUERIES["op6_backoff_scores"](spark, data).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
