@@ -122,6 +122,13 @@ def legacy_union(spark, d):
     return both.groupBy("source").agg(F.count("*").alias("n"), F.count("event_hash").alias("hashed"))
 
 
+@query
+def legacy_union_all(spark, d):
+    old = activity_events(spark, d).drop("event_hash", "previous_hash")
+    both = store.with_legacy(derived.stored_chain(spark, d), old)
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.count("event_hash").alias("hashed"))
+
+
 # -- collectors ----------------------------------------------------------------------------------------------
 
 

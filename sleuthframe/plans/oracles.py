@@ -111,6 +111,8 @@ ORACLES["ingest_roundtrip"] = EV + """ SELECT strftime(ts, '%Y-%m-%d') AS event_
   FROM ev GROUP BY 1, 2"""
 ORACLES["legacy_union"] = EV + """, u AS (SELECT source, 1 AS h FROM ev UNION ALL SELECT source, NULL FROM ev WHERE source = 'USB')
   SELECT source, count(*) AS n, count(h) AS hashed FROM u GROUP BY 1"""
+ORACLES["legacy_union_all"] = EV + """, u AS (SELECT source, 1 AS h FROM ev UNION ALL SELECT source, NULL FROM ev)
+  SELECT source, count(*) AS n, count(h) AS hashed FROM u GROUP BY 1"""
 ORACLES["count_events"] = EV + " SELECT count(*) AS n FROM ev WHERE source = 'Defender' AND severity = 'HIGH' AND ts >= TIMESTAMP '2024-01-02'"
 for _c in ("source", "severity", "event_type", "user", "device"):
     _name = "type" if _c == "event_type" else _c
