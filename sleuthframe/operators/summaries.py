@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import from_micros, micros, severity_weight, text
 from sleuthframe.operators.chain import verify
-from sleuthframe.operators.retrieve import where_equal
-from sleuthframe.vocabulary import COLLECTOR_KEYWORDS
+from sleuthframe.operators.retrieve import recent, where_equal
+from sleuthframe.vocabulary import COLLECTOR_KEYWORDS, TEXT_COLUMNS
 
 GROUPABLE = ["source", "severity", "event_type", "user", "device"]
 
@@ -94,14 +94,21 @@ def collector_attribution(events: DataFrame) -> DataFrame:
 
 
 def dashboard(events: DataFrame, incidents: DataFrame, scored: DataFrame, chain: str | None = None) -> DataFrame:
-    """One row: totals, latest time, incident and anomaly counts and the chain status."""
+    """One row: totals by source and severity, newest ten rows, latest time, incidents, anomalies and the chain status."""
     head = events.agg(F.count("*").alias("total_events"), F.max("ts").alias("latest_event_time"))
     n_incidents = incidents.agg(F.count("*")).scalar()
     n_anomalies = scored.agg(F.count_if(F.col("classification").isin("SUSPICIOUS", "ANOMALOUS"))).scalar()
     status = verify(events, chain).select("status").scalar()
+    counts = lambda c: count_by(events, c).agg(F.array_sort(F.collect_list(F.struct("value", "n")))).scalar()
+    # Ten rows, put in order again since a limit gives none to the aggregate.
+    rows = F.struct("ts", "id", *TEXT_COLUMNS)
+    newest = recent(events).agg(F.reverse(F.array_sort(F.collect_list(rows)))).scalar()
     return head.select(
         "*",
         n_incidents.alias("candidate_incident_count"),
         n_anomalies.alias("behavioral_anomaly_count"),
         status.alias("integrity_status"),
+        counts("source").alias("by_source"),
+        counts("severity").alias("by_severity"),
+        newest.alias("recent_events"),
     )

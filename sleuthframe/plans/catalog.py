@@ -450,10 +450,26 @@ def collector_attribution(spark, d):
     return summaries.collector_attribution(e.withColumn("source", named.otherwise(F.col("source"))))
 
 
+DASHBOARD = ["total_events", "latest_event_time", "candidate_incident_count", "behavioral_anomaly_count", "integrity_status"]
+
+
 @query
 def dashboard_summary(spark, d):
     e = cut_lineage(derived.stored_chain(spark, d))
-    return summaries.dashboard(e, correlate(e).incidents, scoring.score(e), "chain")
+    return summaries.dashboard(e, correlate(e).incidents, scoring.score(e), "chain").select(*DASHBOARD)
+
+
+@query
+def dashboard_full(spark, d):
+    e = cut_lineage(derived.stored_chain(spark, d))
+    counted = lambda c: F.array_join(
+        F.transform(c, lambda x: F.concat(x["value"], F.lit("="), x["n"].cast("string"))), "|"
+    ).alias(c)
+    row = lambda x: F.concat_ws(",", x["id"].cast("string"), x["source"], x["event_type"], x["severity"], x["user"], x["device"])
+    return summaries.dashboard(e, correlate(e).incidents, scoring.score(e), "chain").select(
+        *DASHBOARD, counted("by_source"), counted("by_severity"),
+        F.array_join(F.transform("recent_events", row), "|").alias("recent_events"),
+    )
 
 
 # -- correlation ---------------------------------------------------------------------------------------------

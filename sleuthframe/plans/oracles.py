@@ -516,6 +516,10 @@ ORACLES["anomaly_holdout"] = EVM + feats("b", "ev", "ts < TIMESTAMP '2024-01-08'
 ORACLES["dashboard_summary"] = _self + scores() + correlation() + """ SELECT (SELECT count(*) FROM ev) AS total_events, (SELECT max(ts) FROM ev) AS latest_event_time,
   (SELECT count(*) FROM named) AS candidate_incident_count, (SELECT count(*) FROM scored WHERE classification IN ('SUSPICIOUS', 'ANOMALOUS')) AS behavioral_anomaly_count,
   'VALID' AS integrity_status"""
+_counted = "(SELECT string_agg(v || '=' || n, '|' ORDER BY v) FROM (SELECT coalesce({0}, '') AS v, count(*) AS n FROM ev GROUP BY 1)) AS by_{0}"
+ORACLES["dashboard_full"] = ORACLES["dashboard_summary"] + ", " + _counted.format("source") + ", " + _counted.format("severity") + """,
+  (SELECT string_agg(id || ',' || source || ',' || event_type || ',' || coalesce(severity, '') || ',' || coalesce("user", '') || ',' || coalesce(device, ''), '|'
+    ORDER BY ts DESC, id DESC) FROM (SELECT * FROM ev ORDER BY ts DESC, id DESC LIMIT 10)) AS recent_events"""
 
 # -- cases ---------------------------------------------------------------------------------------------------
 
