@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm import attribution, backoff, mixing, multiset, neardup, packing, pii, quality, sharding, token_files
+from sleuthframe.llm import (
+    attribution,
+    backoff,
+    binary_codes,
+    conversations,
+    mixing,
+    multiset,
+    neardup,
+    packing,
+    pii,
+    quality,
+    sharding,
+    token_files,
+    whitening,
+)
 from sleuthframe.llm.tables import keyed, read, ship_package
 from sleuthframe.session import configure
 
@@ -148,3 +162,18 @@ def op9_host_quality(spark, d):
 @query
 def op10_best_fit_packing(spark, d):
     return packing.pack(read(spark, d, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark, d):
+    return whitening.whiten(read(spark, d, "embeddings"))
+
+
+@query
+def op12_conversation_repair(spark, d):
+    return conversations.repair_damaged(read(spark, d, "conversations"))
+
+
+@query
+def op13_embedding_duplicates(spark, d):
+    return binary_codes.near_copies(read(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
