@@ -42,6 +42,9 @@ PAIRS = 1000
 ITERATIONS = 20
 MISSED = 0.005
 DEVIATIONS = 6
+# Length of the centre at most. Unit vectors then stay at least 1 - FARTHEST away from it, so that pairs at the threshold
+# agree in most bits even where all vectors point one way.
+FARTHEST = 0.3
 BLOCK = 512
 # Rows that a task looks through at once, besides those of the bucket it is in.
 GATHERED = 20_000
@@ -89,6 +92,7 @@ def fit_coder(sample: np.ndarray, n: int, cosine: float = COSINE, seed: int = SE
     draw = np.random.default_rng(seed)
     width = sample.shape[1]
     centre = sample.mean(axis=0)
+    centre *= min(1.0, FARTHEST / max(float(np.linalg.norm(centre)), FARTHEST))
     axes = np.linalg.svd(sample - centre, full_matrices=False)[2] if len(sample) >= width else np.eye(width)
     # Pairs exactly at the threshold, in random directions.
     one = sample[draw.integers(0, len(sample), PAIRS)]
@@ -102,8 +106,7 @@ def fit_coder(sample: np.ndarray, n: int, cosine: float = COSINE, seed: int = SE
 
     def more() -> np.ndarray:
         start = np.linalg.qr(draw.standard_normal((width, width)))[0]
-        turn = axes.T @ learn_rotation((sample - centre) @ axes.T, start)
-        return turn
+        return axes.T @ learn_rotation((sample - centre) @ axes.T, start)
 
     def agreement(turn: np.ndarray) -> np.ndarray:
         return (((one - centre) @ turn >= 0) == ((two - centre) @ turn >= 0)).sum(axis=1)
