@@ -624,3 +624,8 @@ ORACLES["stream_hwm"] = EV + " SELECT 'Channel' || (id % 3) AS channel, id AS re
 ORACLES["stream_dedup"] = ORACLES["stream_hwm"]
 ORACLES["stream_browser"] = EV + _history + """ SELECT DISTINCT browser || '::' || profile AS profile_key, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, url
   FROM hist WHERE ts IS NOT NULL"""
+ORACLES["stream_record_state"] = EV + """, w AS (SELECT 'Channel' || (id % 3) AS channel, id AS record_number, ts FROM ev WHERE source = 'Windows')
+  SELECT channel, record_number, ts FROM w WHERE channel <> 'Channel0' OR record_number > (SELECT max(record_number) // 2 FROM w WHERE channel = 'Channel0')"""
+ORACLES["stream_visit_state"] = EV + _history + """ SELECT profile_key, ts, url FROM (SELECT DISTINCT browser || '::' || profile AS profile_key,
+    CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, url FROM hist WHERE ts IS NOT NULL) v
+  WHERE profile_key <> 'Edge::P1' OR ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND length(url) % 2 = 1)"""

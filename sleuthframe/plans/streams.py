@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sleuthframe.operators.baseline import learn
-from sleuthframe.operators.cursors import profile_key
+from sleuthframe.operators.cursors import profile_key, url_key
 from sleuthframe.plans import derived
 from sleuthframe.plans.catalog import query
 from sleuthframe.session import checkpoint_root
 from sleuthframe.sources.activity import activity_events
 from sleuthframe.sources.records import browser_events
-from sleuthframe.streaming import jobs
+from sleuthframe.streaming import jobs, keyed
 
 
 def _folder(spark: SparkSession) -> str:
@@ -106,6 +106,50 @@ def stream_browser(spark, d):
     return spark.read.parquet(f"{at}/out").select("profile_key", "ts", "url")
 
 
+# Polls in the order of their arrival: the second one comes late, the last two come at once, in the wrong order.
+LATE_POLLS = [[0], [2], [1], [4, 3]]
+
+
+def _late(rows: DataFrame, at: str, start: Callable[[DataFrame], DataFrame], n: int = 5) -> DataFrame:
+    """Result of a stream whose polls overlap and come out of order; the query is started anew for each arrival."""
+    spark = rows.sparkSession
+    own = rows.withColumn("poll", _slice(F.col("ts"), n).cast("int"))
+    late = own.withColumn("next", _slice(F.date_add(F.col("ts"), 1), n).cast("int")).where("next > poll")
+    both = own.unionByName(late.withColumn("poll", F.col("next")).drop("next"))
+    both.withColumn("_poll", F.col("poll")).write.partitionBy("_poll").parquet(f"{at}/polls")
+    staged = spark.read.schema(f"{_ddl(both)}, _poll int").parquet(f"{at}/polls")
+    for arrival in LATE_POLLS:
+        staged.where(F.col("_poll").isin(arrival)).drop("_poll").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        found = start(jobs.watch(spark, f"{at}/in", both.schema))
+        jobs.append_rows(found.drop("poll"), f"{at}/out", f"{at}/state", one_batch=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+@query
+def stream_record_state(spark, d):
+    """Cursors as keyed state; an earlier run has read the first half of one channel."""
+    at = _folder(spark)
+    records, cursors = derived.polled_records(spark, d)
+    start = cursors.where("channel = 'Channel0'")
+    return _late(records, at, lambda s: keyed.new_records(s, start, backfill=None, poll="poll"))
+
+
+@query
+def stream_visit_state(spark, d):
+    """Visits by keyed state; an earlier run has read one profile up to a day, and some visits of that day."""
+    at = _folder(spark)
+    visits = derived.polled_visits(spark, d)[0].where("ts IS NOT NULL")
+    day = F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00"))
+    known = visits.where("profile_key = 'Edge::P1'")
+    cursors = known.select("profile_key", day.alias("last_visit")).distinct()
+    boundary = known.where((F.col("ts") == day) & (F.length("url") % 2 == 0)).select("profile_key", url_key(F.col("url")).alias("url_key"))
+    return _late(visits, at, lambda s: keyed.new_visits(s, cursors, boundary, backfill=None, poll="poll"))
+
+
 @query
 def stream_scores(spark, d):
     at = _folder(spark)

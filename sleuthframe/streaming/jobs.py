@@ -99,9 +99,14 @@ def without_repeats(records: DataFrame, delay: str = "2 minutes") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["channel", "record_number"]).drop("seen_at")
 
 
-def append_rows(stream: DataFrame, sink: str, state: str, once: bool = True) -> StreamingQuery:
+def append_rows(stream: DataFrame, sink: str, state: str, once: bool = True, one_batch: bool = False) -> StreamingQuery:
+    """``one_batch``: all that is there in a single micro-batch. State with a time to live asks for micro-batches without
+    data for ever, so a run that is to end needs it."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", state)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEFAULT_INTERVAL)
+    if one_batch:
+        writer = writer.trigger(once=True)
+    else:
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEFAULT_INTERVAL)
     return writer.start()
 
 
