@@ -11,15 +11,18 @@ the window and events two cells apart never are, so for any shared key
 
 A (key, cell) therefore reduces to counts, minima and maxima before the first shuffle, and what is ordered by
 window functions afterwards is one row per cell: its number grows with the covered time, not with the events.
+
+The events are read once, into groups of rows that are alike in all that links compare (``compact``). The groups are
+written, and incidents, reasons and signals come from them alone; only the listing of members reads the events again.
+
+The id of an incident is a hash of the set of its rows that can be merged: the number of rows and, in four lanes, the sums of
+numbers taken from the SHA-256 of each row's key. Groups carry their lanes, so no task ever sees the rows of an incident.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,18 +48,24 @@ CLIQUE_CATEGORIES = [c for c in LINKED_CATEGORIES if related_reason(c, c)]
 
 # Ids of one incident that are listed in one row. The incident id doesn't depend on it.
 IDS_PER_PART = 100_000
-# Sorted ids that travel to the hash of a large incident as one text.
-IDS_PER_PIECE = 1000
+# Lanes of the set hash, and hexadecimal digits of a row's SHA-256 that go into each.
+LANES = ["d0", "d1", "d2", "d3"]
+LANE_DIGITS = 15
 
 
 @dataclass
 class Correlation:
-    """Lazy result tables, all keyed by ``incident_id`` (and the ``by`` columns)."""
+    """Lazy result tables, all keyed by ``incident_id`` (and the ``by`` columns).
+
+    ``fingerprint`` is the whole digest of which ``incident_id`` shows 48 bits. ``groups`` are the compacted rows with the
+    component they belong to.
+    """
 
     incidents: DataFrame
-    members: DataFrame
+    members: DataFrame | None
     reasons: DataFrame
-    parts: DataFrame
+    parts: DataFrame | None
+    groups: DataFrame
 
 
 def features(events: DataFrame, by: list[str] | None = None, label: Column | None = None) -> DataFrame:
@@ -66,6 +75,7 @@ def features(events: DataFrame, by: list[str] | None = None, label: Column | Non
     base = base.select(
         *(by or []),
         "id",
+        row_key(events.columns).alias("key"),
         micros(F.col("ts")).alias("us"),
         "source",
         "event_type",
@@ -74,23 +84,94 @@ def features(events: DataFrame, by: list[str] | None = None, label: Column | Non
         text("user").alias("user"),
         text("device").alias("device"),
         path.alias("path"),
-        F.when(path != "", norm_path(path)).alias("npath"),
         (label if label is not None else F.lit(None).cast("string")).alias("label"),
     )
-    base = base.withColumn("dir", parent_dir(F.col("npath")))
-    return base.withColumn(
+    return _with_paths(base)
+
+
+def _with_paths(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("npath", F.when(F.col("path") != "", norm_path(F.col("path"))))
+    rows = rows.withColumn("dir", parent_dir(F.col("npath")))
+    return rows.withColumn(
         "fkey",
         F.when(F.col("dir") != "", F.concat(F.lit("d:"), "dir")).otherwise(F.concat(F.lit("p:"), "npath")),
     )
 
 
+ROW_TEXT = ["source", "event_type", "description", "severity", "user", "device", "file_path", "metadata"]
+
+
+def row_key(columns: list[str]) -> Column:
+    """Key of a row: its id, or without one a digest of its time and texts, so that rows without ids stay apart."""
+    parts = [micros(F.col("ts")).cast("string"), *[F.coalesce(text(c), F.lit("")) for c in ROW_TEXT if c in columns]]
+    return F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row:"), F.sha2(F.concat_ws("\x1f", *parts), 256)))
+
+
+def _lane(i: int) -> Column:
+    digits = F.substring(F.sha2(F.col("key"), 256), 1 + i * LANE_DIGITS, LANE_DIGITS)
+    return F.conv(digits, 16, 10).cast("decimal(38,0)")
+
+
+def set_hash() -> Column:
+    """Digest of a set of rows from their number and the sums of their lanes."""
+    return F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(x).cast("string") for x in LANES]), 256)
+
+
+ALIKE = ["cell", "device", "user", "path", "source", "event_type", "label", "tk"]
+
+
+def compact(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows alike in what links compare, as one: counts, first and last moment, worst severity and lanes.
+
+    ``rows`` have their cell. ``tk`` keeps rows apart that only a related category can link. Compacting compacted rows with
+    others gives the groups of all of them, see ``recompact``.
+    """
+    return _with_group_key(rows).groupBy(*by, *ALIKE).agg(
+        F.count("*").alias("n"),
+        F.min("us").alias("lo"),
+        F.max("us").alias("hi"),
+        F.min(_moment()).alias("first"),
+        F.max(_moment()).alias("last"),
+        F.max("rank").alias("rank"),
+        *[F.sum(_lane(i)).cast("decimal(38,0)").alias(x) for i, x in enumerate(LANES)],
+    )
+
+
+def _with_group_key(rows: DataFrame) -> DataFrame:
+    """Add ``tk``: empty, or the row's own key where only a related category can link it."""
+    sticky = (
+        (F.col("device") != "") | (F.col("user") != "") | F.col("fkey").isNotNull() | F.col("cat").isin(CLIQUE_CATEGORIES)
+    )
+    return rows.withColumn("tk", F.when(sticky, "").otherwise(F.concat_ws(":", F.col("us").cast("string"), F.col("key"))))
+
+
+def recompact(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of the same key as one."""
+    return groups.groupBy(*by, *ALIKE).agg(
+        F.sum("n").alias("n"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.max("rank").alias("rank"),
+        *[F.sum(x).cast("decimal(38,0)").alias(x) for x in LANES],
+    )
+
+
+def described(groups: DataFrame) -> DataFrame:
+    """Groups with the columns that follow from their key."""
+    typed = groups.withColumn("cat", category(F.col("source"), F.col("event_type")))
+    return _with_paths(typed).withColumn("fk", text("fkey"))
+
+
 def _node(kind: str, *cols) -> Column:
     """Fixed-width node name of a key; JSON keeps the parts apart."""
     return F.md5(F.to_json(F.struct(F.lit(kind).alias("_k"), *cols)))
 
 
 LABEL_COUNTS = [f"n_{x.lower()}" for x in INTEGRITY_LABELS]
-PROFILE = ["n", "t0", "t1", "sources", "event_types", "cats", "top_rank", "defender_rank", "windows_rank", *LABEL_COUNTS]
+NAMES = ["sources", "event_types", "cats"]
+PROFILE = ["n", "t0", "t1", *NAMES, "top_rank", "defender_rank", "windows_rank", *LABEL_COUNTS, *LANES]
 
 
 def _profiles(rows: DataFrame, keys: list[str], per_category: bool = False) -> DataFrame:
@@ -100,11 +181,12 @@ def _profiles(rows: DataFrame, keys: list[str], per_category: bool = False) -> D
     the map side; the sets of names are collected from those few rows only.
     """
     grain = rows.groupBy(*keys, "source", "event_type", "kind").agg(
-        F.count("*").alias("n"),
-        F.min("us").alias("t0"),
-        F.max("us").alias("t1"),
+        F.sum("n").alias("n"),
+        F.min("lo").alias("t0"),
+        F.max("hi").alias("t1"),
         F.max("rank").alias("top_rank"),
-        *[F.count_if(F.col("label") == x).alias(f"n_{x.lower()}") for x in INTEGRITY_LABELS],
+        *[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"n_{x.lower()}") for x in INTEGRITY_LABELS],
+        *[F.sum(x).cast("decimal(38,0)").alias(x) for x in LANES],
     )
     is_a = lambda c: F.col("kind") == c
     extra = []
@@ -126,29 +208,40 @@ def _profiles(rows: DataFrame, keys: list[str], per_category: bool = False) -> D
         F.max(F.when(is_a("defender"), F.col("top_rank"))).alias("defender_rank"),
         F.max(F.when(is_a("windows"), F.col("top_rank"))).alias("windows_rank"),
         *[F.sum(c).alias(c) for c in LABEL_COUNTS],
+        *[F.sum(x).cast("decimal(38,0)").alias(x) for x in LANES],
         *extra,
     )
 
 
 def _moment() -> Column:
-    """(us, id) as one number, so that its minimum and maximum fit a fixed-width buffer; ids are not negative."""
-    return F.expr("cast(us as decimal(18,0)) * 10000000000000000000BD + cast(id as decimal(19,0))")
+    """(us, id) as one number, so that its minimum and maximum fit a fixed-width buffer; ids are not negative. Rows without
+    an id are ordered by their key."""
+    return F.expr("cast(us as decimal(18,0)) * 10000000000000000000BD + cast(coalesce(id, xxhash64(key) & 9223372036854775807) as decimal(19,0))")
 
 
 def _merge_profile() -> list[Column]:
-    def union_of(name: str) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(name)))).alias(name)
-
     return [
         F.sum("n").alias("n"),
         F.min("t0").alias("t0"),
         F.max("t1").alias("t1"),
-        *[union_of(c) for c in ("sources", "event_types", "cats")],
         *[F.max(c).alias(c) for c in ("top_rank", "defender_rank", "windows_rank")],
         *[F.sum(c).alias(c) for c in LABEL_COUNTS],
+        *[F.sum(x).cast("decimal(38,0)").alias(x) for x in LANES],
     ]
 
 
+def _merged_names(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, comp, sources, event_types, cats): the distinct names of each component, made distinct before the shuffle."""
+
+    def tagged(name: str) -> Column:
+        return F.transform(name, lambda x: F.struct(F.lit(name).alias("of"), x.alias("name")))
+
+    each = parts.select(*by, "comp", F.explode(F.concat(*map(tagged, NAMES))).alias("x")).select(*by, "comp", "x.of", "x.name").distinct()
+    return each.groupBy(*by, "comp").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("of") == name, F.col("name")))).alias(name) for name in NAMES]
+    )
+
+
 def priority(cats: Column, defender_rank: Column, windows_rank: Column, top_rank: Column) -> Column:
     """Documented rules, first match wins; then a floor for a CRITICAL member."""
     defender, file, usb = (F.array_contains(cats, c) for c in ("defender", "file", "usb"))
@@ -221,17 +314,17 @@ def _device_reasons(rows: DataFrame, cells: DataFrame, by: list[str], w_us: int)
         return F.coalesce(later_lo - earlier_hi <= w_us, F.lit(False))
 
     users = rows.where("user <> ''").groupBy(*at, "user").agg(
-        F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     users = users.withColumn("hit", (F.col("n") >= 2) | close(F.lag("hi").over(ordered("user")), F.col("lo"))).where("hit")
     out = [_reason_rows(users, by, "user", F.concat(F.lit("same user: "), "user"), "device", "cell")]
 
     # Same path: the earlier row of a pair gives its own spelling.
     spelled = rows.where("npath IS NOT NULL").groupBy(*at, "dir", "npath", "path").agg(
-        F.count("*").alias("n"),
-        F.min("us").alias("lo"),
-        F.max("us").alias("hi"),
-        F.max(_moment()).alias("last"),
+        F.sum("n").alias("n"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.max("last").alias("last"),
     )
     paths = spelled.groupBy(*at, "dir", "npath").agg(
         F.min("lo").alias("lo"),
@@ -303,8 +396,8 @@ def _keyed(rows: DataFrame, by: list[str]) -> DataFrame:
             F.when(F.col("fkey").isNotNull(), F.struct(F.lit("file").alias("kind"), F.col("fkey").alias("key"))),
         )
     )
-    return rows.select(*by, "cell", "device", "us", F.explode(keys).alias("k")).select(
-        *by, "cell", "device", "us", "k.kind", "k.key"
+    return rows.select(*by, "cell", "device", "n", "lo", "hi", F.explode(keys).alias("k")).select(
+        *by, "cell", "device", "n", "lo", "hi", "k.kind", "k.key"
     )
 
 
@@ -318,13 +411,13 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
 
     Nodes are device sessions (named by their (device, cell) rows until the caller resolves them) and hubs.
     Returns ``edges(by, device, cell, src, dst)`` (``src`` null where the left end is the session of the cell),
-    ``reasons(by, node, signal, reason)`` and ``groups(by, cell, user, fkey, cat, tk, node, profile...)``.
+    ``reasons(by, node, signal, reason)`` and ``groups(by, cell, user, fk, cat, tk, node, profile...)``.
     """
     loose = rows.where("device = ''")
 
     # Hubs of shared users and files. Only keys that some device-less row carries can bridge.
     keyed = _keyed(rows, by).groupBy(*by, "kind", "key", "cell", "device").agg(
-        F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     hubs = keyed.where("device = ''").select(
         *by,
@@ -359,7 +452,7 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
     # Category relations: rules are one row per (cell, category), however many events there are.
     rules, type_reasons = _category_rules(rows, by, w_us)
     reasons.append(type_reasons)
-    seen = rows.groupBy(*by, "cell", "device", "cat").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    seen = rows.groupBy(*by, "cell", "device", "cat").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     fits = F.filter(
         "rules",
         lambda r: (r["min_us"] <= F.col("hi")) & (r["max_us"] >= F.col("lo")) & (~r["loose_only"] | (F.col("device") == "")),
@@ -372,7 +465,7 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
     )
 
     # Device-less rows grouped so that all rows of a group touch the same hubs.
-    groups = _profiles(_grouped(loose).withColumn("kind", F.col("cat")), [*by, *GROUP_KEY])
+    groups = _profiles(loose.withColumn("kind", F.col("cat")), [*by, *GROUP_KEY])
     hub_of = lambda kind, key: _node(
         "hub", *by, F.lit(kind).alias("kind"), key.alias("key"), F.col("cell").alias("hub_cell")
     )
@@ -383,7 +476,7 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
         F.concat(
             F.array(
                 F.when(F.col("user") != "", hub_of("user", F.col("user"))),
-                F.when(F.col("fkey") != "", hub_of("file", F.col("fkey"))),
+                F.when(F.col("fk") != "", hub_of("file", F.col("fk"))),
             ),
             F.coalesce(type_hubs, F.array().cast("array<string>")),
         )
@@ -409,14 +502,7 @@ def _bridge(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFrame, DataF
     return all_edges, merged.distinct(), groups.drop("hubs")
 
 
-GROUP_KEY = ["cell", "user", "fkey", "cat", "tk"]
-
-
-def _grouped(loose: DataFrame) -> DataFrame:
-    """Key columns of the groups; rows that only a related category can link stay single."""
-    sticky = (F.col("user") != "") | F.col("fkey").isNotNull() | F.col("cat").isin(CLIQUE_CATEGORIES)
-    single = F.concat_ws(":", F.col("us").cast("string"), F.col("id").cast("string"))
-    return loose.withColumn("tk", F.when(sticky, "").otherwise(single)).withColumn("fkey", text("fkey"))
+GROUP_KEY = ["cell", "user", "fk", "cat", "tk"]
 
 
 def _file_hub(by: list[str], cell: Column) -> Column:
@@ -426,19 +512,18 @@ def _file_hub(by: list[str], cell: Column) -> Column:
 def _loose_path_reasons(rows: DataFrame, by: list[str], w_us: int) -> list[DataFrame]:
     """Same path, at least one row without a device; the earlier row gives the spelling."""
     loose = F.col("device") == ""
-    at = _moment()
     forms = (
         rows.where("npath IS NOT NULL")
         .groupBy(*by, "fkey", "npath", "cell", "path")
         .agg(
-            F.min(F.when(loose, at)).alias("loose_first"),
-            F.max(F.when(loose, F.col("us"))).alias("loose_hi"),
-            F.min(F.when(~loose, at)).alias("fixed_first"),
-            F.max(F.when(~loose, F.col("us"))).alias("fixed_hi"),
-            F.min("us").alias("lo"),
-            F.min(F.when(loose, F.col("us"))).alias("loose_lo"),
-            F.max(F.when(loose, at)).alias("loose_last"),
-            F.max(at).alias("last"),
+            F.min(F.when(loose, F.col("first"))).alias("loose_first"),
+            F.max(F.when(loose, F.col("hi"))).alias("loose_hi"),
+            F.min(F.when(~loose, F.col("first"))).alias("fixed_first"),
+            F.max(F.when(~loose, F.col("hi"))).alias("fixed_hi"),
+            F.min("lo").alias("lo"),
+            F.min(F.when(loose, F.col("lo"))).alias("loose_lo"),
+            F.max(F.when(loose, F.col("last"))).alias("loose_last"),
+            F.max("last").alias("last"),
         )
     )
     key = [*by, "fkey", "npath"]
@@ -474,10 +559,10 @@ def _loose_dir_reasons(rows: DataFrame, by: list[str], w_us: int) -> list[DataFr
         rows.where("dir <> ''")
         .groupBy(*by, "fkey", "dir", "cell", "npath")
         .agg(
-            F.min("us").alias("lo"),
-            F.max("us").alias("hi"),
-            F.min(F.when(loose, F.col("us"))).alias("loose_lo"),
-            F.max(F.when(loose, F.col("us"))).alias("loose_hi"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.min(F.when(loose, F.col("lo"))).alias("loose_lo"),
+            F.max(F.when(loose, F.col("hi"))).alias("loose_hi"),
         )
     )
     cells = (
@@ -520,12 +605,12 @@ def _category_rules(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFram
         rows.where(F.col("cat") != "other")
         .groupBy(*by, "cell", "cat")
         .agg(
-            F.count("*").alias("n"),
-            F.min("us").alias("lo"),
-            F.max("us").alias("hi"),
-            F.count_if(loose).alias("loose_n"),
-            F.min(F.when(loose, F.col("us"))).alias("loose_lo"),
-            F.max(F.when(loose, F.col("us"))).alias("loose_hi"),
+            F.sum("n").alias("n"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.sum(F.when(loose, F.col("n")).otherwise(0)).alias("loose_n"),
+            F.min(F.when(loose, F.col("lo"))).alias("loose_lo"),
+            F.max(F.when(loose, F.col("hi"))).alias("loose_hi"),
         )
     )
     partners = {a: [b for x, b in DIRECTED if x == a] for a in LINKED_CATEGORIES}
@@ -589,50 +674,6 @@ def _category_rules(rows: DataFrame, by: list[str], w_us: int) -> tuple[DataFram
     return rules, reasons
 
 
-# -- incident ids of large incidents -------------------------------------------------------------------------
-
-
-def _folded(members: DataFrame) -> DataFrame:
-    """(comp, digest): SHA-256 over the ids of each component, sorted as text and joined by ``|``.
-
-    The ids are sorted in parallel by ranges and joined to pieces of bounded size. One task per component then reads its
-    pieces in order, a row for IDS_PER_PIECE ids, and keeps only the state of the hash.
-    """
-    per_piece = IDS_PER_PIECE
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for comp, keys in batch.groupby("comp", sort=False)["key"]:
-                keys = keys.tolist()
-                cuts = [keys[i : i + per_piece] for i in range(0, len(keys), per_piece)]
-                out += [(comp, cut[0], cut[-1], "|".join(cut)) for cut in cuts]
-            yield pd.DataFrame(out, columns=["comp", "first", "last", "ids"])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for batch in batches:
-            done = []
-            for comp, ids in zip(batch["comp"], batch["ids"], strict=True):
-                if comp != now:
-                    if state:
-                        done.append((now, state.hexdigest()))
-                    now, state = comp, hashlib.sha256(ids.encode())
-                else:
-                    state.update(b"|" + ids.encode())
-            yield pd.DataFrame(done, columns=["comp", "digest"])
-        if state:
-            yield pd.DataFrame([(now, state.hexdigest())], columns=["comp", "digest"])
-
-    kind = members.schema["comp"].dataType.simpleString()
-    keys = members.select("comp", F.col("id").cast("string").alias("key")).where("key IS NOT NULL")
-    keys = keys.repartitionByRange("comp", "key").sortWithinPartitions("comp", "key")
-    cut = keys.mapInPandas(pieces, f"comp {kind}, first string, last string, ids string")
-    # Pieces overlap at most in one id that is there several times, so their ends give their order.
-    cut = cut.repartition("comp").sortWithinPartitions("comp", "first", "last")
-    return cut.select("comp", "ids").mapInPandas(fold, f"comp {kind}, digest string")
-
-
 # -- assembly ------------------------------------------------------------------------------------------------
 
 
@@ -647,19 +688,49 @@ def correlate(
     """Group related events into candidate incidents.
 
     ``by`` keeps groups apart (for example one case per group), ``label`` is an integrity label to count. Rows without
-    a device are looked for first; where there are none, nothing has to be linked across devices. The id of an
-    incident of any size is the SHA-256 over its sorted event ids; ``ids_per_part`` only cuts its event list into rows.
+    a device are looked for first; where there are none, nothing has to be linked across devices. ``ids_per_part`` only
+    cuts the event list of a large incident into rows.
     """
     w_us = _window_us(window_seconds)
-    smallest = max(1, int(min_group_size))
     by = list(by or [])
     rows = _with_cell(features(events, by, label), w_us)
-    bridge = not rows.where("device = ''").isEmpty()
+    found = correlate_groups(compact(rows, by), window_seconds, min_group_size, by)
+    # Members: each row finds its incident over its (device, cell) or its device-less group.
+    homes = found.groups.join(found.incidents.select(*by, "comp", "incident_id", F.col("event_count").alias("size")), [*by, "comp"])
+    held = rows.where("device <> ''").select(*by, "device", "cell", "id", "us")
+    members = held.join(homes.where("device <> ''").select(*by, "device", "cell", "incident_id", "size").distinct(), [*by, "device", "cell"])
+    loose_key = [*by, "cell", "user", "path", "source", "event_type", "tk"]
+    loose_homes = homes.where("device = ''").select(*loose_key, "incident_id", "size").distinct()
+    loose = _with_group_key(rows.where("device = ''")).select(*loose_key, "id", "us").join(loose_homes, loose_key)
+    columns = [*by, "incident_id", "size", "id", "us"]
+    members = members.select(*columns).unionByName(loose.select(*columns))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(ids_per_part))).cast("int").alias("part")
+    listed = members.groupBy(*by, "incident_id", part).agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("listed"))
+    return Correlation(
+        incidents=found.incidents.drop("comp"),
+        members=members.select(*by, "incident_id", F.col("id").alias("event_id"), from_micros(F.col("us")).alias("ts")),
+        reasons=found.reasons.drop("comp"),
+        parts=listed.select(*by, "incident_id", "part", F.col("listed.id").alias("event_ids")),
+        groups=found.groups,
+    )
+
+
+def correlate_groups(
+    groups: DataFrame, window_seconds: float = 300, min_group_size: int = 2, by: list[str] | None = None
+) -> Correlation:
+    """Incidents of compacted rows. All tables carry ``comp``, the component; there are no members."""
+    w_us = _window_us(window_seconds)
+    smallest = max(1, int(min_group_size))
+    by = list(by or [])
+    # Written once; everything below reads the groups, not the events.
+    compacted = cut_lineage(groups)
+    rows = described(compacted)
+    bridge = not compacted.where("device = ''").isEmpty()
 
     held = rows.where("device <> ''")
     cells = _profiles(held.withColumn("kind", F.col("cat")), [*by, "device", "cell"], per_category=True)
     cells = _sessions(cells, by, w_us)
-    # Written once: one row per (device, cell) feeds every table below, so the events are not read again for it.
+    # One row per (device, cell) feeds every table below.
     cells = cut_lineage(cells.withColumn("node", _node("session", *by, F.col("device"), F.col("session"))))
     said = _device_reasons(held, cells, by, w_us).join(
         cells.select(*by, "device", "cell", "node"), [*by, "device", "cell"]
@@ -674,14 +745,14 @@ def correlate(
     parts = cells.select(*by, "node", *PROFILE)
 
     if bridge:
-        edges, loose_reasons, groups = _bridge(rows, by, w_us)
-        groups, loose_reasons = cut_lineage(groups), cut_lineage(loose_reasons)
+        edges, loose_reasons, loose = _bridge(rows, by, w_us)
+        loose, loose_reasons = cut_lineage(loose), cut_lineage(loose_reasons)
         resolved = edges.join(
             cells.select(*by, "device", "cell", "node"), [*by, "device", "cell"], "left"
         ).select(F.coalesce("src", "node").alias("src"), "dst")
         comps = connected_components(resolved).withColumnRenamed("component", "comp")
         said = said.unionByName(loose_reasons)
-        parts = parts.unionByName(groups.select(*by, "node", *PROFILE))
+        parts = parts.unionByName(loose.select(*by, "node", *PROFILE))
 
         def settle(df: DataFrame) -> DataFrame:
             return df.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")
@@ -690,36 +761,12 @@ def correlate(
         def settle(df: DataFrame) -> DataFrame:
             return df.withColumnRenamed("node", "comp")
 
-    whole = settle(parts).groupBy(*by, "comp").agg(*_merge_profile()).where(F.col("n") >= smallest)
-
-    # Members: each row finds its incident over its (device, cell) or its device-less group.
-    size = whole.select(*by, "comp", F.col("n").alias("comp_n"))
-    home = settle(cells.select(*by, "device", "cell", "node")).join(size, [*by, "comp"])
-    members = held.select(*by, "device", "cell", "id", "us").join(home, [*by, "device", "cell"])
-    members = members.select(*by, "comp", "comp_n", "id", "us")
-    if bridge:
-        key = [*by, *GROUP_KEY]
-        loose_home = settle(groups.select(*key, "node")).join(size, [*by, "comp"])
-        found = _grouped(rows.where("device = ''")).select(*key, "id", "us").join(loose_home, key)
-        members = members.unionByName(found.select(*by, "comp", "comp_n", "id", "us"))
-
-    # Event lists in parts of bounded size. The list of an incident of one part gives its fingerprint, too: the hash over
-    # the ids sorted as text. For larger incidents the same hash is folded over sorted pieces.
-    n_parts = F.ceil(F.col("comp_n") / F.lit(ids_per_part))
-    split = members.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
-    listed = split.groupBy(*by, "comp", "comp_n", "part").agg(
-        F.array_sort(F.collect_list(F.struct("us", F.col("id").alias("event_id")))).alias("listed")
-    )
-    in_one = F.col("comp_n") <= F.lit(ids_per_part)
-    sorted_ids = F.array_sort(F.transform("listed", lambda m: m["event_id"].cast("string")))
-    digest = listed.where(in_one).select(*by, "comp", F.sha2(F.array_join(sorted_ids, "|"), 256).alias("digest"))
-    large = size.where(~in_one)
-    if not large.isEmpty():
-        # Without a single id the text is empty, as it is in one part.
-        found = F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest")
-        folded = large.join(_folded(members.where(~in_one)), "comp", "left")
-        digest = digest.unionByName(folded.select(*by, "comp", found))
-    named = digest.select(*by, "comp", F.concat(F.lit("INC-"), F.substring("digest", 1, 12)).alias("incident_id"))
+    # One row per component, written: all results below start from it.
+    resolved_parts = settle(parts)
+    whole = resolved_parts.groupBy(*by, "comp").agg(*_merge_profile()).where(F.col("n") >= smallest)
+    whole = whole.withColumn("fingerprint", set_hash())
+    whole = cut_lineage(whole.withColumn("incident_id", F.concat(F.lit("INC-"), F.substring("fingerprint", 1, 12))))
+    named = whole.select(*by, "comp", "incident_id")
 
     window_text = f"temporal proximity (within {int(window_seconds)}s window)"
     reasons = settle(said).select(*by, "comp", "signal", "reason").distinct()
@@ -729,11 +776,13 @@ def correlate(
     reasons = reasons.unionByName(always)
     signals = reasons.groupBy(*by, "comp").agg(F.array_sort(F.collect_set("signal")).alias("confidence_signals"))
     incidents = (
-        whole.join(named, [*by, "comp"])
+        whole.join(_merged_names(resolved_parts, by), [*by, "comp"])
         .join(signals, [*by, "comp"], "left")
         .select(
             *by,
+            "comp",
             "incident_id",
+            "fingerprint",
             from_micros(F.col("t0")).alias("start_time"),
             from_micros(F.col("t1")).alias("end_time"),
             F.col("n").alias("event_count"),
@@ -745,13 +794,19 @@ def correlate(
             *LABEL_COUNTS,
         )
     )
-    parts = listed.join(named, [*by, "comp"]).select(*by, "incident_id", "part", "listed")
-    each = parts.select(*by, "incident_id", F.explode("listed").alias("m"))
+    homes = settle(cells.select(*by, "device", "cell", "node"))
+    labelled = held.join(homes, [*by, "device", "cell"]).select(*compacted.columns, "comp")
+    if bridge:
+        key = [*by, *GROUP_KEY]
+        loose_homes = settle(loose.select(*key, "node"))
+        bare = rows.where("device = ''").join(loose_homes, key)
+        labelled = labelled.unionByName(bare.select(*compacted.columns, "comp"))
     return Correlation(
         incidents=incidents,
-        members=each.select(*by, "incident_id", F.col("m.event_id"), from_micros(F.col("m.us")).alias("ts")),
-        reasons=reasons.join(named, [*by, "comp"]).select(*by, "incident_id", "signal", "reason"),
-        parts=parts.select(*by, "incident_id", "part", F.col("listed.event_id").alias("event_ids")),
+        members=None,
+        reasons=reasons.join(named, [*by, "comp"]).select(*by, "comp", "incident_id", "signal", "reason"),
+        parts=None,
+        groups=labelled,
     )
 
 

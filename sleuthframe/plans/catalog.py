@@ -528,6 +528,13 @@ def incident_integrity(spark, d):
     return c.incidents.select("incident_id", "n_legacy", "n_hashed_unverified", "n_verified", "n_tampered")
 
 
+@query
+def incidents_without_ids(spark, d):
+    """Every fifth row has lost its id."""
+    e = activity_events(spark, d, missing_devices=True)
+    return _incident_columns(correlate(e.withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id")))))
+
+
 @query
 def incidents_bridged(spark, d):
     return _incident_columns(correlate(activity_events(spark, d, missing_devices=True)))

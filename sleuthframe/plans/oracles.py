@@ -403,7 +403,11 @@ RELATED = """, rel(x, y, why) AS (VALUES ('usb', 'usb', 'related usb events'), (
     ('defender', 'windows', 'known event-type relationship (defender + windows)'), ('browser', 'windows', 'known event-type relationship (browser + windows)'))"""
 
 
-def correlation(table: str = "ev", window: int = 300, scope: str = "0", smallest: int = 2, extra: str = "") -> str:
+def correlation(
+    table: str = "ev", window: int = 300, scope: str = "0", smallest: int = 2, extra: str = "", key: str = "CAST(id AS VARCHAR)"
+) -> str:
+    lanes = ", ".join(f"CAST(sum(CAST('0x' || substr(sha256({key}), {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    set_hash = f"sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {lanes}))"
     return RELATED + f""", f0 AS (SELECT *, {scope} AS g, {category()} AS cat, {RANK} AS rank, lower(rtrim(replace(file_path, '\\', '/'), '/')) AS np FROM {table} {extra}),
   f AS (SELECT *, regexp_extract(np, '^(.*)/', 1) AS dir FROM f0),
   lk AS (SELECT a.g, a.id AS aid, b.id AS bid, CASE WHEN a.device <> '' AND a.device = b.device THEN 'same device: ' || a.device END AS r_dev,
@@ -418,7 +422,7 @@ def correlation(table: str = "ev", window: int = 300, scope: str = "0", smallest
   reach(g, id, root) AS (SELECT DISTINCT g, x, x FROM edge UNION SELECT e.g, e.y, r.root FROM reach r JOIN edge e ON e.g = r.g AND e.x = r.id),
   comp AS (SELECT g, id, min(root) AS c FROM reach GROUP BY 1, 2),
   mem AS (SELECT comp.c, f.* FROM comp JOIN f USING (g, id)),
-  named AS (SELECT g, c, 'INC-' || substr(sha256(string_agg(CAST(id AS VARCHAR), '|' ORDER BY CAST(id AS VARCHAR))), 1, 12) AS incident_id, count(*) AS event_count
+  named AS (SELECT g, c, 'INC-' || substr({set_hash}, 1, 12) AS incident_id, count(*) AS event_count
     FROM mem GROUP BY 1, 2 HAVING count(*) >= {smallest}),
   why AS (SELECT DISTINCT l.g, comp.c, s.signal, s.reason FROM link l JOIN comp ON comp.g = l.g AND comp.id = l.aid, LATERAL (
       SELECT 'device' AS signal, r_dev AS reason UNION ALL SELECT 'user', r_user UNION ALL SELECT 'file', r_file
@@ -434,6 +438,8 @@ def correlation(table: str = "ev", window: int = 300, scope: str = "0", smallest
 _inc = " SELECT incident_id, start_time, end_time, event_count, sources, event_types, priority, confidence_score, confidence_signals FROM named JOIN pri USING (g, c) JOIN sig USING (g, c)"
 ORACLES["incidents"] = EV + correlation() + _inc
 ORACLES["incidents_bridged"] = EVM + correlation() + _inc
+ORACLES["incidents_without_ids"] = EVM + correlation(key="""CASE WHEN id % 5 = 0 THEN 'row:' || sha256(concat_ws(chr(31), CAST(epoch_us(ts) AS VARCHAR),
+  source, event_type, description, severity, "user", device, file_path, metadata)) ELSE CAST(id AS VARCHAR) END""") + _inc
 ORACLES["incident_members"] = EV + correlation() + " SELECT incident_id, id AS event_id, ts FROM named JOIN mem USING (g, c)"
 ORACLES["bridged_members"] = EVM + correlation() + " SELECT incident_id, id AS event_id FROM named JOIN mem USING (g, c)"
 ORACLES["incident_event_lists"] = EV + correlation() + """ SELECT incident_id, CAST(0 AS INT) AS part, string_agg(CAST(id AS VARCHAR), '|' ORDER BY ts, id) AS event_ids

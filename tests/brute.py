@@ -65,7 +65,9 @@ def incidents(rows, window=300, smallest=2):
     for group in {id(g): g for g in comp.values()}.values():
         if len(group) < smallest:
             continue
-        key = "INC-" + hashlib.sha256("|".join(sorted(map(str, group))).encode()).hexdigest()[:12]
+        digests = [hashlib.sha256(str(k).encode()).hexdigest() for k in group]
+        lanes = [sum(int(x[15 * i : 15 * i + 15], 16) for x in digests) for i in range(4)]
+        key = "INC-" + hashlib.sha256(":".join(map(str, [len(group), *lanes])).encode()).hexdigest()[:12]
         reasons, signals = set(), set()
         for anchor, found in links:
             if anchor in group:

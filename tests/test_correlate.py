@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import incidents as brute
+from pyspark.sql import functions as F
 
 from sleuthframe.operators import correlate as correlation
 from sleuthframe.operators.correlate import correlate, device_sessions
@@ -117,9 +118,7 @@ def test_parts_of_a_large_incident(make_events):
     assert sorted(i for r in rows for i in r["event_ids"]) == list(range(1, 51))
 
 
-@pytest.mark.parametrize("ids_per_piece", [1000, 3])
-def test_incident_ids_do_not_depend_on_the_part_size(make_events, monkeypatch, ids_per_piece):
-    monkeypatch.setattr(correlation, "IDS_PER_PIECE", ids_per_piece)
+def test_incident_ids_do_not_depend_on_the_part_size(make_events):
     rng = random.Random(5)
     rows = random_rows(rng, 60, 9000, ["", "A", "B", "C"]) + [{"at": 20_000 + i, "device": "A"} for i in range(130)]
     got = check(make_events, rows, ids_per_part=4)
@@ -127,6 +126,31 @@ def test_incident_ids_do_not_depend_on_the_part_size(make_events, monkeypatch, i
     assert min(n for *_, n in got.values()) <= 4
 
 
+def test_rows_without_ids(make_events):
+    rows = [{"at": t, "device": d} for d in ("A", "B") for t in (0, 1)] + [{"at": 9000, "device": "A"}]
+    rows += [{"at": 20_000, "source": "Browser", "event_type": "V", "description": d} for d in ("x", "y")]
+    bare = make_events(rows).withColumn("id", F.lit(None).cast("bigint"))
+    got = correlate(bare, min_group_size=1)
+    ids = [r["incident_id"] for r in got.incidents.collect()]
+    assert len(ids) == len(set(ids)) == 5
+    assert len({r["fingerprint"] for r in got.incidents.collect()}) == 5
+    members = got.members.collect()
+    assert len(members) == 7 and all(r["event_id"] is None for r in members)
+    again = {r["incident_id"] for r in correlate(bare.repartition(3), min_group_size=1).incidents.collect()}
+    assert again == set(ids)
+
+
+def test_groups_can_be_compacted_again(make_events):
+    rng = random.Random(8)
+    events = make_events(random_rows(rng, 80, 6000, ["", "A", "B"]) + [{"at": 5, "device": "A"}] * 20)
+    rows = correlation._with_cell(correlation.features(events), 300_000_000)
+    whole = correlation.compact(rows, [])
+    halves = correlation.compact(rows.where("id % 2 = 0"), []).unionByName(correlation.compact(rows.where("id % 2 = 1"), []))
+    assert sorted(map(str, correlation.recompact(halves, []).collect())) == sorted(map(str, whole.collect()))
+    want = {r["incident_id"] for r in correlate(events).incidents.collect()}
+    assert {r["incident_id"] for r in correlation.correlate_groups(halves).incidents.collect()} == want
+
+
 def test_sessions(make_events):
     rows = [{"at": t, "device": d} for d, t in (("A", 0), ("A", 300), ("A", 601), ("B", 0))]
     got = {(r["device"], r["n_events"]) for r in device_sessions(make_events(rows)).collect()}
