@@ -480,8 +480,8 @@ def device_session_rows(spark, d):
     return device_sessions(activity_events(spark, d))
 
 
-def _incident_columns(c):
-    return c.incidents.select(
+def incident_columns(found):
+    return found.select(
         "incident_id", "start_time", "end_time", "event_count", joined("sources"), joined("event_types"), "priority",
         "confidence_score", joined("confidence_signals"),
     )
@@ -489,7 +489,7 @@ def _incident_columns(c):
 
 @query
 def incidents(spark, d):
-    return _incident_columns(correlate(activity_events(spark, d)))
+    return incident_columns(correlate(activity_events(spark, d)).incidents)
 
 
 @query
@@ -532,12 +532,12 @@ def incident_integrity(spark, d):
 def incidents_without_ids(spark, d):
     """Every fifth row has lost its id."""
     e = activity_events(spark, d, missing_devices=True)
-    return _incident_columns(correlate(e.withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id")))))
+    return incident_columns(correlate(e.withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id")))).incidents)
 
 
 @query
 def incidents_bridged(spark, d):
-    return _incident_columns(correlate(activity_events(spark, d, missing_devices=True)))
+    return incident_columns(correlate(activity_events(spark, d, missing_devices=True)).incidents)
 
 
 @query

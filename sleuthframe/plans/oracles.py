@@ -635,3 +635,4 @@ ORACLES["stream_record_state"] = EV + """, w AS (SELECT 'Channel' || (id % 3) AS
 ORACLES["stream_visit_state"] = EV + _history + """ SELECT profile_key, ts, url FROM (SELECT DISTINCT browser || '::' || profile AS profile_key,
     CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, url FROM hist WHERE ts IS NOT NULL) v
   WHERE profile_key <> 'Edge::P1' OR ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND length(url) % 2 = 1)"""
+ORACLES["stream_incidents_revised"] = ORACLES["incidents_bridged"]
