@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import iso, row_hash, text
+from sleuthframe.operators import hashtree
 from sleuthframe.vocabulary import EVENT_COLUMNS, HASHED_UNVERIFIED, LEGACY, TAMPERED, VERIFIED
 
 # Reasons of a failed row.
@@ -186,24 +187,38 @@ def verdicts(rows: DataFrame, chain: str | None = None, block_rows: int = BLOCK_
     return linked.select(*named, "id", state.alias("state"), reasons.alias("reasons"))
 
 
-def verify(rows: DataFrame, chain: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row: counts, verdict and status label. Failed ids are the rows of ``invalid_rows``."""
+def verify(rows: DataFrame, chain: str | None = None, block_rows: int = BLOCK_ROWS, stored_tree: DataFrame | None = None) -> DataFrame:
+    """One row: counts, verdict and status label. Failed ids are the rows of ``invalid_rows``.
+
+    With the hash tree that was stored apart from the rows (``hashtree.tree``) lost tails and segments, which leave no broken
+    link behind, count too: root_matches, changed_blocks, missing_events and added_events are added, and a chain is valid only
+    if the roots agree. ``hashtree.differences`` names the ids.
+    """
     found = verdicts(rows, chain, block_rows).agg(
         F.count("*").alias("checked_events"),
         F.count_if(F.col("state") == "hashed").alias("hashed_events"),
         F.count_if(F.col("state") == "legacy").alias("legacy_events"),
         F.count_if(F.size("reasons") > 0).alias("invalid_events"),
     )
+    lost = []
+    valid = F.col("invalid_events") == 0
+    if stored_tree is not None:
+        # Both sides are one row.
+        lone = hashtree.summary(stored_tree, hashtree.tree(rows)).withColumn("_one", F.lit(1))
+        found = found.withColumn("_one", F.lit(1)).join(lone, "_one")
+        lost = ["root_matches", "changed_blocks", "missing_events", "added_events"]
+        valid = valid & F.col("root_matches")
     return found.select(
-        (F.col("invalid_events") == 0).alias("valid"),
+        valid.alias("valid"),
         "checked_events",
         "hashed_events",
         "legacy_events",
         "invalid_events",
-        F.when(F.col("checked_events") == 0, "NO_EVENTS")
-        .when(F.col("invalid_events") == 0, "VALID")
+        F.when((F.col("checked_events") == 0) & (F.col("root_matches") if lost else F.lit(True)), "NO_EVENTS")
+        .when(valid, "VALID")
         .otherwise("INVALID")
         .alias("status"),
+        *lost,
     )
 
 

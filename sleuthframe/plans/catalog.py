@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sleuthframe.functions import tagging as tag
 from sleuthframe.functions.columns import category, iso, norm_path, parent_dir
 from sleuthframe.functions.timestamps import lenient
-from sleuthframe.operators import cases, chain, retrieve, scoring, summaries
+from sleuthframe.operators import cases, chain, hashtree, retrieve, scoring, summaries
 from sleuthframe.operators import cursors as cur
 from sleuthframe.operators import normalize as norm
 from sleuthframe.operators.baseline import learn
@@ -675,6 +675,65 @@ def verify_intact_chain(spark, d):
     return chain.verify(derived.stored_chain(spark, d), "chain")
 
 
+def _loss(rows, how):
+    """The stored rows after a loss that leaves no broken link behind."""
+    segments = derived.QUERY_SEGMENT
+    if how == "tail":
+        return rows.where(F.col("id") % segments != 0)
+    if how == "segment":
+        return rows.where(F.floor((F.col("id") - 1) / segments) != 1)
+    if how == "rebuilt":
+        left = rows.where(F.col("id") % 500 != 7).drop("chain")
+        return cut_lineage(chain.build_chain(left, chain.segment(segments)))
+    return rows
+
+
+def _trees(spark, d):
+    rows = derived.stored_chain(spark, d)
+    return cut_lineage(rows), hashtree.tree(rows)
+
+
+def _losses(found):
+    out = None
+    for how in ("none", "tail", "segment", "rebuilt"):
+        part = found(how).withColumn("loss", F.lit(how))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def hash_tree(spark, d):
+    return hashtree.tree(derived.stored_chain(spark, d))
+
+
+@query
+def lost_rows(spark, d):
+    """Id ranges that differ from the stored tree: last rows of all segments gone, a whole segment gone, chains built anew
+    without some rows."""
+    rows, stored = _trees(spark, d)
+    return _losses(lambda how: hashtree.differences(stored, hashtree.tree(_loss(rows, how))))
+
+
+@query
+def verify_with_tree(spark, d):
+    rows, stored = _trees(spark, d)
+    return _losses(lambda how: chain.verify(_loss(rows, how), "chain", stored_tree=stored))
+
+
+@query
+def tree_paths(spark, d):
+    """Proof of every hundredth row, and of the same rows with another hash."""
+    rows, nodes = _trees(spark, d)
+    proof = hashtree.paths(nodes, rows, rows.where("id % 100 = 0"))
+    asked = rows.select("id", "event_hash").join(proof, "id").join(hashtree.root(nodes).select(F.col("digest").alias("root")))
+    return asked.select(
+        "id",
+        hashtree.proves(F.col("id"), F.col("event_hash"), F.col("path"), F.col("root")).alias("proved"),
+        hashtree.proves(F.col("id"), F.sha2("event_hash", 256), F.col("path"), F.col("root")).alias("forged_proved"),
+        hashtree.proves(F.col("id") + 1, F.col("event_hash"), F.col("path"), F.col("root")).alias("moved_proved"),
+    )
+
+
 @query
 def integrity_labels(spark, d):
     rows = derived.stored_chain(spark, d, tampered=True)

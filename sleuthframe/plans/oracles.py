@@ -390,6 +390,30 @@ _verify = """SELECT count(*) FILTER (WHERE reasons <> '') = 0 AS valid, count(*)
 ORACLES["verify_chain"] = EV + VERDICT + " " + _verify
 ORACLES["verify_intact_chain"] = EV + """ SELECT TRUE AS valid, count(*) AS checked_events, count(*) AS hashed_events, CAST(0 AS BIGINT) AS legacy_events,
   CAST(0 AS BIGINT) AS invalid_events, 'VALID' AS status FROM ev"""
+def _tree_level(n: int, child: str) -> str:
+    return f"""SELECT CAST({n} AS INT) AS level, pos // 64 AS pos, CAST(sum(n) AS BIGINT) AS n,
+      sha256('{n}:' || (pos // 64) || chr(10) || string_agg(pos || ':' || digest, chr(10) ORDER BY pos, digest)) AS digest FROM {child} GROUP BY pos // 64"""
+
+
+TREE = ", t0 AS (SELECT id AS pos, event_hash AS digest, 1 AS n FROM fold), " + ", ".join(
+    f"t{k} AS (SELECT * FROM ({_tree_level(k, f't{k - 1}')}) WHERE {k} = 1 OR (SELECT max(pos) FROM t{k - 1}) > 0)" for k in (1, 2, 3, 4, 5)
+)
+ORACLES["hash_tree"] = EV + CHAIN + TREE + """ SELECT level, pos AS "at", n, digest FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3
+  UNION ALL SELECT * FROM t4 UNION ALL SELECT * FROM t5)"""
+# Rows by 64 ids: how many are stored, how many are there after each loss, and whether hashes were made anew.
+_LOSS = """, cut AS (SELECT (id - 1) // 256 AS seg, min(id) AS first FROM ev WHERE id % 500 = 7 GROUP BY 1),
+  lo AS (SELECT id // 64 AS pos, count(*) AS n, count(*) FILTER (WHERE id % 256 <> 0) AS tail, count(*) FILTER (WHERE (id - 1) // 256 <> 1) AS segment,
+    count(*) FILTER (WHERE id % 500 <> 7) AS rebuilt, coalesce(bool_or(id >= first), FALSE) AS anew FROM ev LEFT JOIN cut ON seg = (id - 1) // 256 GROUP BY 1),
+  df AS (SELECT pos, n, x.loss, x.found FROM lo, LATERAL (SELECT 'tail' AS loss, tail AS found, FALSE AS other UNION ALL SELECT 'segment', segment, FALSE
+    UNION ALL SELECT 'rebuilt', rebuilt, anew) x WHERE x.found <> n OR x.other)"""
+ORACLES["lost_rows"] = EV + _LOSS + """ SELECT pos * 64 AS first_id, pos * 64 + 63 AS last_id, n AS stored_rows, found AS found_rows,
+  CASE WHEN found = 0 THEN 'lost' WHEN found < n THEN 'shrunk' ELSE 'changed' END AS what, loss FROM df"""
+ORACLES["verify_with_tree"] = EV + _LOSS + """, k AS (SELECT unnest(['none', 'tail', 'segment', 'rebuilt']) AS loss),
+  s AS (SELECT loss, count(*) AS blocks, CAST(sum(n - found) AS BIGINT) AS missing FROM df GROUP BY 1),
+  c AS (SELECT k.loss, coalesce(blocks, 0) AS changed_blocks, coalesce(missing, 0) AS missing_events, (SELECT count(*) FROM ev) - coalesce(missing, 0) AS c FROM k LEFT JOIN s USING (loss))
+  SELECT loss, loss = 'none' AS valid, c AS checked_events, c AS hashed_events, CAST(0 AS BIGINT) AS legacy_events, CAST(0 AS BIGINT) AS invalid_events,
+    CASE WHEN loss = 'none' THEN 'VALID' ELSE 'INVALID' END AS status, loss = 'none' AS root_matches, changed_blocks, missing_events, CAST(0 AS BIGINT) AS added_events FROM c"""
+ORACLES["tree_paths"] = EV + " SELECT id, TRUE AS proved, FALSE AS forged_proved, FALSE AS moved_proved FROM ev WHERE id % 100 = 0"
 LABELS = VERDICT + """, lab AS (SELECT st.id, CASE WHEN event_hash IS NULL THEN 'LEGACY' WHEN reasons <> '' THEN 'TAMPERED' ELSE 'VERIFIED' END AS integrity
   FROM st JOIN verdict USING (id))"""
 ORACLES["integrity_labels"] = EV + LABELS + " SELECT id, integrity FROM lab"
