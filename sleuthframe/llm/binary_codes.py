@@ -163,19 +163,19 @@ def entries(nodes: DataFrame, coder: Coder) -> DataFrame:
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows of buckets that hold several nodes, once for each pair of blocks that they are compared in."""
-    sizes = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
+    sizes = settle(rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"))
+    blocks = F.expr(f"cast((_n + {BLOCK - 1}) div {BLOCK} as int)")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # One row per bucket joins the entries, so the adaptive join splits a hot bucket.
     dealt = rows.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", own)
     with_other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return with_other.select(
-        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("low"),
-        "tab", "node", "sketch",
+        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") < F.col("other")).alias("low"),
+        *rows.columns,
     )
 
 
-def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole groups of (bucket, lo, hi); rows come in their order."""
     parts: list[pd.DataFrame] = []
     size = 0
@@ -196,7 +196,7 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(parts, ignore_index=True)
 
 
-def _pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_in(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (a, b) of the pairs to compare: of one group, in different blocks unless the group is one block."""
     key = frame[["bucket", "lo", "hi"]].to_numpy()
     new = np.append(True, (key[1:] != key[:-1]).any(axis=1))
@@ -218,9 +218,9 @@ def likely(blocks: DataFrame, coder: Coder) -> DataFrame:
     near = coder.near
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _runs(frames):
+        for frame in runs(frames):
             sketch, alive = frame["sketch"].to_numpy(), np.zeros(len(frame), bool)
-            for a, b in _pairs(frame):
+            for a, b in pairs_in(frame):
                 good = np.bitwise_count((sketch[a] ^ sketch[b]).view("uint64")) <= near
                 alive[a[good]] = alive[b[good]] = True
             yield frame.loc[alive, ["bucket", "lo", "hi", "low", "tab", "node"]]
@@ -247,7 +247,7 @@ def linked(found: DataFrame, nodes: DataFrame, coder: Coder, cosine: float = COS
     """(node, root, links): links counted by this group, and a node of the group that the node is connected with."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _runs(frames):
+        for frame in runs(frames):
             if not len(frame):
                 continue
             node, places = np.unique(frame["node"].to_numpy(), return_inverse=True)
@@ -257,7 +257,7 @@ def linked(found: DataFrame, nodes: DataFrame, coder: Coder, cosine: float = COS
             copies, tab = frame["k"].to_numpy(), frame["tab"].to_numpy()
             links = np.zeros(len(frame), "int64")
             one, two = [], []
-            for a, b in _pairs(frame):
+            for a, b in pairs_in(frame):
                 x, y = places[a], places[b]
                 # Only the first table in which the pair meets.
                 mine = (subs[x] == subs[y]).argmax(axis=1) == tab[a]

@@ -7,11 +7,11 @@ equal bands make a bucket. What a bucket proposes is confirmed on the full sets.
 Documents with equal sets are one node, however many there are, so copies never meet in a bucket. Inside a bucket only
 links between different components matter. First each bucket's centre is compared with its members: confirmed links make
 components, and pairs that are loosely alike by their signatures make families. A pair of a bucket that is still open is
-then either of two families, and such chance pairs are few and compared one by one; or of one family but two components.
-Families are cut into blocks in the order of their components, and pairs of blocks that hold more than one component are
-compared inside tasks, signatures first and full sets where these leave it open. Only links that merge components come
-out, so no list of pairs grows with the square of a group. No pair that a bucket proposes goes unseen unless its two nodes
-are linked already.
+then either of two families: such buckets are compared by signatures inside tasks, block by block, and only pairs that may reach
+the similarity come out; or of one family but two components. Families are cut into blocks of bounded bytes in the order of
+their components, and pairs of blocks that hold more than one component are compared inside tasks, signatures first and
+full sets where these leave it open. Only links that merge components come out, so no list of pairs grows with the square of
+a group. No pair that a bucket proposes goes unseen unless its two nodes are linked already.
 
 Bounds of loss: at similarity 0.8, 32 bands of 5 values miss a pair with probability 3e-6; the estimate by the whole
 signature, which spares the full sets of hopeless pairs, misses one in 1e-8. Sets are compared by 64-bit shingle hashes.
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sleuthframe.llm.binary_codes import in_blocks, pairs_in, runs
 from sleuthframe.llm.contraction import components
 from sleuthframe.llm.tables import WORD, keyed, numbered, settle
 
@@ -45,8 +46,9 @@ SEED = 71
 DEVIATIONS = 6
 # Share of agreeing values from which two nodes are one family. Any value gives the same groups; it steers the work.
 LOOSE = 0.45
-# Nodes of a family that a task compares with as many others.
-BLOCK = 256
+# A block of a family holds this many shingles, every node counting for LEAST_WEIGHT at least; a task compares two blocks.
+BLOCK = 1 << 20
+LEAST_WEIGHT = 1 << 12
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -232,11 +234,12 @@ def merging_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list
 
 def family_links(family: DataFrame, nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the parts of each family of ``family(node, family, part)``."""
-    placed = settle(numbered(family, [F.col("family"), F.col("part"), F.col("node")]))
-    base = settle(placed.groupBy("family").agg(F.min("_pos").alias("base")))
+    weighed = family.join(nodes.select("node", "n"), "node").withColumn("weight", F.greatest("n", F.lit(LEAST_WEIGHT)))
+    placed = settle(numbered(weighed, [F.col("family"), F.col("part"), F.col("node")], {"before": "weight"}))
+    base = settle(placed.groupBy("family").agg(F.min("before").alias("base")))
     blocks = settle(
         placed.join(base, "family").select(
-            "node", "family", "part", F.expr(f"(_pos - base) div {BLOCK}").cast("long").alias("block")
+            "node", "family", "part", F.expr(f"(before - base) div {BLOCK}").cast("long").alias("block")
         )
     )
     spans = settle(blocks.groupBy("family", "block").agg(F.min("part").alias("low"), F.max("part").alias("high")))
@@ -268,6 +271,30 @@ def family_links(family: DataFrame, nodes: DataFrame, grams: DataFrame, percent:
     return settle(rows.groupBy("family", "block", "block2").applyInPandas(compare, "a long, b long"))
 
 
+def chance_pairs(spread: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different families that share a bucket of ``spread(bucket, node, n, family)`` and whose signatures
+    leave the similarity open. A bucket is compared block by block, as for binary codes."""
+    least = least_agreement(percent)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in runs(frames):
+            if not len(frame):
+                continue
+            short = np.frombuffer(b"".join(frame["short"]), "uint8").reshape(len(frame), -1)
+            n, family, node = (frame[c].to_numpy() for c in ("n", "family", "node"))
+            found = set()
+            for a, b in pairs_in(frame):
+                open_ = (family[a] != family[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                a, b = a[open_], b[open_]
+                good = (short[a] == short[b]).sum(axis=1) >= least
+                found.update(zip(np.minimum(node[a], node[b])[good].tolist(), np.maximum(node[a], node[b])[good].tolist(), strict=True))
+            yield pd.DataFrame(sorted(found), columns=["a", "b"])
+
+    blocks = in_blocks(spread).join(nodes.select("node", "short"), "node")
+    dealt = blocks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return settle(dealt.mapInPandas(run, "a long, b long").distinct())
+
+
 def labelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """Add the component of each node by the links, the node itself where it has none."""
     return members.join(components(links, name), "node", "left").withColumn(name, F.coalesce(name, "node"))
@@ -286,15 +313,19 @@ def links(members: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, p
     grams = settle(full_sets(rows, wanted.select("node", "first._file", "first._row"), shingle))
     found = confirm(near.where(F.col("same") >= least).select("a", "b"), grams, percent)
     single = settle(members.select("node").distinct())
-    named = settle(labelled(labelled(single, found, "part"), near, "family"))
-    # Chance pairs: one bucket, two families.
-    spread = members.join(named, "node")
+    # Parts and families in one loop: each node stands for itself twice, as 2 * node and 2 * node + 1.
+    twice = found.select(F.expr("2 * a").alias("a"), F.expr("2 * b").alias("b")).unionByName(
+        near.select(F.expr("2 * a + 1").alias("a"), F.expr("2 * b + 1").alias("b"))
+    )
+    both = components(twice, "label")
+    of = lambda bit, name: both.where(F.col("node") % 2 == bit).select(F.expr("node div 2").alias("node"), F.expr("label div 2").alias(name))
+    named = single.join(of(0, "part"), "node", "left").join(of(1, "family"), "node", "left")
+    named = settle(named.select("node", F.coalesce("part", "node").alias("part"), F.coalesce("family", "node").alias("family")))
+    # Chance meetings: one bucket, two families. They are compared inside tasks, so only likely pairs are written.
+    spread = members.join(named.select("node", "family"), "node")
     mixed_buckets = spread.groupBy("bucket").agg(F.min("family").alias("f1"), F.max("family").alias("f2")).where("f1 <> f2")
-    spread = settle(spread.join(mixed_buckets, "bucket").select("bucket", "node", "n", "family"))
-    other = spread.select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("family").alias("other"))
-    chance = spread.join(other, "bucket").where((F.col("family") < F.col("other")) & alike)
-    likely = agreement(settle(chance.select("a", F.col("node").alias("b")).distinct()), nodes)
-    across = confirm(likely.where(F.col("same") >= least).select("a", "b"), grams, percent)
+    spread = spread.join(mixed_buckets.select("bucket"), "bucket").select("bucket", "node", "n", "family")
+    across = confirm(chance_pairs(spread, nodes, percent), grams, percent)
     several = named.groupBy("family").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2")
     inside = family_links(named.join(settle(several.select("family")), "family").select("node", "family", "part"), nodes, grams, percent)
     return settle(found.unionByName(across).unionByName(inside))

@@ -312,3 +312,20 @@ def test_shards_of_nothing(empty, tmp_path, docs, spark):
     assert sharding.shard_rows(empty).count() == 0
     sharding.write_shards(docs, str(tmp_path / "s"), shards=3)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+@pytest.mark.parametrize("own", [60, 25])
+def test_template_pages_write_few_pairs(spark, own, tmp_path):
+    """Pages that share a template but are no near copies: all meet in buckets, hardly any pair is written."""
+    rng = np.random.default_rng(own)
+    template = [f"t{i}" for i in range(100)]
+    texts = [" ".join(template[:50] + [f"p{rng.integers(1 << 40)}" for _ in range(own)] + template[50:]) for _ in range(400)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    rows = neardup.text_rows(keyed(spark.read.parquet(path)))
+    made = neardup.sketch(rows, 2).select(F.col("id").cast("long").alias("node"), F.col("n_shingles").alias("n"), "bands", "short")
+    spread = made.select(F.explode("bands").alias("bucket"), "node", "n", F.col("node").alias("family"))
+    pairs = neardup.chance_pairs(spread, made, 80).count()
+    assert pairs <= 20 * len(texts)
+    got = neardup.groups(rows, shingle=2).collect()
+    assert len({r["component_id"] for r in got}) == len(texts)
