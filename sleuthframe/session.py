@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # Split a hot join key even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # The driver keeps the text of every executed plan, also each time a plan is adapted; whole plans would fill its memory.
+    "spark.sql.maxPlanStringLength": "4096",
     # Sets of a few names per group stay in the hash aggregate for this many groups before it sorts.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # Newest-N rows per group are cut on the map side up to this N.
