@@ -34,6 +34,7 @@ class Baseline:
 
     profile: DataFrame
     min_events: int = 20
+    is_settled: bool = False
 
     def totals(self) -> DataFrame:
         total = F.coalesce(F.sum("n"), F.lit(0))
@@ -82,7 +83,7 @@ class Baseline:
 
     def settled(self) -> Baseline:
         """Keep the profile in the checkpoint folder, so that scoring does not read the history again."""
-        return Baseline(cut_lineage(self.profile), self.min_events)
+        return self if self.is_settled else Baseline(cut_lineage(self.profile), self.min_events, True)
 
 
 def hour_slots() -> Column:

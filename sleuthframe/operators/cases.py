@@ -50,14 +50,29 @@ class CasePackage:
         self._asked = requests
         self.requests = validate_requests(requests).where("error IS NULL")
 
+    @cached_property
+    def asked_for(self) -> set[str]:
+        """The analyses that some request asks for; no other reads the history."""
+        flags = ["with_correlation", "with_behavior", "with_integrity"]
+        row = self.requests.agg(*[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags]).first()
+        return {f for f in flags if row[f]}
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """The chain check of the whole history, made once: labels and counts both come from it."""
+        return cut_lineage(chain.verdicts(self.events, self.chain_key).select("id", "state", "reasons"))
+
     @cached_property
     def found(self) -> DataFrame:
-        """Retrieved rows with their integrity label: at most 1000 per request, written once, read by every table."""
+        """Retrieved rows with their integrity label, as many as each request asks for, written once, read by every table."""
         flags = self.requests.select("case_id", "with_correlation", "with_behavior", "with_integrity")
         rows = batch_retrieve(self.events, self._asked).join(flags, "case_id")
-        bad = chain.invalid_rows(chain.verdicts(self.events, self.chain_key)).select("id", F.lit(True).alias("_bad"))
+        plain = chain.label_column(False)
+        if "with_integrity" not in self.asked_for:
+            return cut_lineage(rows.withColumn("integrity", plain))
+        bad = chain.invalid_rows(self.verdicts).select("id", F.lit(True).alias("_bad"))
         checked = chain.label_column(True, F.coalesce("_bad", F.lit(False)))
-        label = F.when(F.col("with_integrity"), checked).otherwise(chain.label_column(False))
+        label = F.when(F.col("with_integrity"), checked).otherwise(plain)
         return cut_lineage(rows.join(bad, "id", "left").withColumn("integrity", label).drop("_bad"))
 
     @cached_property
@@ -76,16 +91,20 @@ class CasePackage:
     @cached_property
     def behavior(self) -> DataFrame:
         rows = self.found.where("with_behavior")
-        return scoring.anomalies(scoring.score(rows, self.baseline, explain=True, keep=["case_id"]))
+        # Without a request for it there are no rows, and nothing to learn for them.
+        known = self.baseline if "with_behavior" in self.asked_for else learn(self.events.limit(0))
+        return scoring.anomalies(scoring.score(rows, known, explain=True, keep=["case_id"]))
 
     @cached_property
     def integrity(self) -> DataFrame:
-        return chain.verify(self.events, self.chain_key)
+        return chain.summarize(self.verdicts)
 
     @cached_property
     def facts(self) -> DataFrame:
         plain = case_facts(self.requests, self.evidence)
-        return cut_lineage(_with_totals(plain, self.correlation, self.behavior, self.baseline, self.integrity))
+        known = self.baseline if "with_behavior" in self.asked_for else None
+        checked = self.integrity if "with_integrity" in self.asked_for else None
+        return cut_lineage(_with_totals(plain, self.correlation, self.behavior, known, checked))
 
 
 def evidence_projection(rows: DataFrame, label: Column) -> DataFrame:
@@ -187,15 +206,22 @@ def report_ids(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def _with_totals(facts: DataFrame, related: Correlation, odd: DataFrame, baseline, integrity: DataFrame) -> DataFrame:
-    """Facts plus the number of findings per case, the baseline status and the chain verdict."""
+def _with_totals(
+    facts: DataFrame, related: Correlation, odd: DataFrame, baseline: Baseline | None, integrity: DataFrame | None
+) -> DataFrame:
+    """Facts plus the number of findings per case, the baseline status and the chain verdict, null where nobody asked."""
     inc = related.incidents.groupBy("case_id").agg(F.count("*").alias("incident_count"))
     ano = odd.groupBy("case_id").agg(
         F.count("*").alias("anomaly_count"), F.array_sort(F.collect_set("classification")).alias("anomaly_classes")
     )
     out = facts.join(inc, "case_id", "left").join(ano, "case_id", "left").na.fill(0, ["incident_count", "anomaly_count"])
-    status = baseline.totals().select(F.struct("status", "total_events")).scalar()
-    out = out.withColumn("_s", status).withColumn("_i", integrity.select(F.struct("*")).scalar())
+    no_status = F.lit(None).cast("struct<status:string,total_events:bigint>")
+    no_check = F.lit(None).cast(
+        "struct<valid:boolean,checked_events:bigint,hashed_events:bigint,legacy_events:bigint,invalid_events:bigint>"
+    )
+    status = baseline.totals().select(F.struct("status", "total_events")).scalar() if baseline else no_status
+    check = integrity.select(F.struct("*")).scalar() if integrity is not None else no_check
+    out = out.withColumn("_s", status).withColumn("_i", check)
     return out.select(
         "*",
         F.when(F.col("with_behavior"), F.col("_s.status")).alias("baseline_status"),

@@ -194,7 +194,12 @@ def verify(rows: DataFrame, chain: str | None = None, block_rows: int = BLOCK_RO
     link behind, count too: root_matches, changed_blocks, missing_events and added_events are added, and a chain is valid only
     if the roots agree. ``hashtree.differences`` names the ids.
     """
-    found = verdicts(rows, chain, block_rows).agg(
+    return summarize(verdicts(rows, chain, block_rows), rows, stored_tree)
+
+
+def summarize(found: DataFrame, rows: DataFrame | None = None, stored_tree: DataFrame | None = None) -> DataFrame:
+    """The row of ``verify`` from verdicts; ``rows`` are needed for the tree only."""
+    found = found.agg(
         F.count("*").alias("checked_events"),
         F.count_if(F.col("state") == "hashed").alias("hashed_events"),
         F.count_if(F.col("state") == "legacy").alias("legacy_events"),

@@ -6,16 +6,16 @@ severity, start_time, end_time, hour_start, hour_end, max_rows, with_correlation
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sleuthframe.functions import tagging as tag
 from sleuthframe.functions.columns import strip, text
-from sleuthframe.operators.retrieve import DEFAULT_LIMIT, MAX_LIMIT, contains
+from sleuthframe.operators.retrieve import DEFAULT_LIMIT, contains
+from sleuthframe.session import cut_lineage
 from sleuthframe.vocabulary import KNOWN_SEVERITIES
 
-# Requests that one job carries to every task; more are split over several jobs by the caller.
 LIST = "array<string>"
 
 
@@ -44,8 +44,11 @@ def parse_questions(questions: DataFrame, default_limit: int = DEFAULT_LIMIT) ->
     )
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
-    """Clean the filters; add ``error`` (null when usable) and ``warning`` (null when nothing was changed)."""
+def validate_requests(requests: DataFrame, ceiling: int | None = None) -> DataFrame:
+    """Clean the filters; add ``error`` (null when usable) and ``warning`` (null when nothing was changed).
+
+    A caller may name a ``ceiling`` for the limits; without one every request gets as many rows as it asks for.
+    """
     severity = F.upper(strip("severity"))
     one_bound = F.col("hour_start").isNull() != F.col("hour_end").isNull()
     outside = ~F.coalesce(F.col("hour_start").between(0, 23), F.lit(True)) | ~F.coalesce(
@@ -59,72 +62,158 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         .when(F.col("start_time") > F.col("end_time"), "start_time must not be after end_time")
         .when(F.col("max_rows").isNull() | (F.col("max_rows") <= 0), "limit must be a positive integer")
     )
-    capped = F.concat(F.lit("requested limit "), F.col("max_rows").cast("string"), F.lit(f" capped at {MAX_LIMIT}"))
     known_intent = F.col("intent").isin("search", "timeline", "correlation", "behavior", "explain")
     blank_to_null = {c: F.nullif(strip(c), F.lit("")) for c in ("user", "device", "file_path")}
     lists = {c: F.array_distinct(F.coalesce(c, F.array().cast(LIST))) for c in ("sources", "event_types", "keywords")}
-    checked = requests.withColumns({"error": error, "warning": F.when(F.col("max_rows") > MAX_LIMIT, capped)})
+    warning, limit = F.lit(None).cast("string"), F.col("max_rows")
+    if ceiling is not None:
+        said = F.concat(F.lit("requested limit "), limit.cast("string"), F.lit(f" capped at {ceiling}"))
+        warning, limit = F.when(limit > ceiling, said), F.least(limit, F.lit(ceiling))
+    checked = requests.withColumns({"error": error, "warning": warning})
     return checked.withColumns(
         {
             **blank_to_null,
             **lists,
             "severity": severity,
             "intent": F.when(known_intent, F.col("intent")).otherwise("search"),
-            "max_rows": F.least("max_rows", F.lit(MAX_LIMIT)),
+            "max_rows": limit,
         }
     )
 
 
+OVERRIDES = [
+    "intent", "sources", "event_types", "keywords", "user", "device", "file_path", "severity", "start_time", "end_time",
+    "hour_start", "hour_end", "max_rows", "with_correlation", "with_behavior", "with_integrity",
+]
+
+
+def with_overrides(requests: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Requests with the caller's own values: ``overrides`` has ``case_id`` and any of the request columns.
+
+    What a caller names for a case wins over what the question said; null means not named. One row per case.
+    """
+    named = [c for c in OVERRIDES if c in overrides.columns]
+    given = overrides.select("case_id", F.struct(*named).alias("_given"))
+    both = requests.join(given, "case_id", "left")
+    return both.withColumns({c: F.coalesce(F.col("_given")[c], F.col(c)) for c in named}).drop("_given")
+
+
+# -- many requests at once -----------------------------------------------------------------------------------
+
+FILTERS = [
+    "sources", "event_types", "keywords", "user", "device", "file_path", "severity", "start_time", "end_time",
+    "hour_start", "hour_end",
+]
+# Filters that an event meets by equality, as bits of a pattern.
+EXACT = {"device": 1, "user": 2, "severity": 4, "sources": 8, "event_types": 16}
+EVENT_SIDE = {"sources": "source", "event_types": "event_type"}
+GRAM = 3
+
+
+def _grams(t: Column) -> Column:
+    """Distinct pieces of three characters of a text, in lower case."""
+    low = F.lower(t)
+    places = F.sequence(F.lit(1), F.greatest(F.length(low) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substr(low, i, F.lit(GRAM))), lambda g: F.length(g) == GRAM))
+
+
+def _searched(row: Column | None = None) -> Column:
+    """All texts of an event that needles are looked for in; a needle never spans two."""
+    get = (lambda c: row[c]) if row is not None else F.col
+    return F.concat_ws("\x01", *[F.coalesce(get(c), F.lit("")) for c in ("description", "file_path", "metadata")])
+
+
+def _matches(r: Column) -> Column:
+    """Whether an event meets all filters of a request."""
+
+    def unless_absent(name: str, test: Column) -> Column:
+        return r[name].isNull() | test
+
+    listed = lambda name, c: (F.size(r[name]) == 0) | F.array_contains(r[name], F.col(c))
+    words = F.forall(
+        r["keywords"],
+        lambda w: contains(text("description"), w) | contains(text("file_path"), w) | contains(text("metadata"), w),
+    )
+    return (
+        listed("sources", "source")
+        & listed("event_types", "event_type")
+        & unless_absent("severity", F.col("severity") == r["severity"])
+        & unless_absent("user", F.col("user") == r["user"])
+        & unless_absent("device", F.col("device") == r["device"])
+        & unless_absent("start_time", F.col("ts") >= r["start_time"])
+        & unless_absent("end_time", F.col("ts") <= r["end_time"])
+        & unless_absent("hour_start", F.hour("ts").between(r["hour_start"], r["hour_end"]))
+        & unless_absent("file_path", contains(text("file_path"), r["file_path"]))
+        & words
+    )
+
+
+def _request_classes(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with the same filters are one class: (class, r, wanted, pattern, needle) and (class, case_id, max_rows)."""
+    lists = {c: F.array_sort(c) for c in ("sources", "event_types", "keywords")}
+    alike = usable.withColumns(lists).select("case_id", "max_rows", F.struct(*FILTERS).alias("r"))
+    alike = alike.withColumn("class", F.sha2(F.to_json("r", {"ignoreNullFields": "false"}), 256))
+    classes = alike.groupBy("class").agg(F.first("r").alias("r"), F.max("max_rows").alias("wanted"))
+    given = lambda c: (F.size(F.col("r")[c]) > 0) if c in EVENT_SIDE else F.col("r")[c].isNotNull()
+    pattern = sum((F.when(given(c), bit).otherwise(0) for c, bit in EXACT.items()), F.lit(0))
+    needles = F.concat(F.col("r.keywords"), F.array_compact(F.array(F.col("r.file_path"))))
+    # The longest text that an event must contain.
+    longest = F.array_max(F.transform(needles, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    needle = F.when(longest["n"] >= GRAM, longest["w"])
+    return classes.withColumns({"pattern": pattern, "needle": needle}), alike.select("class", "case_id", "max_rows")
+
+
+def _exact_key(pattern: int, value) -> Column:
+    parts = [value(c).cast("string") for c, bit in EXACT.items() if pattern & bit]
+    return F.concat_ws("\x1f", F.lit(str(pattern)), *parts)
+
+
 def batch_retrieve(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """Oldest matching events per request, up to its limit, as (case_id, row_no, event columns).
+    """Oldest matching events per request, up to the request's own limit, as (case_id, row_no, event columns).
 
-    A request that names a device, a user or sources meets events by a join on that column; only requests without any
-    such key are tested against all events. Their number is not limited, and adaptive execution chooses the joins.
+    Requests with the same filters are answered once. Every class of requests is posted under one key, and events meet
+    it by an equi-join: the values of all its exact filters together (lists give one posting per value), or, where it names
+    neither device nor user but a text to be found, the three characters of this text that the fewest events have. Other
+    filters are tested on the pairs that meet. Each task sorts its own hits of a class and passes on no more than the largest
+    limit asked for, so a class that most events match moves tasks times limit rows.
     """
-    fields = [
-        "case_id", "sources", "event_types", "keywords", "user", "device", "file_path", "severity", "start_time",
-        "end_time", "hour_start", "hour_end", "max_rows",
-    ]
     usable = validate_requests(requests).where("error IS NULL")
-    packed = usable.select(F.struct(*fields).alias("_r"))
+    classes, cases = _request_classes(usable)
+    classes = cut_lineage(classes)
+    # At most 32 patterns, whatever the requests.
+    head = classes.agg(F.collect_set("pattern").alias("patterns"), F.max("wanted").alias("most")).first()
+    by_gram = F.col("needle").isNotNull() & (F.col("pattern").bitwiseAND(F.lit(3)) == 0)
 
-    def absent_or(r, name, test):
-        return r[name].isNull() | test
+    posted = None
+    keyed_events = []
+    for pattern in sorted(head["patterns"] or []):
+        mine = classes.where((F.col("pattern") == pattern) & ~by_gram)
+        value = {c: F.col("r")[c] for c in EXACT}
+        for c in EVENT_SIDE:
+            if pattern & EXACT[c]:
+                mine = mine.withColumn(f"_{c}", F.explode(F.array_distinct(F.col("r")[c])))
+                value[c] = F.col(f"_{c}")
+        part = mine.select("class", "r", "wanted", _exact_key(pattern, value.get).alias("_key"))
+        posted = part if posted is None else posted.unionByName(part)
+        keyed_events.append(_exact_key(pattern, lambda c: F.coalesce(F.col(EVENT_SIDE.get(c, c)), F.lit(""))))
+    if posted is None:
+        return events.limit(0).select(F.lit(None).cast(usable.schema["case_id"].dataType).alias("case_id"), F.lit(0).alias("row_no"), *events.columns)
+    exact = events.withColumn("_key", F.explode(F.array(*keyed_events))).join(posted, "_key").drop("_key")
+
+    # Postings of texts: of each needle's pieces the one that the fewest events have.
+    texts = classes.where(by_gram)
+    pieces = texts.select("class", F.explode(_grams(F.col("needle"))).alias("_gram"))
+    event_grams = events.select(F.explode(_grams(_searched())).alias("_gram"))
+    common = event_grams.join(pieces.select("_gram").distinct(), "_gram").groupBy("_gram").agg(F.count("*").alias("k"))
+    rated = pieces.join(common, "_gram", "left").groupBy("class").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "_gram")).alias("x"))
+    chosen = cut_lineage(rated.where("x.k > 0").select("class", F.col("x._gram").alias("_gram")).join(texts, "class").select("class", "r", "wanted", "_gram"))
+    # An event is first reduced to the pieces that some request was posted under.
+    held = events.withColumn("_gram", F.explode(_grams(_searched())))
+    texted = held.join(chosen, "_gram").drop("_gram")
 
-    def matches(r):
-        listed = lambda name, c: (F.size(r[name]) == 0) | F.array_contains(r[name], F.col(c))
-        words = F.forall(
-            r["keywords"],
-            lambda w: contains(text("description"), w)
-            | contains(text("file_path"), w)
-            | contains(text("metadata"), w),
-        )
-        return (
-            listed("sources", "source")
-            & listed("event_types", "event_type")
-            & absent_or(r, "severity", F.col("severity") == r["severity"])
-            & absent_or(r, "user", F.col("user") == r["user"])
-            & absent_or(r, "device", F.col("device") == r["device"])
-            & absent_or(r, "start_time", F.col("ts") >= r["start_time"])
-            & absent_or(r, "end_time", F.col("ts") <= r["end_time"])
-            & absent_or(r, "hour_start", F.hour("ts").between(r["hour_start"], r["hour_end"]))
-            & absent_or(r, "file_path", contains(text("file_path"), r["file_path"]))
-            & words
-        )
-
-    request = F.col("_r")
-    by_device = packed.where("_r.device IS NOT NULL")
-    by_user = packed.where("_r.device IS NULL AND _r.user IS NOT NULL")
-    open_ = packed.where("_r.device IS NULL AND _r.user IS NULL")
-    by_source = open_.where(F.size("_r.sources") > 0)
-    by_source = by_source.select("_r", F.explode(F.array_distinct("_r.sources")).alias("_source"))
-    rest = open_.where(F.size("_r.sources") <= 0)
-    hits = events.join(by_device, F.col("device") == F.col("_r.device"))
-    hits = hits.unionByName(events.join(by_user, F.col("user") == F.col("_r.user")))
-    hits = hits.unionByName(events.join(by_source, F.col("source") == F.col("_source")).drop("_source"))
-    hits = hits.where(matches(request)).unionByName(events.join(rest, matches(request)))
-    hits = hits.withColumnRenamed("_r", "_hit")
-    hits = hits.withColumns({"case_id": F.col("_hit.case_id"), "_max": F.col("_hit.max_rows")}).drop("_hit")
-    order = W.partitionBy("case_id").orderBy("ts", "id")
-    ranked = hits.withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= MAX_LIMIT)
-    return ranked.where("row_no <= _max").drop("_max").select("case_id", "row_no", *events.columns)
+    hits = exact.unionByName(texted).where(_matches(F.col("r")))
+    order = W.partitionBy("class").orderBy("ts", "id")
+    ranked = hits.drop("r").withColumn("row_no", F.row_number().over(order)).where(F.col("row_no") <= F.lit(head["most"] or 0))
+    ranked = ranked.where("row_no <= wanted").drop("wanted")
+    out = ranked.join(cases, "class").where("row_no <= max_rows")
+    return out.select("case_id", "row_no", *events.columns)

@@ -13,7 +13,6 @@ from sleuthframe.functions.columns import text
 from sleuthframe.vocabulary import KNOWN_SEVERITIES, TEXT_COLUMNS
 
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 1000
 
 
 def scan(events: DataFrame, limit: int | None = None) -> DataFrame:
@@ -119,7 +118,6 @@ def retrieve(
         out = out.where(keyword_hit(word))
     if hours is not None:
         out = out.where(F.hour("ts").between(*hours))
-    limit = min(limit, MAX_LIMIT)
     found = out.orderBy("ts", "id").limit(limit)
     # At most ``limit`` rows are left here, so counting them over one window is a bounded step.
     return found.withColumn("truncated", F.count("*").over(W.partitionBy()) >= limit)

@@ -129,7 +129,7 @@ def score(
     """
     own = baseline is None
     # The history is read once; every table of the model comes from the settled profile.
-    base = baseline or learn(events, min_events).settled()
+    base = (baseline or learn(events, min_events)).settled()
     rare = limits.rare_threshold
     rows = behavior_features(events).withColumn(
         "_row", F.struct("id", *(keep or []))

@@ -298,6 +298,14 @@ def batch_retrieve_rows(spark, d):
     return batch_retrieve(activity_events(spark, d), derived.requests(spark, d)).select("case_id", "row_no", "id", "ts")
 
 
+@query
+def note_retrieval(spark, d):
+    """All notes as questions: parsed, validated, and answered with their oldest three events."""
+    q = derived.notes(spark, d).select(F.col("note_id").alias("case_id"), F.col("text").alias("question"))
+    found = batch_retrieve(activity_events(spark, d), parse_questions(q, default_limit=3))
+    return found.select("case_id", "row_no", "id")
+
+
 @query
 def question_requests(spark, d):
     q = derived.notes(spark, d).select(F.col("note_id").alias("case_id"), F.col("text").alias("question"))

@@ -327,6 +327,23 @@ ORACLES["extract_hours"] = EV + _HOURS + " SELECT note_id, coalesce(hour_start,
 ORACLES["question_requests"] = EV + _HOURS + f""", tg AS (SELECT note_id, {_sev} AS severity, {_intent} AS intent FROM notes)
   SELECT intent, severity, coalesce(hour_start, -1) AS hour_start, coalesce(hour_end, -1) AS hour_end, count(*) AS n FROM tg JOIN win USING (note_id) GROUP BY 1, 2, 3, 4"""
 
+# All notes as requests for the oldest three events. Requests that name a host meet events on it, the others are tested on all.
+ORACLES["note_retrieval"] = EV + _HOURS + f""", x AS (SELECT note_id, text, list_concat(regexp_extract_all(text, '{_q(tag.FILENAME)}'),
+    list_transform(regexp_extract_all(text, '{_q(tag.QUOTED)}', 1), lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g'))) AS w,
+    nullif(regexp_extract(text, '{_q(tag.PATH)}'), '') AS path, nullif(regexp_extract(text, '{_user}', 1), '') AS usr, nullif(regexp_extract(text, '{_device}', 1), '') AS dev,
+    string_split({_labels(tag.SOURCE_RULES)}, '|') AS srcs, string_split({_labels(tag.EVENT_TYPE_RULES)}, '|') AS types, {_sev} AS sev FROM notes),
+  q AS (SELECT note_id, list_filter(list_transform(w, lambda v: lower(v)), lambda v: v <> '') AS words, lower(path) AS path, usr, dev, sev, list_filter(srcs, lambda v: v <> '') AS srcs,
+    list_filter(types, lambda v: v <> '') AS types, hour_start AS h1, hour_end AS h2 FROM x JOIN win USING (note_id)),
+  cls AS (SELECT list(note_id) AS notes, * EXCLUDE (note_id) FROM q GROUP BY ALL),
+  e AS (SELECT id, ts, hour(ts) AS h, source, event_type, severity, "user", device, lower(file_path) AS fp, lower(description) AS ds, lower(metadata) AS md FROM ev),
+  hit AS (SELECT cls.notes, cls.words, e.* FROM cls JOIN e ON e.device = cls.dev AND (usr IS NULL OR "user" = usr) AND (sev IS NULL OR severity = sev) AND (h1 IS NULL OR h BETWEEN h1 AND h2)
+      AND (len(srcs) = 0 OR list_contains(srcs, source)) AND (len(types) = 0 OR list_contains(types, event_type)) AND (path IS NULL OR contains(fp, path))
+    UNION ALL SELECT cls.notes, cls.words, e.* FROM cls JOIN e ON cls.dev IS NULL AND (usr IS NULL OR "user" = usr) AND (sev IS NULL OR severity = sev) AND (h1 IS NULL OR h BETWEEN h1 AND h2)
+      AND (len(srcs) = 0 OR list_contains(srcs, source)) AND (len(types) = 0 OR list_contains(types, event_type)) AND (path IS NULL OR contains(fp, path))),
+  good AS (SELECT * FROM hit WHERE len(list_filter(words, lambda v: NOT (contains(ds, v) OR contains(fp, v) OR contains(md, v)))) = 0),
+  top AS (SELECT notes, id, row_number() OVER (PARTITION BY notes ORDER BY ts, id) AS row_no FROM good QUALIFY row_no <= 3)
+  SELECT unnest(notes) AS case_id, row_no, id FROM top"""
+
 # -- requests ------------------------------------------------------------------------------------------------
 
 REQ = """, req0 AS (SELECT n_nationkey AS case_id, n_regionkey AS r, 'What happened in ' || n_name || '?' AS question FROM nation),
@@ -334,7 +351,7 @@ REQ = """, req0 AS (SELECT n_nationkey AS case_id, n_regionkey AS r, 'What happe
     CASE case_id WHEN 3 THEN 5000 WHEN 11 THEN 0 ELSE 40 + case_id END AS lim,
     CASE WHEN r = 4 THEN 'HOST-' || (case_id % 20) END AS dev FROM req0),
   req AS (SELECT *, CASE WHEN h1 > 23 OR h2 > 23 THEN 'hours must be between 0 and 23' WHEN lim <= 0 THEN 'limit must be a positive integer' END AS error,
-    CASE WHEN lim > 1000 THEN 'requested limit ' || lim || ' capped at 1000' END AS warning, least(lim, 1000) AS max_rows,
+    CAST(NULL AS VARCHAR) AS warning, lim AS max_rows,
     case_id % 2 = 0 AS with_correlation, case_id % 3 = 0 AS with_behavior, case_id % 5 < 3 AS with_integrity FROM req1)"""
 ORACLES["validate_request_rows"] = EV + REQ + """ SELECT case_id, error, warning, CASE WHEN r = 2 THEN 'CRITICAL' END AS severity, max_rows, dev AS device,
   CASE r WHEN 0 THEN 'USB|FileSystem' WHEN 1 THEN 'Browser' WHEN 2 THEN 'Defender|Windows' ELSE '' END AS sources,

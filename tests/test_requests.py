@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from sleuthframe.functions.timestamps import lenient
-from sleuthframe.operators.requests import batch_retrieve, parse_questions, validate_requests
+from sleuthframe.operators.requests import batch_retrieve, parse_questions, validate_requests, with_overrides
 
 
 def parsed(spark, *texts):
@@ -44,7 +45,9 @@ def test_validation_and_batch(spark, make_events):
     )
     v = {x["case_id"]: x for x in validate_requests(r).collect()}
     assert [v[i]["error"] is None for i in range(6)] == [False, True, False, True, False, True]
-    assert v[3]["max_rows"] == 1000 and "5000" in v[3]["warning"] and v[5]["keywords"] == ["100%_"]
+    assert v[3]["max_rows"] == 5000 and v[3]["warning"] is None and v[5]["keywords"] == ["100%_"]
+    low = {x["case_id"]: x for x in validate_requests(r, ceiling=1000).collect()}
+    assert low[3]["max_rows"] == 1000 and low[3]["warning"] == "requested limit 5000 capped at 1000" and low[1]["warning"] is None
     events = make_events([{"at": i, "severity": "HIGH", "description": "is 100%_ SURE" if i == 3 else "100 x"} for i in range(5)])
     got = {(x["case_id"], x["row_no"], x["id"]) for x in batch_retrieve(events, r).collect()}
     assert {g for g in got if g[0] == 1} == {(1, 1, 1), (1, 2, 2)}
@@ -52,6 +55,74 @@ def test_validation_and_batch(spark, make_events):
     assert {g for g in got if g[0] == 5} == {(5, 1, 4)}
 
 
+def test_overrides_win(spark):
+    q = spark.createDataFrame([(1, "critical malware on host H1"), (2, "critical malware on host H1"), (3, "usb")], "case_id int, question string")
+    given = spark.createDataFrame(
+        [(1, "LOW", None, dt.datetime(2026, 1, 1), ["USB"], 7), (3, None, "H9", None, None, None)],
+        "case_id int, severity string, device string, start_time timestamp_ntz, sources array<string>, max_rows int",
+    )
+    got = {r["case_id"]: r for r in with_overrides(parse_questions(q), given).collect()}
+    assert (got[1]["severity"], got[1]["device"], got[1]["sources"], got[1]["max_rows"]) == ("LOW", "H1", ["USB"], 7)
+    assert got[1]["start_time"] == dt.datetime(2026, 1, 1)
+    assert (got[2]["severity"], got[2]["sources"], got[2]["max_rows"]) == ("CRITICAL", ["Defender"], 100)
+    assert (got[3]["device"], got[3]["sources"]) == ("H9", ["USB"])
+
+
+def test_batch_equals_single_retrieval(spark, make_events):
+    rng = random.Random(3)
+    pick = rng.choice
+    rows = [
+        {
+            "at": rng.randrange(200_000),
+            "source": pick(["USB", "Browser", "Windows"]),
+            "event_type": pick(["A", "B"]),
+            "severity": pick(["INFO", "HIGH"]),
+            "user": pick(["", "u1", "u2"]),
+            "device": pick(["", "H1", "H2"]),
+            "file_path": pick(["", "C:/Temp/Report.docx", "/var/x", "ab"]),
+            "description": pick(["opened report.DOCX", "nothing", "x"]),
+            "metadata": pick(["", '{"k":"needle"}']),
+        }
+        for _ in range(300)
+    ]
+    events = make_events(rows).cache()
+    asked = []
+    for i in range(40):
+        asked.append((
+            i, pick([[], ["USB"], ["USB", "Browser", "USB"]]), pick([[], ["A"], ["A", "B"]]),
+            pick([[], [], ["report.docx"], ["NEEDLE", "x"], ["absent!"], ["x"]]), pick([None, None, "u1", " "]), pick([None, None, "H1"]),
+            pick([None, None, "temp/", "ab", "x"]), pick([None, "high"]), pick([None, (3, 20)]), pick([1, 5, 1000, 100_001]),
+        ))
+    schema = (
+        "case_id int, question string, intent string, sources array<string>, event_types array<string>, keywords array<string>, user string, device string,"
+        " file_path string, severity string, start_time timestamp_ntz, end_time timestamp_ntz, hour_start int, hour_end int, max_rows int"
+    )
+    table = [(i, "", "search", s, t, k, u, d, p, v, None, None, *(h or (None, None)), n) for i, s, t, k, u, d, p, v, h, n in asked]
+    found = batch_retrieve(events, spark.createDataFrame(table, schema))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {}
+    for r in found.select("case_id", "row_no", "id").collect():
+        got.setdefault(r["case_id"], []).append((r["row_no"], r["id"]))
+    every = sorted((r.asDict() for r in events.collect()), key=lambda r: (r["ts"], r["id"]))
+    for i, s, t, k, u, d, p, v, h, n in asked:
+        u = (u or "").strip()
+        has = lambda r, w: any(w.lower() in r[c].lower() for c in ("description", "file_path", "metadata"))
+        want = [
+            r["id"] for r in every
+            if (not s or r["source"] in s) and (not t or r["event_type"] in t) and all(has(r, w) for w in k) and (not u or r["user"] == u)
+            and (d is None or r["device"] == d) and (p is None or p in r["file_path"].lower()) and (v is None or r["severity"] == "HIGH")
+            and (h is None or h[0] <= r["ts"].hour <= h[1])
+        ][:n]
+        assert sorted(got.get(i, [])) == list(enumerate(want, 1)), i
+
+
+def test_no_usable_request(spark, make_events):
+    none = parse_questions(spark.createDataFrame([(1, "x")], "case_id int, question string"), default_limit=0)
+    assert batch_retrieve(make_events([{"at": 0}]), none).count() == 0
+    assert batch_retrieve(make_events([{"at": 0}]), none.limit(0)).count() == 0
+
+
 def test_lenient_times(spark):
     texts = ["2026-03-01T10:00:00.1234567", " 2026-3-1 9:05 ", "2026/03/01 10:00:00", "03/01/2026 10:00:00", "2026-13-01", "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
