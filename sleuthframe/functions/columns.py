@@ -79,11 +79,6 @@ def severity_weight(severity: Column) -> Column:
     return lookup(F.upper(severity), SEVERITY_WEIGHT, 0)
 
 
-def weekday(ts: Column) -> Column:
-    """Monday is 0."""
-    return F.weekday(ts)
-
-
 def related_reason(a: str, b: str) -> str | None:
     """Reason text for two categories, or None when they are not related."""
     if (a, b) not in RELATED_CATEGORIES and (b, a) not in RELATED_CATEGORIES:

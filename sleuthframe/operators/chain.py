@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import iso, row_hash, text
 from sleuthframe.operators import hashtree
-from sleuthframe.vocabulary import EVENT_COLUMNS, HASHED_UNVERIFIED, LEGACY, TAMPERED, VERIFIED
+from sleuthframe.vocabulary import HASHED_UNVERIFIED, LEGACY, TAMPERED, VERIFIED
 
 # Reasons of a failed row.
 UNHASHED_INSERT = "unhashed event after chain start (possible inserted/removed record)"
@@ -246,7 +246,3 @@ def integrity_labels(rows: DataFrame, found: DataFrame | None = None) -> DataFra
     return rows.join(bad, "id", "left").withColumn(
         "integrity", label_column(True, F.coalesce("_bad", F.lit(False)))
     ).drop("_bad")
-
-
-def stored_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*EVENT_COLUMNS)

@@ -810,5 +810,8 @@ def correlate_groups(
     )
 
 
-def in_report_order(incidents: DataFrame) -> DataFrame:
-    return incidents.orderBy("start_time", "incident_id")
+def in_report_order(incidents: DataFrame, first: int) -> DataFrame:
+    """The first incidents of a report, by start and id, with their position from 1."""
+    # At most ``first`` rows are left, so numbering them over one window is a bounded step.
+    top = incidents.orderBy("start_time", "incident_id").limit(first)
+    return top.withColumn("position", F.row_number().over(W.orderBy("start_time", "incident_id")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import strip
 from sleuthframe.functions.timestamps import from_variant
+from sleuthframe.session import cut_lineage
 from sleuthframe.vocabulary import EVENT_COLUMNS, FIELD_ALIASES
 
 MAPPED_KEYS = sorted({k for keys in FIELD_ALIASES.values() for k in keys} | {"metadata"})
@@ -53,7 +54,7 @@ def _metadata() -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda x: x["t"]), ","), F.lit("}"))
 
 
-def _staged(raw: DataFrame, source: str | None, event_type: str | None) -> DataFrame:
+def staged(raw: DataFrame, source: str | None = None, event_type: str | None = None) -> DataFrame:
     """Every record with its event fields and the stage and reason that reject it, if any."""
     # One generated row per record: the parsed map and then the resolved fields are computed once, where a plain
     # projection would be merged into every expression that reads them.
@@ -101,19 +102,11 @@ def _staged(raw: DataFrame, source: str | None, event_type: str | None) -> DataF
 
 def normalize(raw: DataFrame, source: str | None = None, event_type: str | None = None) -> DataFrame:
     """Accepted events; explicit ``source`` / ``event_type`` win over what the record says."""
-    return _staged(raw, source, event_type).where("stage IS NULL").drop("stage", "reason")
+    return staged(raw, source, event_type).where("stage IS NULL").drop("stage", "reason")
 
 
 def rejects(raw: DataFrame, source: str | None = None, event_type: str | None = None) -> DataFrame:
-    return _staged(raw, source, event_type).where("stage IS NOT NULL").select("batch_pos", "stage", "reason")
-
-
-def validate(events: DataFrame) -> DataFrame:
-    """Add ``reason``: the first required field that is missing, null when the event can be stored."""
-    check = F.when(F.col("ts").isNull(), "timestamp is missing or not a datetime")
-    for name in ("source", "event_type", "description"):
-        check = check.when(F.col(name).isNull() | (strip(name) == ""), f"{name} is required but empty")
-    return events.withColumn("reason", check)
+    return staged(raw, source, event_type).where("stage IS NOT NULL").select("batch_pos", "stage", "reason")
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
@@ -126,15 +119,12 @@ def deduplicate(events: DataFrame) -> DataFrame:
     return first.select("_first.batch_pos", *FINGERPRINT, *[F.col(f"_first.{c}") for c in rest]).select(events.columns)
 
 
-def in_storage_order(events: DataFrame) -> DataFrame:
-    """Chronological; ties keep batch order."""
-    return events.orderBy("ts", "batch_pos")
-
-
 def ingest_stats(raw: DataFrame, dedup: bool = False) -> DataFrame:
-    """One row of run statistics."""
-    staged = _staged(raw, None, None)
-    counts = staged.agg(
+    """One row of run statistics. The records are parsed once, also where copies are counted."""
+    parsed = staged(raw)
+    if dedup:
+        parsed = cut_lineage(parsed)
+    counts = parsed.agg(
         F.count("*").alias("received"),
         F.count_if(F.coalesce(F.col("stage") != "normalize", F.lit(True))).alias("normalized"),
         F.count_if(F.coalesce(F.col("stage") == "validation", F.lit(False))).alias("skipped"),
@@ -146,25 +136,18 @@ def ingest_stats(raw: DataFrame, dedup: bool = False) -> DataFrame:
             "received", "normalized", F.col("_valid").alias("inserted"), "skipped", F.lit(0).cast("bigint").alias("duplicates"),
             "errors",
         )
-    kept = deduplicate(staged.where("stage IS NULL")).agg(F.count("*").alias("k")).scalar()
+    kept = deduplicate(parsed.where("stage IS NULL")).agg(F.count("*").alias("k")).scalar()
     return counts.withColumn("inserted", kept).select(
         "received", "normalized", "inserted", "skipped", (F.col("_valid") - F.col("inserted")).alias("duplicates"), "errors"
     )
 
 
-def first_filled_tokens(values: Column) -> Column:
-    """Ordered distinct of a list."""
-    return F.array_distinct(values)
-
-
 def next_ids(events: DataFrame, start: int = 0) -> DataFrame:
     """Give new rows ids in storage order after ``start``.
 
     A range sort splits the rows over tasks, each task counts its own rows and only the counts per task (one row
     per partition) are summed in order, so no task sees more than its range.
     """
-    from sleuthframe.session import cut_lineage
-
     ordered = cut_lineage(
         events.orderBy("ts", "batch_pos").select(
             "*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")

@@ -68,6 +68,12 @@ def page(events: DataFrame, limit: int = 100, offset: int = 0, newest_first: boo
     return public(where_equal(events, **filters).orderBy(*order).offset(offset).limit(limit))
 
 
+def page_with_total(events: DataFrame, limit: int = 100, offset: int = 0, newest_first: bool = False, **filters) -> DataFrame:
+    """A page whose rows also tell how many rows the filters match; the rows are counted once, not sorted."""
+    total = where_equal(events, **filters).agg(F.count("*").alias("total")).scalar()
+    return page(events, limit, offset, newest_first, **filters).withColumn("total", total)
+
+
 def page_after(events: DataFrame, last_ts: dt.datetime, last_id: int, limit: int = 100, **filters) -> DataFrame:
     """Next page after a known row: the filter reaches the scan."""
     t = F.lit(last_ts).cast("timestamp_ntz")

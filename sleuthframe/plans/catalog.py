@@ -16,7 +16,7 @@ from sleuthframe.operators import cases, chain, hashtree, retrieve, scoring, sum
 from sleuthframe.operators import cursors as cur
 from sleuthframe.operators import normalize as norm
 from sleuthframe.operators.baseline import learn
-from sleuthframe.operators.correlate import correlate, device_sessions
+from sleuthframe.operators.correlate import correlate, device_sessions, in_report_order
 from sleuthframe.operators.requests import batch_retrieve, parse_questions, validate_requests
 from sleuthframe.plans import derived
 from sleuthframe.session import checkpoint_root, configure, cut_lineage
@@ -68,6 +68,17 @@ def events_page(spark, d):
     )
 
 
+@query
+def events_page_total(spark, d):
+    return retrieve.page_with_total(activity_events(spark, d), limit=30, offset=10, source="USB", device="HOST-5")
+
+
+@query
+def events_after(spark, d):
+    """The page after a row known by its time and id."""
+    return retrieve.page_after(activity_events(spark, d), dt.datetime(2024, 1, 9, 12), 10**6, limit=60, severity="INFO")
+
+
 @query
 def timeline_page(spark, d):
     return retrieve.page(activity_events(spark, d), limit=200, offset=100, device="HOST-3")
@@ -500,6 +511,12 @@ def incidents(spark, d):
     return incident_columns(correlate(activity_events(spark, d)).incidents)
 
 
+@query
+def incident_report(spark, d):
+    found = in_report_order(correlate(activity_events(spark, d)).incidents, 100)
+    return found.select("position", "incident_id", "start_time", "event_count")
+
+
 @query
 def incident_members(spark, d):
     return correlate(activity_events(spark, d)).members

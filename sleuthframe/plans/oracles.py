@@ -87,6 +87,9 @@ ORACLES["event_by_id"] = EV + f" SELECT {COLS} FROM ev WHERE id = 500"
 ORACLES["events_page"] = EV + f""" SELECT {COLS} FROM ev WHERE source = 'Windows' AND severity = 'AUDIT_SUCCESS'
   AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-25 12:00:00' ORDER BY ts DESC, id DESC LIMIT 50 OFFSET 20"""
 ORACLES["timeline_page"] = EV + f" SELECT {COLS} FROM ev WHERE device = 'HOST-3' ORDER BY ts, id LIMIT 200 OFFSET 100"
+ORACLES["events_page_total"] = EV + f""" SELECT {COLS}, (SELECT count(*) FROM ev WHERE source = 'USB' AND device = 'HOST-5') AS total FROM ev
+  WHERE source = 'USB' AND device = 'HOST-5' ORDER BY ts, id LIMIT 30 OFFSET 10"""
+ORACLES["events_after"] = EV + f""" SELECT {COLS} FROM ev WHERE severity = 'INFO' AND (ts, id) > (TIMESTAMP '2024-01-09 12:00:00', 1000000) ORDER BY ts, id LIMIT 60"""
 ORACLES["recent_events"] = EV + f" SELECT {COLS} FROM ev ORDER BY ts DESC, id DESC LIMIT 10"
 
 
@@ -481,6 +484,8 @@ ORACLES["incidents"] = EV + correlation() + _inc
 ORACLES["incidents_bridged"] = EVM + correlation() + _inc
 ORACLES["incidents_without_ids"] = EVM + correlation(key="""CASE WHEN id % 5 = 0 THEN 'row:' || sha256(concat_ws(chr(31), CAST(epoch_us(ts) AS VARCHAR),
   source, event_type, description, severity, "user", device, file_path, metadata)) ELSE CAST(id AS VARCHAR) END""") + _inc
+ORACLES["incident_report"] = EV + correlation() + """, inc AS (SELECT incident_id, start_time, event_count FROM named JOIN pri USING (g, c))
+  SELECT CAST(row_number() OVER (ORDER BY start_time, incident_id) AS INT) AS position, * FROM inc QUALIFY position <= 100"""
 ORACLES["incident_members"] = EV + correlation() + " SELECT incident_id, id AS event_id, ts FROM named JOIN mem USING (g, c)"
 ORACLES["bridged_members"] = EVM + correlation() + " SELECT incident_id, id AS event_id FROM named JOIN mem USING (g, c)"
 ORACLES["incident_event_lists"] = EV + correlation() + """ SELECT incident_id, CAST(0 AS INT) AS part, string_agg(CAST(id AS VARCHAR), '|' ORDER BY ts, id) AS event_ids
@@ -677,3 +682,13 @@ ORACLES["stream_visit_state"] = EV + _history + """ SELECT profile_key, ts, url
     CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, url FROM hist WHERE ts IS NOT NULL) v
   WHERE profile_key <> 'Edge::P1' OR ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND length(url) % 2 = 1)"""
 ORACLES["stream_incidents_revised"] = ORACLES["incidents_bridged"]
+_ledger = EV + _normal + """, un AS (SELECT id % 3 AS poll, t, source, event_type, description, "user", device, file_path, k, min(id) AS first FROM n0 WHERE reason IS NULL
+    GROUP BY ALL), led AS (SELECT row_number() OVER (ORDER BY poll, t, first) AS id, * EXCLUDE (poll) FROM un)"""
+ORACLES["stream_ledger"] = _ledger + """ SELECT id, t AS ts, source, event_type, description, file_path, CAST((id - 1) // 256 AS VARCHAR) AS chain FROM led"""
+ORACLES["stream_ledger_stats"] = _ledger + """, raw AS (SELECT CASE WHEN reason = 'source is required' THEN '' ELSE source END AS source, reason FROM n0),
+  got AS (SELECT source, count(*) AS c FROM led GROUP BY 1)
+  SELECT raw.source, count(*) AS received, coalesce(any_value(c), 0) AS inserted, count(*) FILTER (WHERE reason IS NULL) - coalesce(any_value(c), 0) AS duplicates,
+    count(*) FILTER (WHERE reason LIKE 'description%') AS skipped, count(*) FILTER (WHERE reason NOT LIKE 'description%') AS errors FROM raw LEFT JOIN got USING (source) GROUP BY 1
+  UNION ALL SELECT reason, NULL, count(*), NULL, NULL, NULL FROM n0 WHERE reason IS NOT NULL GROUP BY 1"""
+ORACLES["stream_ledger_check"] = _ledger + """ SELECT TRUE AS valid, count(*) AS checked_events, count(*) AS hashed_events, CAST(0 AS BIGINT) AS legacy_events,
+  CAST(0 AS BIGINT) AS invalid_events, 'VALID' AS status, TRUE AS root_matches, CAST(0 AS BIGINT) AS changed_blocks, CAST(0 AS BIGINT) AS missing_events, CAST(0 AS BIGINT) AS added_events FROM led"""

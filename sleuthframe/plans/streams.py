@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sleuthframe.operators import chain, hashtree
 from sleuthframe.operators.baseline import learn
 from sleuthframe.operators.cursors import profile_key, url_key
 from sleuthframe.plans import derived
@@ -17,7 +18,7 @@ from sleuthframe.plans.catalog import incident_columns, query
 from sleuthframe.session import checkpoint_root
 from sleuthframe.sources.activity import activity_events
 from sleuthframe.sources.records import browser_events
-from sleuthframe.streaming import incidents, jobs, keyed
+from sleuthframe.streaming import incidents, jobs, keyed, ledger
 
 
 def _folder(spark: SparkSession) -> str:
@@ -211,3 +212,33 @@ def stream_incidents_revised(spark, d):
 
     _polls(e, poll, at, 3, start)
     return incident_columns(incidents.current(spark, f"{at}/out"))
+
+
+def _ledger(spark: SparkSession, d: str) -> str:
+    """A ledger of raw records that came in three polls."""
+    at = _folder(spark)
+
+    def start():
+        return ledger.ingest_ledger(jobs.watch(spark, f"{at}/in", jobs.RAW_SCHEMA), f"{at}/out", f"{at}/state", segment_rows=derived.QUERY_SEGMENT)
+
+    _polls(derived.raw_json(spark, d), F.col("batch_pos") % 3, at, 3, start)
+    return f"{at}/out"
+
+
+@query
+def stream_ledger(spark, d):
+    return ledger.events(spark, _ledger(spark, d)).select("id", "ts", "source", "event_type", "description", "file_path", "chain")
+
+
+@query
+def stream_ledger_stats(spark, d):
+    at = _ledger(spark, d)
+    stats = ledger.statistics(spark, at)
+    reasons = ledger.committed(spark, at, "rejects").groupBy("reason").agg(F.count("*").alias("inserted"))
+    return stats.drop("last_event_time").unionByName(reasons.withColumnRenamed("reason", "source"), allowMissingColumns=True)
+
+
+@query
+def stream_ledger_check(spark, d):
+    rows = ledger.events(spark, _ledger(spark, d))
+    return chain.verify(rows, "chain", stored_tree=hashtree.tree(rows))
