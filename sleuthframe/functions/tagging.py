@@ -45,6 +45,10 @@ PATH = r"""(?:[A-Za-z]:\\|\\\\|/)[^\s"']+"""
 QUOTED = r"""['"]([^'"]{2,})['"]"""
 USER = r"""(?i)\buser\s+(?:named\s+|account\s+)?['"]?([A-Za-z0-9._\-\\]+)"""
 DEVICE = r"""(?i)\b(?:device|host|hostname|machine|computer|endpoint)\s+['"]?([A-Za-z0-9._\-]+)"""
+BETWEEN = r"\bbetween\b\s+(.+?)\s+\band\b\s+(.+)"
+AFTER = r"\bafter\b\s+(.+)"
+BEFORE = r"\bbefore\b\s+(.+)"
+AROUND = r"\b(?:around|about|near|at)\b\s+(.+)"
 CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(a\.?m\.?|p\.?m\.?)?\b"
 
 
@@ -57,8 +61,21 @@ def with_lower(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.lower(F.coalesce(column, F.lit(""))))).alias("low"))
 
 
+def _by_letters(t: Column, match) -> Column:
+    """``match(prefix)`` without Unicode character classes where the text is ASCII, which is the same there and cheaper."""
+    return F.when(F.octet_length(t) == F.length(t), match("")).otherwise(match(UNICODE))
+
+
 def _has(low: Column, pattern: str) -> Column:
-    return low.rlike(UNICODE + pattern)
+    return _by_letters(low, lambda prefix: low.rlike(prefix + pattern))
+
+
+def _extract(t: Column, pattern: str, group: int) -> Column:
+    return _by_letters(t, lambda prefix: F.regexp_extract(t, prefix + pattern, group))
+
+
+def _extract_all(t: Column, pattern: str, group: int) -> Column:
+    return _by_letters(t, lambda prefix: F.regexp_extract_all(t, F.lit(prefix + pattern), F.lit(group)))
 
 
 def _all_labels(low: Column, rules) -> Column:
@@ -102,7 +119,7 @@ def wants_integrity(low: Column) -> Column:
 
 
 def _found(t: Column, pattern: str, group: int) -> Column:
-    hit = F.regexp_extract(t, UNICODE + pattern, group)
+    hit = _extract(t, pattern, group)
     return F.when(hit != "", hit)
 
 
@@ -112,8 +129,8 @@ def path_token(t: Column) -> Column:
 
 def keyword_tokens(t: Column) -> Column:
     """File names, then quoted texts, in order and without repeats."""
-    names = F.regexp_extract_all(t, F.lit(UNICODE + FILENAME), F.lit(0))
-    quoted = F.transform(F.regexp_extract_all(t, F.lit(UNICODE + QUOTED), F.lit(1)), lambda q: strip(q))
+    names = _extract_all(t, FILENAME, 0)
+    quoted = F.transform(_extract_all(t, QUOTED, 1), lambda q: strip(q))
     return F.array_distinct(F.filter(F.concat(names, quoted), lambda x: x != ""))
 
 
@@ -135,12 +152,11 @@ def clock_hour(t: Column) -> Column:
 
 def hour_window(low: Column) -> Column:
     """struct(start, end): between, after, before, around; null bounds without a clock time."""
-    between = r"\bbetween\b\s+(.+?)\s+\band\b\s+(.+)"
-    a = clock_hour(F.regexp_extract(low, UNICODE + between, 1))
-    b = clock_hour(F.regexp_extract(low, UNICODE + between, 2))
-    after = clock_hour(F.regexp_extract(low, UNICODE + r"\bafter\b\s+(.+)", 1))
-    before = clock_hour(F.regexp_extract(low, UNICODE + r"\bbefore\b\s+(.+)", 1))
-    around = clock_hour(F.regexp_extract(low, UNICODE + r"\b(?:around|about|near|at)\b\s+(.+)", 1))
+    a = clock_hour(_extract(low, BETWEEN, 1))
+    b = clock_hour(_extract(low, BETWEEN, 2))
+    after = clock_hour(_extract(low, AFTER, 1))
+    before = clock_hour(_extract(low, BEFORE, 1))
+    around = clock_hour(_extract(low, AROUND, 1))
     both = a.isNotNull() & b.isNotNull()
 
     def pick(x, y, z, w):

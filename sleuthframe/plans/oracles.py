@@ -692,3 +692,4 @@ ORACLES["stream_ledger_stats"] = _ledger + """, raw AS (SELECT CASE WHEN reason
   UNION ALL SELECT reason, NULL, count(*), NULL, NULL, NULL FROM n0 WHERE reason IS NOT NULL GROUP BY 1"""
 ORACLES["stream_ledger_check"] = _ledger + """ SELECT TRUE AS valid, count(*) AS checked_events, count(*) AS hashed_events, CAST(0 AS BIGINT) AS legacy_events,
   CAST(0 AS BIGINT) AS invalid_events, 'VALID' AS status, TRUE AS root_matches, CAST(0 AS BIGINT) AS changed_blocks, CAST(0 AS BIGINT) AS missing_events, CAST(0 AS BIGINT) AS added_events FROM led"""
+ORACLES["stream_rolling_baseline"] = EVM + feats("b", "ev", "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'") + feats("e", "ev") + scores() + _score_cols

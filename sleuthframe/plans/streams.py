@@ -18,7 +18,7 @@ from sleuthframe.plans.catalog import incident_columns, query
 from sleuthframe.session import checkpoint_root
 from sleuthframe.sources.activity import activity_events
 from sleuthframe.sources.records import browser_events
-from sleuthframe.streaming import incidents, jobs, keyed, ledger
+from sleuthframe.streaming import incidents, jobs, keyed, ledger, profiles
 
 
 def _folder(spark: SparkSession) -> str:
@@ -242,3 +242,21 @@ def stream_ledger_stats(spark, d):
 def stream_ledger_check(spark, d):
     rows = ledger.events(spark, _ledger(spark, d))
     return chain.verify(rows, "chain", stored_tree=hashtree.tree(rows))
+
+
+@query
+def stream_rolling_baseline(spark, d):
+    """Scores by the counts that a stream has kept of fifteen days; half of its polls are squashed on the way."""
+    at = _folder(spark)
+    e = activity_events(spark, d, missing_devices=True)
+    polls = []
+
+    def start():
+        if len(polls) == 2:
+            profiles.squash(spark, f"{at}/out")
+        polls.append(1)
+        return profiles.follow_profile(jobs.watch(spark, f"{at}/in", e.schema), f"{at}/out", f"{at}/state")
+
+    _polls(e, F.col("id") % 3, at, 3, start)
+    found, _ = profiles.score_when_new(e, f"{at}/out", -1, dt.date(2024, 1, 5), dt.date(2024, 1, 19))
+    return found.select("id", "anomaly_score", "classification", "severity", F.array_join("signals", "|").alias("signals"))
