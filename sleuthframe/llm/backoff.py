@@ -1,21 +1,21 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a smoothed bigram model over an open vocabulary. Unigrams are smoothed by adding a half, with one class for
-all unknown words. Every word of the training rows is a context, and every pair of neighbours in them is a bigram,
-discounted and interpolated with the unigram. As an automaton: the root has an arc for each word; a state for each
-context, and one for the start of a text, has an arc for each bigram and a failure arc to the root that costs the
-logarithm of its backoff weight. A text is read once from left to right: while the state has no arc for a token, its
-failure arc is taken and paid; then the arc's log-probability is added and its target is the next state. A caller may name
-a share of all training tokens that a word must have to be a context; the default is none.
-
-The automaton grows with the corpus, so no task holds it. Documents form blocks of bounded rows and bytes. Each block sends the
-distinct arcs it has, with their training counts, and these are summed over all blocks. A block counts its own texts again
-when it is scored, so only arcs that other blocks have too come back to it, words together with the number of their bigrams.
-States are named by word hashes, never by places in a list of all words.
+The model is a smoothed trigram model over an open vocabulary. Unigrams are smoothed by adding a half, with one class for all
+unknown words. A longer history h shares its mass between what followed it in training and the history without its first
+word: p(w|h) = (c(hw) + k p(w|h')) / (c(h) + k). As an automaton: states are the histories of two, one and no words that the
+training texts have; a state has an arc for each word that followed, and a failure arc to the state without its first word,
+which costs log10 k / (c(h) + k). A text is read once from left to right: while the state has no arc for a token, its failure
+arc is taken and paid; then the arc's log-probability is added, and the longest history that is a state is the next one.
+
+The automaton grows with the corpus, so no task holds it. Documents form blocks of bounded rows and bytes. A block needs the
+weights of its own n-grams only: it sends their hashes, sorted, with its own training counts, cut into slices of the range of
+all hashes; a slice is summed over all blocks, and the totals go back in the order in which the hashes were sent, without them.
+So an n-gram moves once from each block that has it, however frequent it is, and no key is hotter than the blocks are many.
+N-grams are told apart by 56 bits of their hash, words (whose totals are stated) by 56 bits, too.
 
 Defined cases: null, empty and blank texts consist of the end token; a null id is trained on or held out like an empty
-one; repeated rows count each; without training rows every token has the same probability; an empty table gives an empty
-result; other columns travel inside ``_doc``.
+one; repeated rows count each; texts may be of any length, one above the bound being a block of its own; without training
+rows every token has the same probability; an empty table gives an empty result; other columns travel inside ``_doc``.
 """
 
 from __future__ import annotations
@@ -25,24 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.neardup import WordHashes
-from sleuthframe.llm.tables import WORD, keyed, settle, stored
+from sleuthframe.llm.neardup import MIX, WordHashes, mixed
+from sleuthframe.llm.tables import WORD, keyed, settle
 
-CONTEXT_SHARE = 0.0
-DISCOUNT = 0.75
+# Weight of the shorter history, in tokens, for histories of one and of two words.
+WEIGHT_ONE = 400.0
+WEIGHT_TWO = 100.0
 # Bounds of a block; a text with more bytes is a block of its own, and the last text of a block may exceed the bound once.
 BLOCK_DOCS = 4096
-BLOCK_BYTES = 32 << 20
-# Tokens that a task gathers before it sends its counts; bounds its memory, never the result.
-GATHERED = 1_000_000
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+LEAST_SLICES = 64
 
-# The end of a text is a token of its own. It and the two states that no word names are outside the values of the word hash.
+# The end of a text is a token of its own, and so is its start, as a history. Both are outside the values of the word hash.
 END = 0
 START = 1
-ROOT = 2
 
 
 class Reader:
@@ -56,29 +57,75 @@ class Reader:
         words = self.word.findall(text or "")
         out = np.empty(len(words) + 1, "uint64")
         out[:-1] = np.fromiter(map(self.hashes.__getitem__, words), "uint64", len(words))
-        out[out <= ROOT] = ROOT + 1
+        out[out <= START] = START + 1
         out[-1] = END
-        return out.view("int64")
+        return out
 
 
-class Arcs:
-    """Distinct words and bigrams of some texts, each with its number in training texts.
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, compressed, equal bytes of all numbers side by side."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    planes = numbers.astype("<u8").view("uint8").reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
 
-    Words have codes from 0, the start of a text has the code after them; a pair is ``code before * width + code``.
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw[1:]), "uint8").reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), "uint8")
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def joined_hash(one: np.ndarray, two: np.ndarray, order: int) -> np.ndarray:
+    return mixed((one + np.uint64(order)) * MIX + mixed(two + np.uint64(order)))
+
+
+class Grams:
+    """The n-grams of some texts: hashes in order, and for each token the places of its unigram, bigram and trigram.
+
+    The lowest bit of a hash tells single words from longer n-grams.
     """
 
-    def __init__(self, texts: list[np.ndarray], train: list[bool]):
-        self.sizes = np.array([len(tokens) for tokens in texts])
+    def __init__(self, texts: list[np.ndarray]):
+        self.sizes = np.array([len(t) for t in texts])
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.code, self.words = pd.factorize(np.concatenate(texts))
-        self.width = len(self.words) + 1
-        before = np.append(len(self.words), self.code[:-1])
-        before[self.first] = len(self.words)
-        self.pair, self.pairs = pd.factorize(before * self.width + self.code)
-        learnt = np.repeat(np.array(train, "float64"), self.sizes)
-        self.word_counts = np.bincount(self.code, learnt, len(self.words)).astype("int64")
-        self.pair_counts = np.bincount(self.pair, learnt, len(self.pairs)).astype("int64")
-        self.heads, self.tails = np.divmod(self.pairs, self.width)
+        word = np.concatenate(texts)
+        before = np.append(np.uint64(START), word[:-1])
+        before[self.first] = START
+        two = joined_hash(before, word, 2)
+        # The history of two words is the bigram that ends before the token; at the start of a text there is none yet.
+        history = np.append(np.uint64(START), two[:-1])
+        history[self.first] = START
+        three = joined_hash(history, word, 3)
+        every = np.concatenate([mixed(word), two, three]) >> np.uint64(8) << np.uint64(1)
+        every[: len(word)] |= np.uint64(1)
+        self.hashes, places = np.unique(every, return_inverse=True)
+        self.one, self.two, self.three = places.reshape(3, -1)
+
+    def counts(self, train: list[bool]) -> np.ndarray:
+        """Number of each n-gram in training texts."""
+        learnt = np.repeat(np.array(train, bool), self.sizes)
+        places = np.concatenate([self.one[learnt], self.two[learnt], self.three[learnt]])
+        return np.bincount(places, minlength=len(self.hashes)).astype("uint64")
+
+    def traverse(self, total: np.ndarray, n: int, v: int, texts: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 by unigrams alone, log10 by the automaton) of each token, all texts being read side by side.
+
+        ``total`` has the training counts of the n-grams, ``n`` of all tokens, ``v`` of distinct words, ``texts`` of texts.
+        """
+        total = total.astype("float64")
+        start = np.zeros(len(self.one), bool)
+        start[self.first] = True
+        # Counts of the two histories before each token: the states that a reading may be in.
+        held_one = np.where(start, texts, np.append(0.0, total[self.one][:-1]))
+        held_two = np.where(start, texts, np.append(0.0, total[self.two][:-1]))
+        root = (total[self.one] + 0.5) / (n + 0.5 * (v + 1))
+        chance = root
+        for held, arc, weight in ((held_one, total[self.two], weights[0]), (held_two, total[self.three], weights[1])):
+            # A history that is no state costs nothing; without an arc only the failure arc is left, and paid.
+            failure = weight / (held + weight)
+            chance = np.where(arc > 0, arc / (held + weight), 0.0) + failure * chance
+        return np.log10(root), np.log10(chance)
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -92,136 +139,123 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("_file", "_group").orderBy("_row")
     before = F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     alone = F.when(F.col("size") > BLOCK_BYTES, F.col("_row"))
-    # A heavy group has more than BLOCK_BYTES of text and becomes one row here.
-    found = sizes.join(F.broadcast(heavy), ["_file", "_group"])
+    # A heavy group has more than BLOCK_BYTES of text and becomes one row; Spark chooses the joins.
+    found = sizes.join(heavy, ["_file", "_group"])
     found = found.withColumn("piece", F.struct(F.floor(before / BLOCK_BYTES).alias("at"), alone.alias("alone")))
     found = found.withColumn("new", ~F.col("piece").eqNullSafe(F.lag("piece").over(ordered)))
     cuts = found.where("new").groupBy("_file", "_group").agg(F.collect_list("_row").alias("_cuts"))
-    cut = rows.join(F.broadcast(settle(cuts)), ["_file", "_group"], "left")
+    cut = rows.join(settle(cuts), ["_file", "_group"], "left")
     piece = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<long>")), lambda at: at <= F.col("_row")))
     return cut.withColumn("block", F.xxhash64("_file", "_group", piece)).drop("_group", "_cuts")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """(block, state, word, c): distinct arcs of each block with their number in training documents."""
+def _sent(rows: DataFrame, slices: int) -> DataFrame:
+    """(slice, block, first, last, hashes, own): the n-grams of each block with their counts in its training documents.
+
+    Rows are read in the order of their files; a block that lies in two tasks is sent in two parts, told apart by their rows.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         texts: list[np.ndarray] = []
         learnt: list[bool] = []
-        at, size = None, 0
-
-        def send() -> Iterator[pd.DataFrame]:
-            arcs = Arcs(texts, learnt)
-            yield pd.DataFrame({"block": at, "state": ROOT, "word": arcs.words, "c": arcs.word_counts})
-            states = np.append(arcs.words, START)[arcs.heads]
-            yield pd.DataFrame({"block": at, "state": states, "word": arcs.words[arcs.tails], "c": arcs.pair_counts})
+        at, span = None, (0, 0)
+
+        def send() -> pd.DataFrame:
+            grams = Grams(texts)
+            own = grams.counts(learnt)
+            cuts = np.searchsorted(grams.hashes, _borders(slices))
+            out = []
+            for i, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                part = grams.hashes[low:high]
+                if len(part):
+                    steps = np.diff(part, prepend=np.uint64(0))
+                    out.append((i, at, *span, pack(steps), pack(own[low:high])))
+            return pd.DataFrame(out, columns=["slice", "block", "first", "last", "hashes", "own"])
 
         for frame in frames:
-            for block, text, train in zip(frame["block"], frame["text"], frame["train"], strict=True):
-                if texts and (block != at or size > GATHERED):
-                    yield from send()
-                    texts, learnt, size = [], [], 0
-                at = block
+            for block, row, text, train in zip(frame["block"], frame["_row"], frame["text"], frame["train"], strict=True):
+                if texts and block != at:
+                    yield send()
+                    texts, learnt = [], []
+                if not texts:
+                    at, span = block, (row, row)
+                span = (span[0], row)
                 texts.append(reader.tokens(text))
                 learnt.append(bool(train))
-                size += len(texts[-1])
         if texts:
-            yield from send()
+            yield send()
 
-    return rows.select("block", "text", "train").mapInPandas(run, "block long, state long, word long, c long")
+    return rows.select("block", "_row", "text", "train").mapInPandas(
+        run, "slice int, block long, first long, last long, hashes binary, own binary"
+    )
 
 
-def _totals(counted: DataFrame) -> DataFrame:
-    """(block, state, word, total, lead, shared): arcs with their training count over all blocks.
+def _borders(slices: int) -> np.ndarray:
+    """Bounds of the slices of all 57-bit numbers."""
+    return np.array([(i << 57) // slices for i in range(slices)] + [1 << 57], "uint64")
 
-    ``lead`` marks one row of each arc, ``shared`` the arcs of more than one block. An arc has at most one row
-    per block and sending, so even the most frequent word's group stays far below the table. The sort looks at a hash of
-    the arc first, since many arcs have the same state.
-    """
-    same = Window.partitionBy("spread", "state", "word").orderBy("block", "c")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dealt = counted.repartition("state", "word").withColumn("spread", F.xxhash64("state", "word"))
-    summed = dealt.select(
-        "block",
-        "state",
-        "word",
-        F.sum("c").over(whole).alias("total"),
-        (F.row_number().over(same) == 1).alias("lead"),
-        # A block sends an arc again when it is too large for one sending.
-        F.lag("block").over(same).eqNullSafe(F.col("block")).alias("again"),
-        (F.min("block").over(whole) != F.max("block").over(whole)).alias("shared"),
-    )
-    return stored(summed.where("total > 0 and not again and (lead or shared)").drop("again"), "arcs")
 
+def _summed(sent: DataFrame) -> DataFrame:
+    """(block, first, last, slice, totals, n, v): training counts over all blocks, in the order in which hashes were sent.
 
-def score_rows(rows: DataFrame, context_share: float = CONTEXT_SHARE, discount: float = DISCOUNT) -> DataFrame:
+    ``n`` and ``v`` are the number of tokens and of distinct words of the slice, on one of its rows.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.cumsum(unpack(raw)) for raw in frame["hashes"]]
+        hashes, places = np.unique(np.concatenate(parts), return_inverse=True)
+        own = np.concatenate([unpack(raw) for raw in frame["own"]])
+        total = np.bincount(places, own.astype("float64"), len(hashes)).astype("uint64")
+        words = total[(hashes & np.uint64(1)) == 1]
+        cuts = np.cumsum([0] + [len(p) for p in parts])
+        out = frame[["block", "first", "last", "slice"]].copy()
+        out["totals"] = [pack(total[places[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out["n"], out["v"] = 0, 0
+        out.iloc[0, out.columns.get_loc("n")] = int(words.sum())
+        out.iloc[0, out.columns.get_loc("v")] = int((words > 0).sum())
+        return out
+
+    schema = "block long, first long, last long, slice int, totals binary, n long, v long"
+    return settle(sent.groupBy("slice").applyInPandas(run, schema))
+
+
+def score_rows(rows: DataFrame, weights: tuple[float, float] = (WEIGHT_ONE, WEIGHT_TWO)) -> DataFrame:
     """Scores of ``rows(_file, _row, id, text, train)`` by a model of the rows where ``train`` is true.
 
     Adds n_tokens, n_known, train_tokens, base_score (unigrams alone) and score (the automaton), as log10.
     """
     rows = in_blocks(rows.withColumn("id", F.col("id").cast("string")))
-    arcs = _totals(_counted(rows))
-    known = arcs.where(f"state = {ROOT}")
-    bigrams = arcs.where(f"state <> {ROOT}")
-    sums = known.where("lead").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
+    # The more text, the more slices: a slice has the n-grams of about SLICE_BYTES of it, whatever the size of the table.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    totals = _summed(_sent(rows, max(LEAST_SLICES, size // SLICE_BYTES)))
+    sums = totals.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    least = max(context_share * n, 1)
-    leads = bigrams.where("lead")
-    if least > 1:
-        contexts = known.where("lead").where(F.col("total") >= least)
-        leads = leads.join(contexts.select("word"), "word", "left_semi")
-    heads = leads.groupBy("state").agg(F.sum("total").alias("kept"), F.count("*").alias("types"))
-    began = heads.where(f"state = {START}").first()
-    began = (began["kept"], began["types"]) if began else (0, 0)
+    # Each training text has one end.
+    learnt = rows.where("train").count()
 
     def score_block(key, docs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         reader = Reader()
-        mine = Arcs([reader.tokens(text) for text in docs["text"]], docs["train"].tolist())
-        index = pd.Index(np.append(mine.words, START))
-        root = part["state"].to_numpy() == ROOT
-        words, pairs = part[root], part[~root]
-        here = index.get_indexer(words["word"])
-        total = mine.word_counts
-        total[here] = words["total"]
-        times = mine.pair_counts
-        wanted = index.get_indexer(pairs["state"]) * mine.width + index.get_indexer(pairs["word"])
-        times[pd.Index(mine.pairs).get_indexer(wanted)] = pairs["total"]
-
-        # The state of the start of a text, of which there are as many as ends, comes last.
-        history = np.append(total, total[index.get_loc(END)]).astype("float64")
-        is_state = history >= least
-        is_state[-1] = history[-1] > 0
-        held = (times > 0) & is_state[mine.heads] & is_state[mine.tails]
-        # All bigrams of a word that no other block has are here too.
-        kept = np.bincount(mine.heads[held], times[held], mine.width)
-        types = np.bincount(mine.heads[held], minlength=mine.width).astype("float64")
-        kept[here], types[here] = words["kept"], words["types"]
-        kept[-1], types[-1] = began
-        weight = np.ones(mine.width)
-        weight[is_state] = (history[is_state] - kept[is_state] + discount * types[is_state]) / history[is_state]
-
-        # Without an arc, the failure arc leads to the root, which has one for every word and from which nothing is paid.
-        chance = (total + 0.5) / (n + 0.5 * (v + 1))
-        lower = weight[mine.heads] * chance[mine.tails]
-        lower[held] += (times[held] - discount) / history[mine.heads[held]]
-        more = {
-            "n_tokens": mine.sizes,
-            "n_known": np.add.reduceat((total > 0).astype("int64")[mine.code], mine.first),
-            "base_score": np.add.reduceat(np.log10(chance)[mine.code], mine.first),
-            "score": np.add.reduceat(np.log10(lower)[mine.pair], mine.first),
-        }
-        return docs[["_file", "_row", "id", "train"]].assign(**more)
-
-    counts = heads.withColumnRenamed("state", "word")
-    found = known.where("shared").select("block", "state", "word", "total").join(counts, "word", "left")
-    part = found.select(
-        "block", "state", "word", "total", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("types", F.lit(0)).alias("types")
-    ).unionByName(bigrams.where("shared").select("block", "state", "word", "total", F.lit(0).alias("kept"), F.lit(0).alias("types")))
+        docs = docs.sort_values("_row", ignore_index=True)
+        out = []
+        for (first, last), mine in part.groupby(["first", "last"]):
+            here = docs[docs["_row"].between(first, last)]
+            grams = Grams([reader.tokens(text) for text in here["text"]])
+            total = np.concatenate([unpack(raw) for raw in mine.sort_values("slice")["totals"]])
+            base, chance = grams.traverse(total, n, v, learnt, weights)
+            more = {
+                "n_tokens": grams.sizes,
+                "n_known": np.add.reduceat((total[grams.one] > 0).astype("int64"), grams.first),
+                "base_score": np.add.reduceat(base, grams.first),
+                "score": np.add.reduceat(chance, grams.first),
+            }
+            out.append(here[["_file", "_row", "id", "train"]].assign(**more))
+        return pd.concat(out)
+
     docs = rows.select("block", "_file", "_row", "id", "text", "train")
     scored = (
         docs.groupBy("block")
-        .cogroup(part.groupBy("block"))
+        .cogroup(totals.select("block", "first", "last", "slice", "totals").groupBy("block"))
         .applyInPandas(
             score_block,
             "_file long, _row long, id string, train boolean, n_tokens long, n_known long, base_score double, score double",

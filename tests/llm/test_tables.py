@@ -162,58 +162,68 @@ def test_signature_estimates_similarity():
 # -- language model ------------------------------------------------------------------------------------------
 
 
-def model_scores(rows, share, discount):
+def model_scores(rows, weights):
     token = lambda t: WORD.findall(low(t)) + [None]
     train = [token(r["text"]) for r in rows if zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 != 1]
-    c = Counter(w for t in train for w in t)
-    n, v = sum(c.values()), len(c)
-    often = {w for w in c if c[w] >= share * n}
-    pairs = Counter((h, w) for t in train for h, w in zip(["<s>", *t], t, strict=False) if w in often and (h == "<s>" or h in often))
-    seen, types = Counter(), Counter()
-    for (h, _), k in pairs.items():
-        seen[h] += k
-        types[h] += 1
-    times = lambda h: c[None] if h == "<s>" else c[h]
-    one = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-
-    def two(h, w):
-        if h != "<s>" and h not in often:
-            return one(w)
-        back = (times(h) - seen[h] + discount * types[h]) / times(h)
-        return back * one(w) + (max(pairs[(h, w)] - discount, 0) / times(h) if (h, w) in pairs else 0)
+    grams = [Counter(), Counter(), Counter()]
+    held = [Counter(), Counter()]
+    for t in train:
+        full = ["<s>", "<s>", *t]
+        for i in range(2, len(full)):
+            for order in range(3):
+                grams[order][tuple(full[i - order : i + 1])] += 1
+            for order in range(2):
+                held[order][tuple(full[i - order - 1 : i])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+
+    def chance(history, w):
+        p = (grams[0][(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        for order in range(2):
+            h = history[1 - order :]
+            p = (grams[order + 1][(*h, w)] + weights[order] * p) / (held[order][h] + weights[order])
+        return p
 
     out = {}
     for r in rows:
         t = token(r["text"])
-        out[r["doc_id"]] = (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(one(w)) for w in t),
-                            sum(math.log10(two(h, w)) for h, w in zip(["<s>", *t], t, strict=False)))
-    context = next(h for h, _ in pairs.most_common() for h in [h[0]])
-    assert sum(two(context, w) for w in c) + two(context, "never seen") == pytest.approx(1)
+        full = ["<s>", "<s>", *t]
+        each = [chance(tuple(full[i - 2 : i]), full[i]) for i in range(2, len(full))]
+        base = [(grams[0][(w,)] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
+        out[r["doc_id"]] = (len(t), sum(grams[0][(w,)] > 0 for w in t), n, sum(map(math.log10, base)), sum(map(math.log10, each)))
+    # The model is a distribution over the words and one unknown one.
+    for history in list(held[1])[:3]:
+        assert sum(chance(history, w) for (w,) in grams[0]) + chance(history, "never seen") == pytest.approx(1)
     return out
 
 
-@pytest.mark.parametrize("which,share", [("odd", 0.01), ("given", 1e-3), ("given", 1e-5)])
-def test_scores(spark, docs, data, which, share):
+@pytest.mark.parametrize("which,weights,block", [("odd", (3.0, 0.5), 4096), ("odd", (400.0, 100.0), 5), ("given", (400.0, 100.0), 4096)])
+def test_scores(spark, docs, data, monkeypatch, which, weights, block):
+    monkeypatch.setattr(backoff, "BLOCK_DOCS", block)
     table = docs if which == "odd" else read(spark, data, "documents")
-    want = model_scores(table.select("doc_id", "text").collect(), share, backoff.DISCOUNT)
-    got = backoff.score_documents(table, context_share=share).collect()
+    want = model_scores(table.select("doc_id", "text").collect(), weights)
+    got = backoff.score_documents(table, weights=weights).collect()
     assert len(got) == table.count()
     for r in got:
-        mine = (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
-        assert mine == pytest.approx(want[plain_id(r["id"])], rel=1e-9)
+        numbers = (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
+        assert numbers == pytest.approx(want[plain_id(r["id"])], rel=1e-9)
+        assert r["train"] == (zlib.crc32(str(r["id"] if r["id"] is not None else "").encode()) % 5 != 1)
+
+
+def test_numbers_are_packed():
+    for numbers in ([], [0], [5, 0, 255], [256, 1], [2**57 - 1, 2**40]):
+        assert backoff.unpack(backoff.pack(np.array(numbers, "uint64"))).tolist() == numbers
 
 
 @pytest.mark.parametrize("block", [backoff.BLOCK_DOCS, 7])
 def test_rare_words_are_contexts_at_any_size(spark, monkeypatch, tmp_path, block):
     # 300,000 tokens, so a word that is there twice has less than 1e-5 of them.
     monkeypatch.setattr(backoff, "BLOCK_DOCS", block)
-    monkeypatch.setattr(backoff, "GATHERED", 20_000)
     texts = ["common filler words " * 2500] * 40 + ["rare pair here", "rare pair there", "a rare pair", "pair rare"] * 3 + ["seen twice", "seen twice", "seen once"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     path = str(tmp_path / "documents.parquet")
     frame.coalesce(1).write.parquet(path)
     table = spark.read.parquet(path)
-    want = model_scores(table.collect(), 0, backoff.DISCOUNT)
+    want = model_scores(table.collect(), (backoff.WEIGHT_ONE, backoff.WEIGHT_TWO))
     got = backoff.score_documents(table).collect()
     assert len(got) == len(texts)
     for r in got:
