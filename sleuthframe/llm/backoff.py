@@ -33,8 +33,8 @@ from sleuthframe.llm.neardup import MIX, WordHashes, mixed
 from sleuthframe.llm.tables import WORD, keyed, settle
 
 # Weight of the shorter history, in tokens, for histories of one and of two words.
-WEIGHT_ONE = 400.0
-WEIGHT_TWO = 100.0
+WEIGHT_ONE = 50.0
+WEIGHT_TWO = 10.0
 # Bounds of a block; a text with more bytes is a block of its own, and the last text of a block may exceed the bound once.
 BLOCK_DOCS = 4096
 BLOCK_BYTES = 16 << 20
