@@ -186,6 +186,12 @@ def ingest_union(spark, d):
     return rows.groupBy("source", "event_type", "severity").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
+@query
+def ingest_union_rows(spark, d):
+    rows = records.union_sources(derived.collector_batches(spark, d), ["Windows", "USB", "BROWSER", "defender", "other"])
+    return rows.select(*records.EVENT_FIELDS)
+
+
 # -- normalization -------------------------------------------------------------------------------------------
 
 
@@ -422,6 +428,13 @@ def case_buckets(spark, d):
     return cases.buckets(p.facts, p.correlation, p.behavior).groupBy("case_id", "bucket").agg(F.count("*").alias("n"))
 
 
+@query
+def case_statements(spark, d):
+    """The texts of all statements but the behavioral ones."""
+    p = _package(spark, d)
+    return cases.buckets(p.facts, p.correlation, p.behavior).where("bucket <> 'behavioral_findings'")
+
+
 # -- counts --------------------------------------------------------------------------------------------------
 
 

@@ -693,3 +693,15 @@ ORACLES["stream_ledger_stats"] = _ledger + """, raw AS (SELECT CASE WHEN reason
 ORACLES["stream_ledger_check"] = _ledger + """ SELECT TRUE AS valid, count(*) AS checked_events, count(*) AS hashed_events, CAST(0 AS BIGINT) AS legacy_events,
   CAST(0 AS BIGINT) AS invalid_events, 'VALID' AS status, TRUE AS root_matches, CAST(0 AS BIGINT) AS changed_blocks, CAST(0 AS BIGINT) AS missing_events, CAST(0 AS BIGINT) AS added_events FROM led"""
 ORACLES["stream_rolling_baseline"] = EVM + feats("b", "ev", "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'") + feats("e", "ev") + scores() + _score_cols
+_fields = 'source, event_type, ts, description, severity, "user", device, file_path, metadata'
+ORACLES["ingest_union_rows"] = " UNION ALL ".join(
+    f"SELECT {_fields} FROM ({ORACLES[name]}) {cond}"
+    for name, cond in (("src_windows", ""), ("src_defender", "WHERE NOT malformed"), ("src_usb", ""), ("src_browser", ""))
+)
+ORACLES["case_statements"] = f"""WITH f AS MATERIALIZED ({FACT} SELECT * FROM fact), i AS ({ORACLES['case_integrity']}), c AS ({ORACLES['case_correlation']})
+  SELECT case_id, 'observed_facts' AS bucket, unnest(list_filter([CASE WHEN n = 0 THEN 'No evidence events were retrieved.' ELSE n || ' event(s) were retrieved from source(s): ' || replace(srcs, '|', ', ') || '.' END,
+    'The earliest event occurred at ' || {iso('t0')} || ' and the latest at ' || {iso('t1')} || '.', CASE WHEN types <> '' THEN 'Observed event type(s): ' || replace(types, '|', ', ') || '.' END],
+    lambda x: x IS NOT NULL)) AS statement FROM f
+  UNION ALL SELECT case_id, 'correlation_findings', 'Candidate incident ' || incident_id || ' (' || priority || ' priority) groups events [' || replace(event_ids, '|', ', ') || '] as related because: '
+    || replace(correlation_reasons, '|', '; ') || '.' FROM c
+  UNION ALL SELECT case_id, 'integrity_findings', summary FROM i"""
