@@ -110,9 +110,9 @@ def triangular_solve(rows: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def fit_list(numbers: DataFrame) -> DataFrame:
     """Each distinct vector once, written for the passes."""
-    distinct = numbers.select("x").distinct()
+    distinct = stored(numbers.select("x").distinct(), "fit")
     kept = distinct.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return stored(distinct.where(F.size("x") == F.lit(kept["d"] if kept else 0)).where("size(x) > 0"), "fit")
+    return distinct.where(F.size("x") == F.lit(kept["d"] if kept else 0)).where("size(x) > 0")
 
 
 def _moments(fit: DataFrame) -> tuple[int, list[int]]:

@@ -57,3 +57,37 @@ def test_stages(spark, data):
     got = steps[5].collect()
     assert sorted(tuple(r)[:5] for r in got) == sorted(want)
     assert len({r["sequence_id"] for r in got}) <= sum(w[3] for w in want) // 2048 + 2
+
+
+def test_stages_on_hard_rows(spark, docs, rows, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing column names; long enough ones pass the quality rules."""
+    corpus_pipeline.prepare(spark)
+    long = [f"w{i} alpha beta{i}" for i in range(300)]
+    more = [
+        (None, " ".join(long) + " mail a.b@c.de now", None, None, None, None, None, None, None),
+        (900, " ".join(long[:250]), "en", None, 1, "f", 1, 2, 3),
+        (901, "\n".join(long) * 30, None, "é", 1, None, None, None, None),
+        (902, "\n".join(long) * 30, None, "b", 1, None, None, None, None),
+    ]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([*rows, *more, more[1]], docs.schema).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    columns, docs, kept = docs.columns, read(spark, folder, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        path = shared_folder(spark, name)
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept.append(docs)
+    assert all(k.columns == columns for k in kept[:-1])
+    good, unique, clean, mixed = ([tuple(r)[:2] for r in k.collect()] for k in kept[:-1])
+    assert all(t and len(WORD.findall(t)) >= 50 for _, t in good)
+    ids = [i for i, _ in unique]
+    assert len(ids) == len(set(ids)) and 900 in ids and 901 in ids and 902 not in ids
+    assert len(clean) == len(unique) and not any("a.b@c.de" in t for _, t in clean)
+    assert {i for i, _ in mixed} <= set(ids)
+    pieces = kept[-1].collect()
+    assert all(r["length"] <= 2048 for r in pieces) and {r["doc_id"] for r in pieces} == {i for i, _ in mixed}
+
+
+def test_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
