@@ -63,11 +63,12 @@ def test_stages_on_hard_rows(spark, docs, rows, tmp_path):
     """Nulls, empty and long texts, repeated rows, clashing column names; long enough ones pass the quality rules."""
     corpus_pipeline.prepare(spark)
     long = [f"w{i} alpha beta{i}" for i in range(300)]
+    longer = "\n".join(f"v{i} gamma delta{i}" for i in range(9000)) + " mail a.b@c.de now"
     more = [
         (None, " ".join(long) + " mail a.b@c.de now", None, None, None, None, None, None, None),
         (900, " ".join(long[:250]), "en", None, 1, "f", 1, 2, 3),
-        (901, "\n".join(long) * 30, None, "é", 1, None, None, None, None),
-        (902, "\n".join(long) * 30, None, "b", 1, None, None, None, None),
+        (901, longer, None, "é", 1, None, None, None, None),
+        (902, longer, None, "b", 1, None, None, None, None),
     ]
     folder = str(tmp_path / "in")
     spark.createDataFrame([*rows, *more, more[1]], docs.schema).repartition(2).write.parquet(f"{folder}/documents.parquet")
