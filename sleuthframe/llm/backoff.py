@@ -36,8 +36,8 @@ from sleuthframe.llm.tables import WORD, keyed, settle
 WEIGHT_ONE = 50.0
 WEIGHT_TWO = 10.0
 # Bounds of a block; a text with more bytes is a block of its own, and the last text of a block may exceed the bound once.
-BLOCK_DOCS = 4096
-BLOCK_BYTES = 16 << 20
+BLOCK_DOCS = 2048
+BLOCK_BYTES = 8 << 20
 # Bits of an n-gram's hash; each bit less saves an eighth of a byte per n-gram and block on the way.
 BITS = 52
 SLICE_BYTES = 4 << 20

@@ -196,7 +196,7 @@ def model_scores(rows, weights):
     return out
 
 
-@pytest.mark.parametrize("which,weights,block", [("odd", (3.0, 0.5), 4096), ("odd", (50.0, 10.0), 5), ("given", (50.0, 10.0), 4096)])
+@pytest.mark.parametrize("which,weights,block", [("odd", (3.0, 0.5), 2048), ("odd", (50.0, 10.0), 5), ("given", (50.0, 10.0), 2048)])
 def test_scores(spark, docs, data, monkeypatch, which, weights, block):
     monkeypatch.setattr(backoff, "BLOCK_DOCS", block)
     table = docs if which == "odd" else read(spark, data, "documents")
