@@ -96,3 +96,14 @@ def test_stripped_start_of_a_later_segment_is_no_legacy(make_events):
     cut = rows.withColumn("event_hash", F.when(~gone, F.col("event_hash")))
     states = {r["id"]: r["state"] for r in chain.verdicts(cut, "chain").collect()}
     assert states[5] == states[6] == "unhashed"
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_legacy_rows_of_each_chain(make_events, block):
+    rows = chain.build_chain(make_events([{"at": i} for i in range(8)]), chain.segment(4))
+    gone = F.col("id").isin(5, 6, 8)
+    cut = rows.withColumn("event_hash", F.when(~gone, F.col("event_hash")))
+    found = {r["id"]: (r["state"], len(r["reasons"])) for r in chain.verdicts(cut, "chain", block, legacy_per_chain=True).collect()}
+    assert {i: found[i] for i in (5, 6, 7, 8)} == {5: ("legacy", 0), 6: ("legacy", 0), 7: ("hashed", 1), 8: ("unhashed", 1)}
+    v = chain.verify(cut, "chain", block, legacy_per_chain=True).first()
+    assert (v["hashed_events"], v["legacy_events"], v["invalid_events"]) == (5, 2, 2)
