@@ -5,6 +5,9 @@ Functions with a ``low`` argument take the lower-cased text; ``with_lower`` adds
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,26 @@ BEFORE = r"\bbefore\b\s+(.+)"
 AROUND = r"\b(?:around|about|near|at)\b\s+(.+)"
 CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(a\.?m\.?|p\.?m\.?)?\b"
 
+# Texts of which one occurs wherever the pattern matches. Looking for them costs a fraction of the pattern.
+NEEDED = dict(zip(
+    [p for rules in (SOURCE_RULES, EVENT_TYPE_RULES, SEVERITY_RULES) for p, _ in rules]
+    + [TIMELINE_WORDS, CORRELATION_WORDS, BEHAVIOR_WORDS, EXPLAIN_WORDS, INTEGRITY_WORDS, BETWEEN, AFTER, BEFORE, AROUND],
+    [
+        ["usb", "removable", "drive"], ["file", "folder", "director"], ["brows", "web", "url", "visit"],
+        ["defender", "antivir", "anti-vir", "malware", "threat", "virus"], ["windows event", "log", "sign"],
+        ["delet", "removed file"], ["creat", "new file"], ["modif", "change", "edite"], ["renam"],
+        ["connect", "plugged", "inserte", "mounted"], ["disconnect", "unplugged", "ejected", "removed drive"], ["visit", "browse"],
+        ["critical"], ["high", "severe"], ["medium", "moderate"], ["warning"], ["severity"], ["info"],
+        ["timeline", "sequence", "chronolog", "what happened"],
+        ["related", "connected", "correlat", "incident", "linked", "together", "what else", "around th"],
+        ["suspicious", "unusual", "anomal", "abnormal", "weird", "strange", "out of the ordinary", "hours", "unexpected"],
+        ["why", "explain", "how did", "what does this mean", "what happened here"],
+        ["tamper", "integrity", "altered", "modified evidence", "verif", "chain of custody"],
+        ["between"], ["after"], ["before"], ["around", "about", "near", "at"],
+    ],
+    strict=True,
+))
+
 
 # Word borders, digits and spaces follow Unicode, so an accented letter is part of a word.
 UNICODE = "(?U)"
@@ -66,8 +89,17 @@ def _by_letters(t: Column, match) -> Column:
     return F.when(F.octet_length(t) == F.length(t), match("")).otherwise(match(UNICODE))
 
 
+def _may_have(low: Column, pattern: str) -> Column:
+    return reduce(or_, [F.contains(low, F.lit(t)) for t in NEEDED[pattern]])
+
+
 def _has(low: Column, pattern: str) -> Column:
-    return _by_letters(low, lambda prefix: low.rlike(prefix + pattern))
+    return _may_have(low, pattern) & _by_letters(low, lambda prefix: low.rlike(prefix + pattern))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _extract(t: Column, pattern: str, group: int) -> Column:
@@ -119,8 +151,7 @@ def wants_integrity(low: Column) -> Column:
 
 
 def _found(t: Column, pattern: str, group: int) -> Column:
-    hit = _extract(t, pattern, group)
-    return F.when(hit != "", hit)
+    return _once(_extract(t, pattern, group), lambda hit: F.when(hit != "", hit))
 
 
 def path_token(t: Column) -> Column:
@@ -129,7 +160,8 @@ def path_token(t: Column) -> Column:
 
 def keyword_tokens(t: Column) -> Column:
     """File names, then quoted texts, in order and without repeats."""
-    names = _extract_all(t, FILENAME, 0)
+    none = F.array().cast("array<string>")
+    names = F.when(t.rlike(r"\.[A-Za-z0-9]"), _extract_all(t, FILENAME, 0)).otherwise(none)
     quoted = F.transform(_extract_all(t, QUOTED, 1), lambda q: strip(q))
     return F.array_distinct(F.filter(F.concat(names, quoted), lambda x: x != ""))
 
@@ -146,23 +178,38 @@ def clock_hour(t: Column) -> Column:
     """Hour 0-23 of the first clock time in a lower-cased text, else null."""
     hour = F.regexp_extract(t, UNICODE + CLOCK, 1).try_cast("int")
     half = F.regexp_replace(F.regexp_extract(t, UNICODE + CLOCK, 3), r"\.", "")
-    value = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when(value <= 23, value)
+
+    def value(x: Column) -> Column:
+        h = x["hour"]
+        return F.when((x["half"] == "pm") & (h < 12), h + 12).when((x["half"] == "am") & (h == 12), 0).otherwise(h)
+
+    full = _once(F.struct(hour.alias("hour"), half.alias("half")), value)
+    return _once(full, lambda v: F.when(v <= 23, v))
+
+
+def _hour_after(low: Column, pattern: str, group: int = 1) -> Column:
+    return F.when(_may_have(low, pattern), _once(_extract(low, pattern, group), clock_hour))
 
 
 def hour_window(low: Column) -> Column:
     """struct(start, end): between, after, before, around; null bounds without a clock time."""
-    a = clock_hour(_extract(low, BETWEEN, 1))
-    b = clock_hour(_extract(low, BETWEEN, 2))
-    after = clock_hour(_extract(low, AFTER, 1))
-    before = clock_hour(_extract(low, BEFORE, 1))
-    around = clock_hour(_extract(low, AROUND, 1))
-    both = a.isNotNull() & b.isNotNull()
-
-    def pick(x, y, z, w):
-        return F.when(both, x).when(after.isNotNull(), y).when(before.isNotNull(), z).otherwise(w)
-
-    return F.struct(
-        pick(F.least(a, b), after, F.lit(0), around).alias("start"),
-        pick(F.greatest(a, b), F.lit(23), before, around).alias("end"),
+    hours = F.struct(
+        _hour_after(low, BETWEEN).alias("a"),
+        _hour_after(low, BETWEEN, 2).alias("b"),
+        _hour_after(low, AFTER).alias("after"),
+        _hour_after(low, BEFORE).alias("before"),
+        _hour_after(low, AROUND).alias("around"),
     )
+
+    def window(h: Column) -> Column:
+        both = h["a"].isNotNull() & h["b"].isNotNull()
+
+        def pick(x, y, z, w):
+            return F.when(both, x).when(h["after"].isNotNull(), y).when(h["before"].isNotNull(), z).otherwise(w)
+
+        return F.struct(
+            pick(F.least(h["a"], h["b"]), h["after"], F.lit(0), h["around"]).alias("start"),
+            pick(F.greatest(h["a"], h["b"]), F.lit(23), h["before"], h["around"]).alias("end"),
+        )
+
+    return _once(hours, window)
