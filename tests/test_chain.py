@@ -107,3 +107,26 @@ def test_legacy_rows_of_each_chain(make_events, block):
     assert {i: found[i] for i in (5, 6, 7, 8)} == {5: ("legacy", 0), 6: ("legacy", 0), 7: ("hashed", 1), 8: ("unhashed", 1)}
     v = chain.verify(cut, "chain", block, legacy_per_chain=True).first()
     assert (v["hashed_events"], v["legacy_events"], v["invalid_events"]) == (5, 2, 2)
+
+
+def test_chain_is_built_with_one_shuffle_and_no_join(rows):
+    keyed = chain.build_chain(rows, chain.segment(4))
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+    whole = {r["id"]: r["event_hash"] for r in keyed.collect()}
+    # A filter on the built rows must not reach the rows that are hashed.
+    left = {r["id"]: r["event_hash"] for r in keyed.where("id % 3 = 0 AND severity = 'INFO'").collect()}
+    assert left == {k: v for k, v in whole.items() if k % 3 == 0}
+    assert keyed.where("id > 5").count() == len(whole) - 5
+
+
+def test_long_tables_are_stored_compressed(spark, data):
+    from sleuthframe.plans import derived
+    from sleuthframe.session import cut_lineage, stored
+
+    rows = derived.stored_chain(spark, data, tampered=True)
+    kept = stored(rows)
+    assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.schema.simpleString() == rows.schema.simpleString()
+    want = cut_lineage(rows)
+    assert kept.count() == want.count() and kept.exceptAll(want).isEmpty()
