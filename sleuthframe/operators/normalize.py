@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sleuthframe.functions.columns import strip
 from sleuthframe.functions.timestamps import from_variant
-from sleuthframe.session import cut_lineage
+from sleuthframe.session import stored
 from sleuthframe.vocabulary import EVENT_COLUMNS, FIELD_ALIASES
 
 MAPPED_KEYS = sorted({k for keys in FIELD_ALIASES.values() for k in keys} | {"metadata"})
@@ -69,14 +69,16 @@ def staged(raw: DataFrame, source: str | None = None, event_type: str | None = N
         _metadata().alias("metadata"),
     )
     typed = parsed.select("batch_pos", F.col("m").isNull().alias("_unread"), F.inline(F.array(fields)))
-    typed = typed.withColumn("ts", from_variant(F.col("_t"))).withColumn(
+    # Again a generated row: a filter on ``stage`` would otherwise parse every time once more.
+    timed = F.struct(from_variant(F.col("_t")).alias("ts"), F.col("_t").isNull().alias("_untimed"))
+    typed = typed.select("*", F.inline(F.array(timed))).withColumn(
         "metadata", F.when(F.col("metadata") != "{}", F.col("metadata")).otherwise("")
     )
     failure = (
         F.when(F.col("_unread"), "record is not a JSON object")
         .when(F.col("source").isNull(), "source is required")
         .when(F.col("event_type").isNull(), "event_type is required")
-        .when(F.col("_t").isNull(), "timestamp is missing")
+        .when(F.col("_untimed"), "timestamp is missing")
         .when(F.col("ts").isNull(), "timestamp is not recognized")
     )
     blank = None
@@ -123,7 +125,7 @@ def ingest_stats(raw: DataFrame, dedup: bool = False) -> DataFrame:
     """One row of run statistics. The records are parsed once, also where copies are counted."""
     parsed = staged(raw)
     if dedup:
-        parsed = cut_lineage(parsed)
+        parsed = stored(parsed)
     counts = parsed.agg(
         F.count("*").alias("received"),
         F.count_if(F.coalesce(F.col("stage") != "normalize", F.lit(True))).alias("normalized"),
@@ -148,8 +150,9 @@ def next_ids(events: DataFrame, start: int = 0) -> DataFrame:
     A range sort splits the rows over tasks, each task counts its own rows and only the counts per task (one row
     per partition) are summed in order, so no task sees more than its range.
     """
-    ordered = cut_lineage(
-        events.orderBy("ts", "batch_pos").select(
+    # A range sort reads its input twice, to sample it and to sort it, so what makes the rows is run once before.
+    ordered = stored(
+        stored(events).orderBy("ts", "batch_pos").select(
             "*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")
         )
     )

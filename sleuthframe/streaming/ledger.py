@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sleuthframe.functions.columns import text
 from sleuthframe.operators import chain
 from sleuthframe.operators.normalize import deduplicate, next_ids, staged
-from sleuthframe.session import cut_lineage
+from sleuthframe.session import cut_lineage, passing_tables
 from sleuthframe.streaming.jobs import _save, _start
 
 SEGMENT = 100_000
@@ -67,8 +67,7 @@ def ingest_batch(raw: DataFrame, path: str, batch: int, dedup: bool = True, segm
     parsed = cut_lineage(staged(raw))
     last, tips = _resume(spark, path, batch)
     good = parsed.where("stage IS NULL").drop("stage", "reason")
-    unique = cut_lineage(deduplicate(good)) if dedup else good
-    numbered = next_ids(unique, last)
+    numbered = next_ids(deduplicate(good) if dedup else good, last)
     built = cut_lineage(chain.build_chain(numbered, chain.segment(segment_rows), tips))
     found = chain.chain_tips(built)
     # Records whose source could not be read are counted under no source.
@@ -95,6 +94,7 @@ def ingest_ledger(raw: DataFrame, path: str, state: str, dedup: bool = True, seg
     """Follow a stream of raw records."""
 
     def each(batch: DataFrame, n: int) -> None:
-        ingest_batch(batch, path, n, dedup, segment_rows)
+        with passing_tables(batch.sparkSession):
+            ingest_batch(batch, path, n, dedup, segment_rows)
 
     return _start(raw, each, state, once)

@@ -60,3 +60,17 @@ def test_a_killed_micro_batch_leaves_nothing(spark, tmp_path, monkeypatch, dies_
     for at in (path, whole):
         ledger.ingest_batch(raw(spark, SECOND), at, 1, segment_rows=3)
     assert state(spark, path) == state(spark, whole)
+
+
+def test_tables_of_a_micro_batch_do_not_stay(spark):
+    import os
+
+    from sleuthframe.session import checkpoint_root, passing_tables, stored
+
+    at = checkpoint_root(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(at) if x.startswith("table-")}
+    before = tables()
+    with passing_tables(spark):
+        assert stored(spark.range(5)).count() == 5
+        assert len(tables() - before) == 1
+    assert tables() == before

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
 
-from sleuthframe.operators.normalize import deduplicate, ingest_stats, next_ids, normalize, rejects
+import pyspark.sql.functions as F
+
+from sleuthframe.operators.normalize import deduplicate, ingest_stats, next_ids, normalize, rejects, staged
 
 T = "2026-03-01T10:00:00"
 
@@ -91,3 +93,35 @@ def test_iso_without_separators(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "v string").select("v", strict(F.col("v")).cast("string").alias("t"))
     assert {r["v"]: r["t"] for r in df.collect()} == cases
+
+
+def test_times_are_parsed_once(spark):
+    df = raw(spark, {"source": "S", "type": "T", "message": "m", "time": T})
+    kept = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", 10**8)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        assert plan(normalize(df)).count("M/d/y H:m:s") == 1
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", kept)
+
+
+def test_zones_and_basic_forms_are_still_rewritten(spark):
+    base = {"source": "S", "type": "T", "message": "m"}
+    forms = ["20260301T100000", "2026-03-01T12:00:00+0200", "2026-03-01 12:00:00.5 +02", " 20260301 120000+0200", "20260301", "2026-03-01T10:00:00-"]
+    got = {r["batch_pos"]: r["ts"] for r in normalize(raw(spark, *[{**base, "time": t} for t in forms])).collect()}
+    ten = dt.datetime(2026, 3, 1, 10)
+    assert got == {0: ten, 1: ten, 2: ten.replace(microsecond=500000), 3: ten}
+
+
+def test_rows_to_number_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        made.add(1)
+        return x
+
+    events = normalize(raw(spark, *[{"source": "S", "type": "T", "message": f"m{i}", "time": 1772359200 - i} for i in range(50)]))
+    events = events.withColumn("description", F.udf(one, "string")("description"))
+    ids = {r["description"]: r["id"] for r in next_ids(events, 10).collect()}
+    assert ids == {f"m{i}": 60 - i for i in range(50)} and made.value == 50
