@@ -160,3 +160,18 @@ def test_sessions(make_events):
 def test_bad_window(make_events):
     with pytest.raises(ValueError):
         correlate(make_events([{"at": 0}]), window_seconds=-1)
+
+
+def test_signals_are_found_without_the_texts_of_reasons(make_events):
+    events = make_events([{"at": i * 40, "device": "D" if i % 3 else "", "user": "u", "file_path": f"/a/{i}"} for i in range(12)])
+    found = correlate(events)
+    spark = events.sparkSession
+    kept = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", 10**8)
+    try:
+        plan = found.incidents._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", kept)
+    assert "same user: " not in plan and "same directory" not in plan
+    named = {s for r in found.incidents.collect() for s in r["confidence_signals"]}
+    assert named == {r["signal"] for r in found.reasons.collect()}

@@ -57,3 +57,19 @@ def test_an_unfinished_micro_batch_is_not_seen(spark, tmp_path, make_events):
         spark.read.parquet(f"{path}/{name}").write.partitionBy("batch").parquet(f"{other}/{name}")
     spark.createDataFrame(commits, "at timestamp").write.parquet(f"{other}/commits/batch=0")
     assert [r["event_count"] for r in incidents.current(spark, other).collect()] == [2]
+
+
+def test_tables_of_a_micro_batch_do_not_stay(spark, make_events, tmp_path):
+    import os
+
+    from sleuthframe.session import checkpoint_root
+    from sleuthframe.streaming import incidents, jobs
+
+    events = make_events([{"at": i * 40, "device": "D" if i % 3 else "", "user": "u"} for i in range(12)])
+    events.write.parquet(f"{tmp_path}/in")
+    at = checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    stream = jobs.watch(spark, f"{tmp_path}/in", events.schema)
+    incidents.live_incidents(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert incidents.current(spark, f"{tmp_path}/out").count() == 1
+    assert not [x for x in set(os.listdir(at)) - before if x.startswith("table-")]
