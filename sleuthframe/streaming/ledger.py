@@ -11,7 +11,7 @@ Chains run by segments of ids (see ``operators.chain``), so a micro-batch extend
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,8 +44,8 @@ def statistics(spark: SparkSession, path: str) -> DataFrame:
     return stats.groupBy("source").agg(*[F.sum(c).alias(c) for c in counts], F.max("last_event_time").alias("last_event_time"))
 
 
-def _resume(spark: SparkSession, path: str, batch: int) -> tuple[int, DataFrame | None]:
-    """Last id and open tips after the micro-batches before this one."""
+def _resume(spark: SparkSession, path: str, batch: int) -> tuple[int, Row | None]:
+    """Last id, and chain and tip of the open segment, after the micro-batches before this one."""
     if batch == 0:
         return 0, None
     commits = spark.read.parquet(f"{path}/commits").where(F.col("batch") < batch)
@@ -53,7 +53,7 @@ def _resume(spark: SparkSession, path: str, batch: int) -> tuple[int, DataFrame
     tips = committed(spark, path, "tips", batch)
     # Only the segment that the next id falls into can go on; it has a row for each micro-batch that extended it.
     open_ = tips.where(F.col("chain") == F.floor(F.lit(last) / F.lit(tips_segment(commits))).cast("string"))
-    return last, open_.groupBy("chain").agg(F.max_by("tip", "tip_id").alias("tip"))
+    return last, open_.groupBy("chain").agg(F.max_by("tip", "tip_id").alias("tip")).first()
 
 
 def tips_segment(commits: DataFrame) -> int:
@@ -65,10 +65,13 @@ def ingest_batch(raw: DataFrame, path: str, batch: int, dedup: bool = True, segm
     """Work one micro-batch of ``raw(batch_pos, raw)`` into the ledger below ``path``."""
     spark = raw.sparkSession
     parsed = cut_lineage(staged(raw))
-    last, tips = _resume(spark, path, batch)
+    last, tip = _resume(spark, path, batch)
     good = parsed.where("stage IS NULL").drop("stage", "reason")
     numbered = next_ids(deduplicate(good) if dedup else good, last)
-    built = cut_lineage(chain.build_chain(numbered, chain.segment(segment_rows), tips))
+    segment = chain.segment(segment_rows)
+    # At most one chain goes on, so its tip travels with the plan; a join would send a table to the driver and back.
+    seed = None if tip is None else F.when(segment.cast("string") == tip["chain"], F.lit(tip["tip"]))
+    built = cut_lineage(chain.build_chain(numbered, segment, seed=seed))
     found = chain.chain_tips(built)
     # Records whose source could not be read are counted under no source.
     source = F.coalesce(F.when(text("source") != "", F.col("source")), F.lit("")).alias("source")
@@ -77,11 +80,14 @@ def ingest_batch(raw: DataFrame, path: str, batch: int, dedup: bool = True, segm
         F.count("*").alias("received"), stage("normalize").alias("errors"), stage("validation").alias("skipped"),
         F.count_if(F.col("stage").isNull()).alias("_valid"),
     )
-    stored = built.groupBy("source").agg(F.count("*").alias("_stored"), F.max("ts").alias("last_event_time"))
-    inserted = F.coalesce("_stored", F.lit(0))
-    stats = received.join(stored, "source", "left").select(
-        "source", "received", inserted.alias("inserted"), (F.col("_valid") - inserted).alias("duplicates"), "skipped", "errors", "last_event_time"
-    )
+    stored = built.groupBy("source").agg(F.count("*").alias("inserted"), F.max("ts").alias("last_event_time"))
+    # Both have a row per source; every stored source was received.
+    both = received.unionByName(stored, allowMissingColumns=True).groupBy("source").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("received", "inserted", "skipped", "errors", "_valid")],
+        F.max("last_event_time").alias("last_event_time"),
+    )
+    duplicates = (F.col("_valid") - F.col("inserted")).alias("duplicates")
+    stats = both.select("source", "received", "inserted", duplicates, "skipped", "errors", "last_event_time")
     _save(built, f"{path}/events", batch)
     _save(parsed.where("stage IS NOT NULL").select("batch_pos", "source", "stage", "reason"), f"{path}/rejects", batch)
     _save(stats, f"{path}/stats", batch)

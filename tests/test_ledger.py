@@ -62,6 +62,25 @@ def test_a_killed_micro_batch_leaves_nothing(spark, tmp_path, monkeypatch, dies_
     assert state(spark, path) == state(spark, whole)
 
 
+def test_a_micro_batch_joins_only_its_counts_by_task(spark, tmp_path, monkeypatch):
+    """A join with a text as its key sends the driver a table of tens of MB, however few rows it has."""
+    path, plans = str(tmp_path / "ledger"), {}
+    ledger.ingest_batch(raw(spark, FIRST), path, 0, segment_rows=3)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cut, save = ledger.cut_lineage, ledger._save
+    monkeypatch.setattr(ledger, "cut_lineage", lambda df: (plans.setdefault(f"cut {len(plans)}", plan(df)), cut(df))[1])
+    monkeypatch.setattr(ledger, "_save", lambda df, at, n: (plans.setdefault(at.rpartition("/")[2], plan(df)), save(df, at, n)))
+    length = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
+    try:
+        ledger.ingest_batch(raw(spark, SECOND), path, 1, segment_rows=3)
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", length)
+    joins = [line for text in plans.values() for line in text.splitlines() if "Join " in line]
+    assert len(plans) == 7 and len(joins) == 1 and "(_p#" in joins[0]
+    assert chain.verify(ledger.events(spark, path), "chain").first()["status"] == "VALID"
+
+
 def test_tables_of_a_micro_batch_do_not_stay(spark):
     import os
 
