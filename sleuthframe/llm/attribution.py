@@ -31,9 +31,12 @@ from sleuthframe.llm.encode import Encoder, encoder, public
 
 RULE = "start"
 
+# Characters of documents that are counted together: bounds a worker's memory, never the result.
+TOGETHER = 500_000
+
 
 class Spans(dict):
-    """First and last character (exclusive) of each token of the pieces met so far, relative to the piece."""
+    """First and last character (exclusive) of each token of the pieces met so far, in turn, relative to the piece."""
 
     LIMIT = 400_000
 
@@ -41,29 +44,41 @@ class Spans(dict):
         super().__init__()
         self.known = known
 
-    def __missing__(self, piece: str) -> tuple[bytes, bytes, int]:
-        found = self.known.tokenizer.encode(piece, add_special_tokens=False).offsets
-        value = (array("i", [a for a, _ in found]).tobytes(), array("i", [b for _, b in found]).tobytes(), len(found))
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.known.word_tokens(piece)
+        if tokens is None:
+            found = [x for span in self.known.tokenizer.encode(piece, add_special_tokens=False).offsets for x in span]
+        else:
+            # The character of each byte; a token that has a part of a character has it whole.
+            home = None if piece.isascii() else [i for i, c in enumerate(piece) for _ in c.encode()]
+            found, at = [], 0
+            for token in tokens:
+                begin, at = at, at + len(token.value)
+                found += (begin, at) if home is None else (home[begin], home[at - 1] + 1)
+        value = array("i", found).tobytes()
         if len(self) >= self.LIMIT:
             self.clear()
         self[piece] = value
         return value
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Spans of all tokens of a whole text, in characters of the text."""
-        pieces = self.known.cut(text)
-        if not pieces:
+    def of(self, texts: list[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of all tokens of whole texts, in characters; ``places`` are the numbers of the texts' first characters."""
+        begins, found = [], []
+        for text, place in zip(texts, places.tolist(), strict=True):
+            pieces = self.known.cut(text)
+            if not pieces:
+                continue
+            found.extend(map(self.__getitem__, pieces))
+            size = np.fromiter(map(len, pieces), "int64", len(pieces))
+            if size.sum() == len(text):
+                begins.append(np.cumsum(size) - size + place)
+            else:  # the tokenizer drops what lies between its pieces
+                begins.append(np.array([m.start() for m in self.known.pieces.finditer(text)]) + place)
+        if not found:
             return np.empty(0, "int64"), np.empty(0, "int64")
-        found = [self[p] for p in pieces]
-        number = np.array([x[2] for x in found])
-        if "".join(pieces) == text:
-            size = np.array([len(p) for p in pieces])
-            begin = np.cumsum(size) - size
-        else:  # the tokenizer drops what lies between its pieces
-            begin = np.array([m.start() for m in self.known.pieces.finditer(text)])
-        shift = np.repeat(begin, number)
-        first = np.frombuffer(b"".join([x[0] for x in found]), "<i4") + shift
-        return first, np.frombuffer(b"".join([x[1] for x in found]), "<i4") + shift
+        shift = np.repeat(np.concatenate(begins), np.fromiter(map(len, found), "int64", len(found)) // 8)
+        spans = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2) + shift[:, None]
+        return np.ascontiguousarray(spans[:, 0]), np.ascontiguousarray(spans[:, 1])
 
 
 def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -130,29 +145,41 @@ def token_counts(
         raise ValueError(f"unknown rule {rule}")
     path = path or public("byte_bpe_50k.json")
 
+    def counted(spans: Spans, keys: list, texts: list[str]) -> pd.DataFrame:
+        """Rows of some documents, laid out one behind the other. Two numbers stay free between them, so that no token
+        touches a section of another document."""
+        size = np.fromiter(map(len, texts), "int64", len(texts)) + 2
+        places = np.cumsum(size) - size
+        found = [sections(text) for text in texts]
+        number = np.fromiter((len(b) for b, _ in found), "int64", len(found))
+        shift = np.repeat(places, number)
+        begin, end = (np.concatenate([np.asarray(x[i], "int64") for x in found]) for i in (0, 1))
+        whole, parts, crossing = allocate(*spans.of(texts, places), begin + shift, end + shift, rule)
+        return pd.DataFrame(
+            {
+                "id": np.repeat(np.array(keys, object), number),
+                "section": np.arange(len(begin)) - np.repeat(np.cumsum(number) - number, number),
+                "start": begin,
+                "end": end,
+                "n_tokens": whole,
+                "token_share": parts,
+                "n_crossing": crossing,
+            }
+        )
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spans = Spans(encoder(path))
         for frame in frames:
-            out = []
+            keys, texts, size = [], [], 0
             for key, text in zip(frame["id"], frame["text"], strict=True):
-                text = text or ""
-                begin, end = sections(text)
-                whole, parts, crossing = allocate(*spans.of(text), begin, end, rule)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "id": key,
-                            "section": np.arange(len(begin)),
-                            "start": begin,
-                            "end": end,
-                            "n_tokens": whole,
-                            "token_share": parts,
-                            "n_crossing": crossing,
-                        }
-                    )
-                )
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                keys.append(key)
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size >= TOGETHER:
+                    yield counted(spans, keys, texts)
+                    keys, texts, size = [], [], 0
+            if keys:
+                yield counted(spans, keys, texts)
 
     texts = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = texts.mapInPandas(

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sleuthframe.llm import attribution, packing, pii, quality, token_files
-from sleuthframe.llm.encode import PIECES, encoder, public
+from sleuthframe.llm.encode import PIECES, WORDS, Encoder, encoder, public
 from sleuthframe.llm.tables import read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +73,63 @@ def test_section_counts(docs, rows, empty):
     assert attribution.token_counts(empty).count() == 0
 
 
+WORD_PIECES = ["a", " Zebra", "Alyñor", " straße", "œuvre", "ɏɐ", "ƀǃȿ", "ñandú", " É", "don't", "x1", "×÷", "日本", "e\u0301t", "  two"]
+
+
+def test_plain_words_go_to_the_model():
+    """Ids and spans of plain words are those of a whole call, which they don't take."""
+    known = Encoder(public("byte_bpe_50k.json"), PIECES["byte_bpe_50k.json"], WORDS["byte_bpe_50k.json"])
+    words = [p for p in WORD_PIECES if known.words.fullmatch(p)]
+    assert len(words) == 8 and not any(known.words.fullmatch(s) for s in known.special)
+    every = "".join(chr(c) for c in range(0x250) if known.words.fullmatch(chr(c)))
+    pieces = [*WORD_PIECES, every, *(f" {c}" for c in every)]
+    want = {p: known.tokenizer.encode(p, add_special_tokens=False) for p in pieces}
+    calls, direct = [], known.tokenizer
+
+    class Watched:
+        def encode(self, piece, **more):
+            calls.append(piece)
+            return direct.encode(piece, **more)
+
+    known.tokenizer = Watched()
+    spans = attribution.Spans(known)
+    for p in pieces:
+        assert known.known[p] == array("I", want[p].ids).tobytes()
+        assert array("i", spans[p]).tolist() == [x for span in want[p].offsets for x in span]
+    assert sorted(set(calls)) == sorted(set(WORD_PIECES) - set(words))
+
+
+def test_sections_of_documents_laid_out_together(spark, rows, monkeypatch):
+    """One frame for many documents: none takes tokens of its neighbour, also where sections leave gaps or miss an end."""
+    cut = lambda t: (np.arange(1, len(t), 5), np.minimum(np.arange(1, len(t), 5) + 3, len(t)))
+    texts = [r[1] for r in rows] + ["", None, "née à Œ", "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for rule in ("start", "most"):
+        got = attribution.token_counts(docs, rule=rule, sections=cut).orderBy("doc_id", "section").collect()
+        want = []
+        for key, text in enumerate(texts):
+            begin, end = cut(text or "")
+            offsets = np.array(whole("byte_bpe_50k.json", text).offsets or np.empty((0, 2)), "int64")
+            counts = attribution.allocate(offsets[:, 0], offsets[:, 1], begin, end, rule)
+            want += [(key, i, *x) for i, x in enumerate(zip(begin, end, *counts, strict=True))]
+        assert [tuple(r) for r in got] == want
+    frames = []
+    monkeypatch.setattr(attribution.pd, "DataFrame", lambda data: frames.append(len(data["section"])) or data)
+
+    class Local:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            found = {"id": [str(i) for i in range(len(texts))], "text": texts}
+            list(run(iter([found])))
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        attribution.token_counts(Local())
+    assert len(frames) == 1
+
+
 @pytest.mark.parametrize("rule", ["start", "most"])
 def test_crossing_tokens(rule):
     first, last = np.array([0, 3, 5, 9]), np.array([3, 5, 9, 10])
