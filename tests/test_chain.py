@@ -120,6 +120,21 @@ def test_chain_is_built_with_one_shuffle_and_no_join(rows):
     assert keyed.where("id > 5").count() == len(whole) - 5
 
 
+@pytest.mark.parametrize("key", [None, "chain"])
+def test_blocks_are_linked_by_a_merge(spark, rows, key):
+    """A broadcast with a text as its key sends the driver a table of tens of MB, however few rows it has."""
+    found = chain.verdicts(chain.build_chain(rows, chain.segment(4) if key else None), key, block_rows=3)
+    length = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
+    try:
+        assert len(chain.invalid_rows(found).collect()) == 0
+        assert len(found.collect()) == rows.count()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", length)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_tables_are_stored_compressed(spark, data):
     from sleuthframe.plans import derived
     from sleuthframe.session import cut_lineage, stored
