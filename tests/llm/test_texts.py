@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sleuthframe.llm import attribution, packing, pii, quality, token_files
-from sleuthframe.llm.encode import PIECES, WORDS, Encoder, encoder, public
+from sleuthframe.llm.encode import PIECES, PLAIN, WORDS, Encoder, encoder, public
 from sleuthframe.llm.tables import read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,6 +29,33 @@ def test_pieces_give_the_ids_of_whole_texts(rows, spark, data, name):
         assert known.encode(t) == array("I", direct.encode(t or "", add_special_tokens=False).ids).tobytes()
 
 
+def test_plain_pieces_go_straight_to_the_model_of_the_word_tokenizer():
+    """A whole call takes several times as long as the model alone, and most pieces of a text are met once."""
+
+    class Library:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, []
+
+        def encode(self, piece, **more):
+            self.asked.append(piece)
+            return self.inner.encode(piece, **more)
+
+    name = "word_bpe_49k.json"
+    known = Encoder(public(name), PIECES[name], plain=PLAIN[name])
+    known.tokenizer = direct = Library(known.tokenizer)
+    ids = lambda x: array("I", direct.inner.encode(x, add_special_tokens=False).ids).tobytes()
+    plain = ["Word", "ÉTÉ", "Œuvre", "straße", "ſ", "don't", "I'LL", "'Reve'm'", "x1234", "été2024;", "(a)-[b]", "end.", ",", "--", "A'S's"]
+    assert [known.encode(x) for x in plain] == [ids(x) for x in plain]
+    assert direct.asked == []
+    other = ["İstanbul", "e\u0301t\u00e9", "a\u00d7b", "½", "漢字", "a\x7fb", "a\x1cb", "a<b", "<|endoftext|>", "x<|startoftext|>'s"]
+    assert [known.encode(x) for x in other] == [ids(x) for x in other]
+    assert direct.asked == other
+    # Every plain character alone and beside a letter, a digit and a sign.
+    for c in filter(PLAIN[name].fullmatch, map(chr, range(0x250))):
+        for x in (c, f"a{c}B", f"1{c}2", f"'{c}", f"{c}'S", f"!{c}?", f"é{c}É"):
+            assert known.encode(x) == ids(x), x
+
+
 def test_token_files(spark, docs, rows, empty):
     folder = token_files.write_tokens(docs, file_docs=7)
     got = token_files.read_tokens(spark, folder).orderBy("start").collect()
